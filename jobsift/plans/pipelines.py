@@ -1,0 +1,68 @@
+"""Whole flows built from the operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from jobsift.functions import scores
+from jobsift.functions.text import normalize_job_url
+from jobsift.operators import changes, history, ingest, matching, usage
+from jobsift.skew import spread_join
+
+
+def screen_batches(
+    jds: DataFrame, profiles: DataFrame, known_locations: Sequence[str],
+    period: str = "month", quota: bool = False,
+) -> DataFrame:
+    """From entered JDs to result rows: blank filter, quota, one profile join, native scoring.
+
+    JDs carry created_at and required_skills.  With ``quota`` the free-tier gate
+    counts every scored item of the period as a success.
+    """
+    items = ingest.drop_blank(jds, "jd_text").withColumn("job_url", normalize_job_url(F.col("job_url")))
+    owned = matching.with_profile(items, profiles, ["hard_reject_filters", "profile_skills", "tier"])
+    if quota:
+        gate = usage.quota_gate(
+            owned.select(F.col("id").alias("item_id"), "user_id", "tier",
+                         F.col("created_at").alias("ts"), F.lit(True).alias("success")),
+            period=period)
+        owned = owned.join(gate.where("admitted").select(F.col("item_id").alias("id")), "id", "left_semi")
+    return matching.score_joined(owned.drop("tier"), known_locations)
+
+
+def ranked_report(results: DataFrame) -> DataFrame:
+    """Ranked rows of every batch with label, reason and the batch's counts and time saved."""
+    ranked = history.rank_results(results)
+    counts = history.verdict_counts(results)
+    rows = spread_join(ranked, counts, ["batch_id"], "inner", spread_by=["id"])
+    return rows.select(
+        "batch_id", "position", "id", "job_title", "company", "composite_score", "verdict",
+        scores.verdict_label(F.col("verdict")).alias("label"),
+        scores.reason_line(
+            F.col("verdict"), F.col("hard_reject_reasons"), F.col("headline"), F.col("recommendation")
+        ).alias("reason"),
+        "worth_a_look", F.col("reject").alias("rejects"),
+        scores.time_saved(F.col("reject")).alias("saved"),
+    )
+
+
+def history_page(
+    results: DataFrame, tracker: DataFrame, verdict: str = "ALL", query: str = "",
+    n: int = 200, oldest: bool = False,
+) -> DataFrame:
+    """Newest rows per user with the tracked flag, filtered and ordered by batch."""
+    recent = history.recent_history(results, n)
+    shown = history.filter_history(changes.with_tracked_flag(recent, tracker), verdict, query)
+    at = recent.groupBy("user_id", "batch_id").agg(F.max("created_at").alias("batch_at"))
+    rows = shown.join(at, ["user_id", "batch_id"])
+    when = F.asc("batch_at") if oldest else F.desc("batch_at")
+    return rows.orderBy("user_id", when, "batch_id", F.desc("created_at"), "id")
+
+
+def report_page(headers: DataFrame, frozen: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
+    """Live reports with owner name and summary."""
+    live = changes.report_with_owner(changes.live_reports(headers, now), profiles)
+    return live.join(changes.report_summary(frozen), "slug")
