@@ -10,7 +10,7 @@ from jobsift.functions.scores import time_saved, verdict_rank
 from jobsift.functions.text import js_trim
 from jobsift.skew import position_in_group, spread_join, top_k
 
-BIG_GROUP_SPAN = 100_000   # positions per bucket when a group is numbered
+BIG_GROUP_SPAN = 1_000_000   # positions per bucket when a group is numbered
 
 
 def history_match(verdict: str, query: str) -> Column:

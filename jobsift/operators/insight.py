@@ -2,7 +2,8 @@
 
 Inputs are result rows: batch_id, user_id, id, job_title, matching_skills and
 missing_skills (arrays).  Each report counts (batch, skill) pairs first, so the
-shuffles carry counts and not rows; lists are cut to their top k.
+shuffles carry counts and not rows; lists are cut to their top k.  Several
+reports read their input more than once, so give them a stored table.
 """
 
 from __future__ import annotations
@@ -17,11 +18,37 @@ from jobsift.functions import scores
 from jobsift.skew import spread_join, top_k
 
 
+
+
 def _skill_rows(df: DataFrame, skills: Column, keys: Sequence[str]) -> DataFrame:
     """One row per (key, JD, skill); a JD counts once for a skill."""
     return df.select(*keys, F.explode(F.array_distinct(skills)).alias("skill"))
 
 
+def _no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def skill_counts(df: DataFrame, key: str = "batch_id") -> DataFrame:
+    """Per key and skill: the JDs asking for it and the JDs whose owner lacks it.
+
+    Both reports below start from this one aggregate, so Spark shuffles it once
+    when they are joined.
+    """
+    matching = F.coalesce("matching_skills", _no_strings())
+    missing = F.coalesce("missing_skills", _no_strings())
+    items = F.concat(
+        F.transform(F.array_distinct(missing), lambda s: F.struct(s.alias("skill"), F.lit(True).alias("lacking"))),
+        F.transform(F.array_except(matching, missing),
+                    lambda s: F.struct(s.alias("skill"), F.lit(False).alias("lacking"))),
+    )
+    return (
+        df.select(key, F.explode(items).alias("item"))
+        .groupBy(key, F.col("item.skill").alias("skill"))
+        .agg(F.count("*").alias("jds"), F.count_if(F.col("item.lacking")).alias("lacking_jds"))
+    )
+
+
 def batch_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("batch_id").agg(F.count("*").alias("total_jds"))
 
@@ -31,21 +58,14 @@ def min_batch(df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE) -> DataFrame
     return batch_sizes(df).where(F.col("total_jds") >= n)
 
 
-def _required() -> Column:
-    none = F.array().cast("array<string>")
-    return F.concat(
-        F.coalesce("matching_skills", none), F.coalesce("missing_skills", none))
-
-
 def skill_demand(df: DataFrame, k: int = K.TOP_SKILLS) -> DataFrame:
     """Per batch the ``k`` skills most JDs ask for, with share and trend.
 
     ``percentage`` is in tenths of a percent rounded half up, divided by ten.
     """
-    counts = _skill_rows(df, _required(), ["batch_id"]).groupBy("batch_id", "skill").agg(
-        F.count("*").alias("jds"))
     best = top_k(
-        counts, ["batch_id"], [F.col("jds").desc(), F.col("skill").asc()], k, spread_by=["skill"])
+        skill_counts(df), ["batch_id"], [F.col("jds").desc(), F.col("skill").asc()], k,
+        spread_by=["skill"]).drop("lacking_jds")
     tenths = F.floor((F.col("jds") * 2000 + F.col("total_jds")) / (F.col("total_jds") * 2))
     return (
         best.join(batch_sizes(df), "batch_id")
@@ -56,10 +76,13 @@ def skill_demand(df: DataFrame, k: int = K.TOP_SKILLS) -> DataFrame:
 
 def top_missing(df: DataFrame, k: int = K.TOP_SKILLS) -> DataFrame:
     """Per batch the ``k`` skills most JDs ask for that the profile lacks."""
-    counts = _skill_rows(df, F.col("missing_skills"), ["batch_id"]).groupBy(
-        "batch_id", "skill").agg(F.count("*").alias("jds"))
+    lacking = _lacking(skill_counts(df))
     return top_k(
-        counts, ["batch_id"], [F.col("jds").desc(), F.col("skill").asc()], k, spread_by=["skill"])
+        lacking, ["batch_id"], [F.col("jds").desc(), F.col("skill").asc()], k, spread_by=["skill"])
+
+
+def _lacking(counts: DataFrame) -> DataFrame:
+    return counts.where("lacking_jds > 0").drop("jds").withColumnRenamed("lacking_jds", "jds")
 
 
 def batch_matching_skills(df: DataFrame) -> DataFrame:
@@ -100,12 +123,11 @@ def red_flag_count(df: DataFrame) -> DataFrame:
         F.count_if(scores.inflated_manager(F.col("fake_em_detection"))).alias("red_flags_count"))
 
 
-def pipeline_blockers(df: DataFrame, k: int = 2) -> DataFrame:
+def blocking_skills(df: DataFrame, k: int = 2) -> DataFrame:
     """Per user: the ``k`` skills missing most often, and the share of JDs missing any of them."""
-    counts = _skill_rows(df, F.col("missing_skills"), ["user_id"]).groupBy(
-        "user_id", "skill").agg(F.count("*").alias("jds"))
+    lacking = _lacking(skill_counts(df, "user_id"))
     worst = (
-        top_k(counts, ["user_id"], [F.col("jds").desc(), F.col("skill").asc()], k, spread_by=["skill"])
+        top_k(lacking, ["user_id"], [F.col("jds").desc(), F.col("skill").asc()], k, spread_by=["skill"])
         # At most k items per user.
         .groupBy("user_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill"))),
@@ -140,15 +162,17 @@ def batch_intelligence(
             lambda x: x["item"]).alias(name))
 
     demand = F.struct("skill", F.col("jds").alias("count"), "percentage", "trend")
-    none = F.array().cast("array<string>")
+    heads = df.groupBy("batch_id").agg(
+        F.count("*").alias("total_jds"),
+        F.count_if(scores.inflated_manager(F.col("fake_em_detection"))).alias("red_flags_count"),
+    ).where(F.col("total_jds") >= n)
     return (
-        min_batch(df, n)
+        heads
         .join(ranked(skill_demand(df, k), demand, "top_required_skills"), "batch_id", "left")
         .join(ranked(top_missing(df, k), F.col("skill"), "top_missing_from_profile"), "batch_id", "left")
         .join(ranked(title_patterns(df, titles), F.col("pattern"), "title_patterns"), "batch_id", "left")
-        .join(red_flag_count(df), "batch_id", "left")
         .withColumns({
-            "top_missing_from_profile": F.coalesce("top_missing_from_profile", none),
-            "title_patterns": F.coalesce("title_patterns", none),
+            "top_missing_from_profile": F.coalesce("top_missing_from_profile", _no_strings()),
+            "title_patterns": F.coalesce("title_patterns", _no_strings()),
         })
     )

@@ -17,7 +17,7 @@ from jobsift import constants as K
 from jobsift.functions import scores
 from jobsift.functions.profiles import effective_resume
 from jobsift.functions.text import names_term, normalize_terms
-from jobsift.skew import spread_join
+from jobsift.skew import hot_keys, spread_join
 
 EMPTY_STRINGS = "array<string>"
 
@@ -111,20 +111,26 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor((part * 200 + whole) / (whole * 2))).otherwise(0).cast("int")
 
 
-def skill_lists(required: Column, owned: Column) -> dict[str, Column]:
-    """Distinct required skills split by whether the profile has them; case is ignored."""
-    wanted = F.array_distinct(F.coalesce(required, _no_strings()))
-    low = F.transform(wanted, lambda s: F.lower(s))
-    mine = F.transform(F.coalesce(owned, _no_strings()), lambda s: F.lower(s))
+def with_skill_lists(df: DataFrame) -> DataFrame:
+    """Replace ``profile_skills`` by matching_skills and missing_skills.
+
+    The distinct required skills are split by whether the profile has them;
+    case is ignored and the job's spelling is kept.
+    """
+    wanted, low, mine = F.col("_wanted"), F.col("_low"), F.col("_mine")
+    prepared = df.withColumn("_wanted", F.array_distinct(F.coalesce("required_skills", _no_strings()))).withColumns({
+        "_low": F.transform("_wanted", lambda s: F.lower(s)),
+        "_mine": F.transform(F.coalesce("profile_skills", _no_strings()), lambda s: F.lower(s)),
+    })
     # Set operations hash both lists once.  Only lists with capitals need the
     # look-up per item that keeps their spelling.
     same = wanted == low
-    return {
+    return prepared.withColumns({
         "matching_skills": F.when(same, F.array_intersect(wanted, mine)).otherwise(
             F.filter(wanted, lambda s: F.array_contains(mine, F.lower(s)))),
         "missing_skills": F.when(same, F.array_except(wanted, mine)).otherwise(
             F.filter(wanted, lambda s: ~F.array_contains(mine, F.lower(s)))),
-    }
+    }).drop("_wanted", "_low", "_mine", "profile_skills")
 
 
 def ats_coverage(
@@ -136,8 +142,7 @@ def ats_coverage(
     without one counts 1.
     """
     joined = with_profile(jds, profiles, ["profile_skills"])
-    split = joined.withColumns(
-        skill_lists(F.col("required_skills"), F.col("profile_skills"))).drop("profile_skills")
+    split = with_skill_lists(joined)
     matched, missing = F.size("matching_skills"), F.size("missing_skills")
     if weights is None:
         return split.withColumn("ats_score", _share(matched, matched + missing))
@@ -147,8 +152,10 @@ def ats_coverage(
     )).alias("item")).select("id", "item.*")
     importance = weights.groupBy(F.lower("skill").alias("skill")).agg(
         F.max(F.col("weight").cast("long")).alias("weight"))
-    # A common skill occurs in nearly every JD, hence the spread join on skill.
-    weighed = spread_join(items, importance, ["skill"], "left", spread_by=["id"]).withColumn(
+    # A common skill occurs in nearly every JD, hence the spread join on skill.  The
+    # input already tells which skills are common.
+    hot = hot_keys(jds.select(F.explode("required_skills").alias("skill")), ["skill"])
+    weighed = spread_join(items, importance, ["skill"], "left", spread_by=["id"], hot=hot).withColumn(
         "weight", F.coalesce("weight", F.lit(1)))
     sums = weighed.groupBy("id").agg(
         F.sum(F.col("weight") * F.col("hit")).alias("_part"), F.sum("weight").alias("_whole"))
@@ -173,9 +180,9 @@ def score_joined(df: DataFrame, known_locations: Sequence[str]) -> DataFrame:
     judged = _with_terms(df).withColumn(
         "hard_reject_reasons", reject_reasons(known_locations)).drop("_terms")
     rejected = F.size("hard_reject_reasons") > 0
-    skills = skill_lists(F.col("required_skills"), F.col("profile_skills"))
-    listed = judged.withColumns({
-        name: F.when(rejected, _no_strings()).otherwise(value) for name, value in skills.items()})
+    listed = with_skill_lists(judged).withColumns({
+        name: F.when(rejected, _no_strings()).otherwise(F.col(name))
+        for name in ("matching_skills", "missing_skills")})
     matched, missing = F.size("matching_skills"), F.size("missing_skills")
     level = F.col("hard_reject_filters")["title_floor"]
     scored = listed.withColumns({
@@ -185,7 +192,7 @@ def score_joined(df: DataFrame, known_locations: Sequence[str]) -> DataFrame:
     }).withColumn("composite_score", F.when(rejected, 0).otherwise(
         scores.composite_score(F.col("ats_score"), F.col("role_level_score"))))
     return scored.withColumn("verdict", scores.verdict(F.col("composite_score"), rejected)).drop(
-        "hard_reject_filters", "profile_skills")
+        "hard_reject_filters")
 
 
 def score_batch(jds: DataFrame, profiles: DataFrame, known_locations: Sequence[str]) -> DataFrame:

@@ -655,7 +655,7 @@ oracle("f9_red_flag_count", """
 SELECT batch_id, count(*) FILTER (flagged) AS red_flags_count FROM detections GROUP BY batch_id""", "detections")
 oracle("f10_min_batch", """
 SELECT batch_id, count(*) AS total_jds FROM screenings GROUP BY batch_id HAVING count(*) >= 3""", "screenings")
-oracle("f11_pipeline_blockers", """
+oracle("f11_blocking_skills", """
 WITH worst AS (SELECT user_id, skill, row_number() OVER (PARTITION BY user_id ORDER BY count(DISTINCT id) DESC, skill) AS r
   FROM matched WHERE NOT hit GROUP BY user_id, skill QUALIFY r <= 2),
 blocked AS (SELECT m.user_id, count(DISTINCT id) AS blocked_jds FROM matched m
@@ -807,13 +807,13 @@ SELECT *, {saved("rejects")} AS saved FROM (
   FROM screenings JOIN reasons USING (id) JOIN labels_shown USING (verdict) WINDOW b AS (PARTITION BY batch_id))""",
        "screenings")
 oracle("p2_history_page", f"""
-WITH recent AS (SELECT *, max(created_at) OVER (PARTITION BY user_id, batch_id) AS at FROM (SELECT * FROM screenings
+WITH recent AS (SELECT *, max(created_at) OVER (PARTITION BY user_id, batch_id) AS newest FROM (SELECT * FROM screenings
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) <= 20))
 SELECT user_id, batch_id, id, EXISTS (SELECT 1 FROM tracker t WHERE t.screening_result_id = r.id AND t.user_id = r.user_id)
-  AS tracked, {ts("at")} AS batch_at
+  AS tracked, {ts("newest")} AS batch_at
 FROM recent r WHERE verdict = 'DECENT' AND (lower(company) LIKE '%src%' OR lower(job_title) LIKE '%src%')""",
        "screenings", "tracker")
 oracle("p3_report_page", f"""
-SELECT batch_id, full_name, roles, worth_a_look, headline
+SELECT batch_id, full_name, s.roles, worth_a_look, headline
 FROM ({ORACLE["f15_report_summary"]}) s JOIN batches b ON b.batch_id = s.slug LEFT JOIN profiles p ON p.id = b.user_id""",
        "batches", "profiles")

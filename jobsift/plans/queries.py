@@ -16,7 +16,7 @@ from jobsift import schemas
 from jobsift.functions import profiles as pf
 from jobsift.functions import scores, text
 from jobsift.operators import access, changes, history, ingest, insight, matching, usage
-from jobsift.plans import pipelines
+from jobsift.plans import flows
 from jobsift.plans import views as v
 from jobsift.session import work_dir
 from jobsift.sources import intake, sinks, tables
@@ -618,8 +618,8 @@ def f10_min_batch(spark, sf_dir):
 
 
 @query
-def f11_pipeline_blockers(spark, sf_dir):
-    return insight.pipeline_blockers(covered(spark, sf_dir)).withColumn("blockers", joined("blockers"))
+def f11_blocking_skills(spark, sf_dir):
+    return insight.blocking_skills(covered(spark, sf_dir)).withColumn("blockers", joined("blockers"))
 
 
 @query
@@ -836,7 +836,7 @@ def l1_score_with(spark, sf_dir):
 
 @query
 def p1_screen_batches(spark, sf_dir):
-    out = pipelines.screen_batches(
+    out = flows.screen_batches(
         v.jds(spark, sf_dir), v.skilled_profiles(spark, sf_dir), v.KNOWN_LOCATIONS)
     return out.select("id", "ats_score", "role_level_score", "composite_score", "verdict",
                       joined("hard_reject_reasons").alias("reasons"))
@@ -844,13 +844,13 @@ def p1_screen_batches(spark, sf_dir):
 
 @query
 def p1_ranked_report(spark, sf_dir):
-    return pipelines.ranked_report(v.screenings(spark, sf_dir)).withColumn(
+    return flows.ranked_report(v.screenings(spark, sf_dir)).withColumn(
         "position", F.col("position").cast("long"))
 
 
 @query
 def p2_history_page(spark, sf_dir):
-    return pipelines.history_page(
+    return flows.history_page(
         v.screenings(spark, sf_dir), v.tracker(spark, sf_dir), "DECENT", "src", n=20
     ).select("user_id", "batch_id", "id", "tracked", ts("batch_at").alias("batch_at"))
 
@@ -858,5 +858,5 @@ def p2_history_page(spark, sf_dir):
 @query
 def p3_report_page(spark, sf_dir):
     headers, frozen, _ = _publish(spark, sf_dir)
-    page = pipelines.report_page(headers, frozen, v.profiles(spark, sf_dir), now())
+    page = flows.report_page(headers, frozen, v.profiles(spark, sf_dir), now())
     return page.select("batch_id", "full_name", "roles", "worth_a_look", "headline")
