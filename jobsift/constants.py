@@ -39,8 +39,13 @@ MAX_TEXT_CHARS = 50_000
 CONTROL_CHAR_PERCENT = 15
 TOP_SKILLS = 8
 
-# Whitespace as ECMAScript defines it for trim() and \s; the same text is a
-# valid character class in Java regex and in RE2.
+# Whitespace as ECMAScript defines it for trim() and \s: once as the characters
+# themselves, once as a character class valid in Java regex and in RE2.
+WS_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WS = (
     r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"

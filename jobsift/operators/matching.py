@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from jobsift import constants as K
 from jobsift.functions import scores
 from jobsift.functions.profiles import effective_resume
-from jobsift.functions.text import names_term, normalize_terms
+from jobsift.functions.text import normalize_terms
 from jobsift.skew import hot_keys, spread_join
 
 EMPTY_STRINGS = "array<string>"
@@ -47,56 +47,77 @@ def resume_for_scoring() -> Column:
     return effective_resume(F.col("resume_text"), F.col("preferences"), F.col("hard_reject_filters"))
 
 
-# --- hard rejects -----------------------------------------------------------
-
-def reject_reasons(known_locations: Sequence[str]) -> Column:
-    """Ordered reasons a JD breaks its owner's rules (columns of a joined JD row).
-
-    Rules are tested against the normalised text inside the row: a profile has
-    a handful of rules, so nothing is exploded or shuffled per term.
-    """
-    rules = F.col("hard_reject_filters")
-    text = F.col("_terms")
+# --- what a profile contributes --------------------------------------------------
 
-    def hits(items: Column, label: str) -> Column:
-        named = F.filter(F.coalesce(items, _no_strings()), lambda x: names_term(text, x))
-        return F.transform(named, lambda x: F.concat(F.lit(label), x))
+def rule_set(filters: Column) -> Column:
+    """The reject rules with their terms normalised, so each JD only looks them up."""
+    def terms(items: Column, label: str) -> Column:
+        named = F.transform(F.coalesce(items, _no_strings()), lambda x: F.struct(
+            F.concat(F.lit(label), x).alias("reason"), normalize_terms(x).alias("term")))
+        return F.filter(named, lambda r: F.length(r["term"]) > 1)
 
-    floor = rules["title_floor"]
-    below = scores.seniority_rank(F.col("job_title")) < scores.seniority_rank(floor)
-    floor_reason = F.array_compact(F.array(
-        F.when(below, F.concat(F.lit("Below title floor: "), floor))))
+    floor = filters["title_floor"]
+    return F.struct(
+        terms(filters["tech_stack_dealbreakers"], "Tech dealbreaker: ").alias("tech"),
+        floor.alias("floor"), scores.seniority_rank(floor).alias("floor_rank"),
+        terms(filters["geography_allowed"], "").alias("places"),
+        terms(filters["company_type_excluded"], "Excluded company type: ").alias("company"),
+        terms(filters["role_type_excluded"], "Excluded role type: ").alias("role"),
+    )
 
-    places = F.filter(F.lit(list(known_locations)), lambda x: names_term(text, x))
-    allowed = F.coalesce(rules["geography_allowed"], _no_strings())
-    is_allowed = F.exists(allowed, lambda x: names_term(text, x))
-    outside = (F.size(allowed) > 0) & (F.size(places) > 0) & ~is_allowed
-    place_reason = F.array_compact(F.array(F.when(
-        outside, F.concat(F.lit("Outside allowed locations: "), F.array_join(places, ", ")))))
 
-    return F.concat(
-        hits(rules["tech_stack_dealbreakers"], "Tech dealbreaker: "),
-        floor_reason,
-        place_reason,
-        hits(rules["company_type_excluded"], "Excluded company type: "),
-        hits(rules["role_type_excluded"], "Excluded role type: "),
+def prepare_profiles(profiles: DataFrame, *columns: str) -> DataFrame:
+    """(id, rules, profile_skills, columns): everything per profile, done once per profile."""
+    skills = F.col("profile_skills") if "profile_skills" in profiles.columns else _no_strings()
+    return profiles.select(
+        "id", *columns, rule_set(F.col("hard_reject_filters")).alias("rules"),
+        F.array_distinct(F.transform(F.coalesce(skills, _no_strings()), lambda s: F.lower(s)))
+        .alias("profile_skills"),
     )
 
 
+# --- hard rejects -----------------------------------------------------------
+
 def _with_terms(df: DataFrame) -> DataFrame:
-    return df.withColumn("_terms", normalize_terms(F.concat_ws("\n", "job_title", "company", "jd_text")))
+    return df.withColumns({
+        "_terms": normalize_terms(F.concat_ws("\n", "job_title", "company", "jd_text")),
+        "_title_rank": scores.seniority_rank(F.col("job_title")),
+    })
+
+
+def _reject_reasons(known_locations: Sequence[str]) -> Column:
+    """Ordered reasons a JD breaks its owner's rules (needs the columns of ``_with_terms``).
+
+    Rules are tested against the normalised text inside the row: a profile has
+    a handful of rules, so nothing is exploded or shuffled per term.
+    """
+    rules, text = F.col("rules"), F.col("_terms")
+
+    def hits(items: Column) -> Column:
+        return F.transform(F.filter(items, lambda r: text.contains(r["term"])), lambda r: r["reason"])
+
+    below = F.array_compact(F.array(F.when(
+        F.col("_title_rank") < rules["floor_rank"], F.concat(F.lit("Below title floor: "), rules["floor"]))))
+    named = F.array_compact(F.array(*[
+        F.when(text.contains(normalize_terms(F.lit(x))), F.lit(x)) for x in known_locations]))
+    allowed = F.exists(rules["places"], lambda r: text.contains(r["term"]))
+    outside = F.array_compact(F.array(F.when(
+        (F.size(rules["places"]) > 0) & (F.size(named) > 0) & ~allowed,
+        F.concat(F.lit("Outside allowed locations: "), F.array_join(named, ", ")))))
+    return F.concat(
+        hits(rules["tech"]), below, outside, hits(rules["company"]), hits(rules["role"]))
 
 
 def apply_hard_rejects(
     jds: DataFrame, profiles: DataFrame, known_locations: Sequence[str]
 ) -> DataFrame:
     """Add ``hard_reject_reasons`` and ``rejected`` to every JD that has a profile."""
-    joined = with_profile(jds, profiles, ["hard_reject_filters"])
+    joined = with_profile(jds, prepare_profiles(profiles), ["rules"])
     return (
         _with_terms(joined)
-        .withColumn("hard_reject_reasons", reject_reasons(known_locations))
+        .withColumn("hard_reject_reasons", _reject_reasons(known_locations))
         .withColumn("rejected", F.size("hard_reject_reasons") > 0)
-        .drop("_terms", "hard_reject_filters")
+        .drop("_terms", "_title_rank", "rules")
     )
 
 
@@ -112,25 +133,24 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def with_skill_lists(df: DataFrame) -> DataFrame:
-    """Replace ``profile_skills`` by matching_skills and missing_skills.
+    """Replace ``profile_skills`` (lower-case) by matching_skills and missing_skills.
 
     The distinct required skills are split by whether the profile has them;
     case is ignored and the job's spelling is kept.
     """
-    wanted, low, mine = F.col("_wanted"), F.col("_low"), F.col("_mine")
-    prepared = df.withColumn("_wanted", F.array_distinct(F.coalesce("required_skills", _no_strings()))).withColumns({
-        "_low": F.transform("_wanted", lambda s: F.lower(s)),
-        "_mine": F.transform(F.coalesce("profile_skills", _no_strings()), lambda s: F.lower(s)),
-    })
+    wanted, mine = F.col("_wanted"), F.col("profile_skills")
+    spelled = F.array_join(wanted, "\n")
     # Set operations hash both lists once.  Only lists with capitals need the
     # look-up per item that keeps their spelling.
-    same = wanted == low
-    return prepared.withColumns({
-        "matching_skills": F.when(same, F.array_intersect(wanted, mine)).otherwise(
+    small = F.lower(spelled) == spelled
+    return df.withColumn(
+        "_wanted", F.array_distinct(F.coalesce("required_skills", _no_strings()))
+    ).withColumns({
+        "matching_skills": F.when(small, F.array_intersect(wanted, mine)).otherwise(
             F.filter(wanted, lambda s: F.array_contains(mine, F.lower(s)))),
-        "missing_skills": F.when(same, F.array_except(wanted, mine)).otherwise(
+        "missing_skills": F.when(small, F.array_except(wanted, mine)).otherwise(
             F.filter(wanted, lambda s: ~F.array_contains(mine, F.lower(s)))),
-    }).drop("_wanted", "_low", "_mine", "profile_skills")
+    }).drop("_wanted", "profile_skills")
 
 
 def ats_coverage(
@@ -141,20 +161,20 @@ def ats_coverage(
     ``weights`` (skill, weight) gives an integer importance per skill; a skill
     without one counts 1.
     """
-    joined = with_profile(jds, profiles, ["profile_skills"])
-    split = with_skill_lists(joined)
+    split = with_skill_lists(with_profile(jds, prepare_profiles(profiles), ["profile_skills"]))
     matched, missing = F.size("matching_skills"), F.size("missing_skills")
     if weights is None:
         return split.withColumn("ats_score", _share(matched, matched + missing))
     items = split.select("id", F.explode(F.concat(
-        F.transform("matching_skills", lambda s: F.struct(s.alias("skill"), F.lit(1).alias("hit"))),
-        F.transform("missing_skills", lambda s: F.struct(s.alias("skill"), F.lit(0).alias("hit"))),
+        F.transform("matching_skills", lambda s: F.struct(F.lower(s).alias("skill"), F.lit(1).alias("hit"))),
+        F.transform("missing_skills", lambda s: F.struct(F.lower(s).alias("skill"), F.lit(0).alias("hit"))),
     )).alias("item")).select("id", "item.*")
     importance = weights.groupBy(F.lower("skill").alias("skill")).agg(
         F.max(F.col("weight").cast("long")).alias("weight"))
     # A common skill occurs in nearly every JD, hence the spread join on skill.  The
     # input already tells which skills are common.
-    hot = hot_keys(jds.select(F.explode("required_skills").alias("skill")), ["skill"])
+    hot = hot_keys(jds.select(F.explode("required_skills").alias("skill")).select(
+        F.lower("skill").alias("skill")), ["skill"])
     weighed = spread_join(items, importance, ["skill"], "left", spread_by=["id"], hot=hot).withColumn(
         "weight", F.coalesce("weight", F.lit(1)))
     sums = weighed.groupBy("id").agg(
@@ -168,36 +188,33 @@ def ats_coverage(
 
 def role_level_score(jds: DataFrame, profiles: DataFrame) -> DataFrame:
     """Add ``role_level_score``: ladder distance between the title and the profile's level."""
-    level = profiles.withColumn("_level", F.col("hard_reject_filters")["title_floor"])
-    joined = with_profile(jds, level, ["_level"])
-    return joined.withColumn(
-        "role_level_score", scores.role_level_score(F.col("job_title"), F.col("_level"))
-    ).drop("_level")
+    joined = with_profile(jds, prepare_profiles(profiles), ["rules"])
+    return joined.withColumn("role_level_score", scores.role_level_score(
+        scores.seniority_rank(F.col("job_title")), F.col("rules")["floor_rank"])).drop("rules")
 
 
 def score_joined(df: DataFrame, known_locations: Sequence[str]) -> DataFrame:
-    """The whole native scorer on JD rows that already carry their profile columns."""
-    judged = _with_terms(df).withColumn(
-        "hard_reject_reasons", reject_reasons(known_locations)).drop("_terms")
+    """The whole native scorer on JDs joined with ``rules`` and ``profile_skills``."""
+    judged = with_skill_lists(_with_terms(df).withColumn(
+        "hard_reject_reasons", _reject_reasons(known_locations)).drop("_terms"))
     rejected = F.size("hard_reject_reasons") > 0
-    listed = with_skill_lists(judged).withColumns({
+    listed = judged.withColumns({
         name: F.when(rejected, _no_strings()).otherwise(F.col(name))
         for name in ("matching_skills", "missing_skills")})
     matched, missing = F.size("matching_skills"), F.size("missing_skills")
-    level = F.col("hard_reject_filters")["title_floor"]
     scored = listed.withColumns({
         "ats_score": F.when(rejected, 0).otherwise(_share(matched, matched + missing)),
         "role_level_score": F.when(rejected, 0).otherwise(
-            scores.role_level_score(F.col("job_title"), level)),
+            scores.role_level_score(F.col("_title_rank"), F.col("rules")["floor_rank"])),
     }).withColumn("composite_score", F.when(rejected, 0).otherwise(
         scores.composite_score(F.col("ats_score"), F.col("role_level_score"))))
     return scored.withColumn("verdict", scores.verdict(F.col("composite_score"), rejected)).drop(
-        "hard_reject_filters")
+        "rules", "_title_rank")
 
 
 def score_batch(jds: DataFrame, profiles: DataFrame, known_locations: Sequence[str]) -> DataFrame:
     """Hard rejects, skill coverage, role level, composite and verdict with one join."""
-    joined = with_profile(jds, profiles, ["hard_reject_filters", "profile_skills"])
+    joined = with_profile(jds, prepare_profiles(profiles), ["rules", "profile_skills"])
     return score_joined(joined, known_locations)
 
 

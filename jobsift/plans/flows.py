@@ -23,7 +23,8 @@ def screen_batches(
     counts every scored item of the period as a success.
     """
     items = ingest.drop_blank(jds, "jd_text").withColumn("job_url", normalize_job_url(F.col("job_url")))
-    owned = matching.with_profile(items, profiles, ["hard_reject_filters", "profile_skills", "tier"])
+    owned = matching.with_profile(
+        items, matching.prepare_profiles(profiles, "tier"), ["rules", "profile_skills", "tier"])
     if quota:
         gate = usage.quota_gate(
             owned.select(F.col("id").alias("item_id"), "user_id", "tier",

@@ -769,7 +769,9 @@ def k1_stream_screen(spark, sf_dir):
     rows = v.jds(spark, sf_dir)
     rows.repartition(4).write.parquet(arriving)
     stream = streams.read_stream(spark, rows.schema, arriving, max_files=2)
-    scored = streams.stream_screen(stream, v.skilled_profiles(spark, sf_dir), v.KNOWN_LOCATIONS)
+    stored = work_dir(spark, "profiles")
+    matching.prepare_profiles(v.skilled_profiles(spark, sf_dir)).write.parquet(stored)
+    scored = streams.stream_screen(stream, spark.read.parquet(stored), v.KNOWN_LOCATIONS)
     done = streams.append_to(
         scored.select("id", "ats_score", "role_level_score", "composite_score", "verdict",
                       joined("hard_reject_reasons").alias("reasons")), out, state)
