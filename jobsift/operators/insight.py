@@ -35,17 +35,15 @@ def skill_counts(df: DataFrame, key: str = "batch_id") -> DataFrame:
     Both reports below start from this one aggregate, so Spark shuffles it once
     when they are joined.
     """
-    matching = F.coalesce("matching_skills", _no_strings())
     missing = F.coalesce("missing_skills", _no_strings())
-    items = F.concat(
-        F.transform(F.array_distinct(missing), lambda s: F.struct(s.alias("skill"), F.lit(True).alias("lacking"))),
-        F.transform(F.array_except(matching, missing),
-                    lambda s: F.struct(s.alias("skill"), F.lit(False).alias("lacking"))),
-    )
+    # The union lists the distinct missing skills first, so the position tells them apart.
+    every = F.array_union(missing, F.coalesce("matching_skills", _no_strings()))
     return (
-        df.select(key, F.explode(items).alias("item"))
-        .groupBy(key, F.col("item.skill").alias("skill"))
-        .agg(F.count("*").alias("jds"), F.count_if(F.col("item.lacking")).alias("lacking_jds"))
+        # Computed below the explode, else every exploded row would carry the lists.
+        df.select(key, F.size(F.array_distinct(missing)).alias("_missing"), every.alias("_every"))
+        .select(key, "_missing", F.posexplode("_every").alias("_pos", "skill"))
+        .groupBy(key, "skill")
+        .agg(F.count("*").alias("jds"), F.count_if(F.col("_pos") < F.col("_missing")).alias("lacking_jds"))
     )
 
 

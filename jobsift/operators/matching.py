@@ -165,10 +165,12 @@ def ats_coverage(
     matched, missing = F.size("matching_skills"), F.size("missing_skills")
     if weights is None:
         return split.withColumn("ats_score", _share(matched, matched + missing))
-    items = split.select("id", F.explode(F.concat(
-        F.transform("matching_skills", lambda s: F.struct(F.lower(s).alias("skill"), F.lit(1).alias("hit"))),
-        F.transform("missing_skills", lambda s: F.struct(F.lower(s).alias("skill"), F.lit(0).alias("hit"))),
-    )).alias("item")).select("id", "item.*")
+    # Computed below the explode, else every exploded row would carry the lists.
+    listed = split.select(
+        "id", matched.alias("_matched"), F.concat("matching_skills", "missing_skills").alias("_all"))
+    items = listed.select(
+        "id", "_matched", F.posexplode("_all").alias("_pos", "skill")
+    ).select("id", F.lower("skill").alias("skill"), (F.col("_pos") < F.col("_matched")).alias("hit"))
     importance = weights.groupBy(F.lower("skill").alias("skill")).agg(
         F.max(F.col("weight").cast("long")).alias("weight"))
     # A common skill occurs in nearly every JD, hence the spread join on skill.  The
@@ -178,7 +180,7 @@ def ats_coverage(
     weighed = spread_join(items, importance, ["skill"], "left", spread_by=["id"], hot=hot).withColumn(
         "weight", F.coalesce("weight", F.lit(1)))
     sums = weighed.groupBy("id").agg(
-        F.sum(F.col("weight") * F.col("hit")).alias("_part"), F.sum("weight").alias("_whole"))
+        F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0)).alias("_part"), F.sum("weight").alias("_whole"))
     return (
         split.join(sums, "id", "left")
         .withColumn("ats_score", F.coalesce(_share(F.col("_part"), F.col("_whole")), F.lit(0)))

@@ -153,8 +153,9 @@ def jds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skilled_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with the words of the user's own document as skills."""
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), words_of(F.col("text")).alias("profile_skills"))
-    return profiles(spark, sf_dir).join(docs, "id", "left")
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("_text"))
+    return profiles(spark, sf_dir).join(docs, "id", "left").withColumn(
+        "profile_skills", words_of(F.col("_text"))).drop("_text")
 
 
 def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
