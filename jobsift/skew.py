@@ -28,15 +28,15 @@ def salt_of(spread_by: Sequence[str], salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The (at most ``HOT_KEYS``) most frequent keys with ``min_rows`` rows or more.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
+    """The (at most ``HOT_KEYS``) most frequent keys with ``min_rows`` (``HOT_ROWS``) rows or more.
 
     A key outside the list holds less than 1/``HOT_KEYS`` of the rows, so the
     bound costs no correctness and leaves no unsplit giant.
     """
     return (
         df.groupBy(*keys).count()
-        .where(F.col("count") >= min_rows)
+        .where(F.col("count") >= (HOT_ROWS if min_rows is None else min_rows))
         .orderBy(F.desc("count"), *keys)
         .limit(HOT_KEYS)
         .select(*keys)
@@ -50,7 +50,7 @@ def spread_join(
     how: str,
     spread_by: Sequence[str],
     hot: DataFrame | None = None,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join where ``left`` may be skewed on ``keys``.
