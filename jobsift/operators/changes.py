@@ -211,20 +211,21 @@ def publish_reports(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(report headers, frozen rows, refused requests).
 
-    Requests: request_id, user_id, batch_id.  Frozen rows carry the slug and
-    every column of the result, one row each, so a batch of any size fits.
+    Requests: request_id, user_id, batch_id.  Frozen rows carry every column of
+    the result, the slug and the report's row count (snapshot_rows), one row
+    each, so a batch of any size fits.
     A request for an empty or another user's batch is refused.
     """
     keys = ["user_id", "batch_id"]
     known = results.groupBy(*keys).agg(F.count("*").alias("rows"))
     headers = requests.join(known, keys).select(
         F.col("request_id").cast("string").alias("id"), *keys,
-        report_slug(F.col("request_id")).alias("slug"), "rows",
+        report_slug(F.col("request_id")).alias("slug"), F.col("rows").alias("snapshot_rows"),
         (now + F.make_interval(days=F.lit(days))).alias("expires_at"), now.alias("created_at"),
     )
     frozen = spread_join(
-        results, headers.select(*keys, "slug"), keys, "inner", spread_by=["id"]
-    ).select(*results.columns, "slug")
+        results, headers.select(*keys, "slug", "snapshot_rows"), keys, "inner", spread_by=["id"]
+    ).select(*results.columns, "slug", "snapshot_rows")
     return headers, frozen, requests.join(known, keys, "left_anti")
 
 
@@ -235,14 +236,13 @@ def nest_snapshots(
 
     The parts are even by hash, so about ``part_rows`` rows meet in one list.
     """
-    parts = F.ceil(F.col("rows") / part_rows)
-    rows = spread_join(
-        frozen, headers.select("slug", "rows"), ["slug"], "inner", spread_by=["id"]
-    ).withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    columns = [c for c in frozen.columns if c != "slug"]
-    nested = rows.groupBy("slug", "part").agg(
-        F.sort_array(F.collect_list(F.struct(*columns))).alias("results_snapshot"))
-    return nested.join(headers.drop("rows"), "slug")
+    parts = F.ceil(F.col("snapshot_rows") / part_rows)
+    columns = [c for c in frozen.columns if c not in ("slug", "snapshot_rows")]
+    nested = (
+        frozen.withColumn("part", F.pmod(F.xxhash64("id"), parts)).groupBy("slug", "part")
+        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("results_snapshot"))
+    )
+    return nested.join(headers.drop("snapshot_rows"), "slug")
 
 
 def flatten_snapshots(reports: DataFrame) -> DataFrame:
@@ -265,8 +265,7 @@ def report_with_owner(reports: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def report_summary(frozen: DataFrame) -> DataFrame:
     """Per slug: verdict counts, rows, and the headline on time saved."""
-    counts = verdict_counts(frozen, ("slug",)).join(
-        frozen.groupBy("slug").agg(F.count("*").alias("roles")), "slug")
+    counts = verdict_counts(frozen, ("slug",), more=[F.count("*").alias("roles")])
     return counts.withColumn("headline", F.when(F.col("reject") > 0, time_saved(F.col("reject"))).otherwise(
         F.format_string(
             "All %d jobs cleared the dealbreaker filters — none were obvious time-wasters.", "roles")))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsift import constants as K
 from jobsift.functions.scores import time_saved, verdict_rank
 from jobsift.functions.text import js_trim
-from jobsift.skew import position_in_group, spread_join, top_k
+from jobsift.skew import keep_top_k, position_in_group, spread_join
 
 BIG_GROUP_SPAN = 1_000_000   # positions per bucket when a group is numbered
 
@@ -30,11 +32,8 @@ def filter_history(df: DataFrame, verdict: str = "ALL", query: str = "") -> Data
 
 def recent_history(df: DataFrame, n: int = K.HISTORY_ROWS_PER_USER) -> DataFrame:
     """The newest ``n`` rows of each user, without the job text."""
-    slim = df.drop("jd_text")
-    return top_k(
-        slim, ["user_id"], [F.col("created_at").desc(), F.col("id").asc()], n,
-        spread_by=["id"], rank="_rank",
-    ).drop("_rank")
+    return keep_top_k(
+        df.drop("jd_text"), ["user_id"], [("created_at", False), ("id", True)], n, row_key=["id"])
 
 
 def split_results(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,14 +64,20 @@ def sort_results(df: DataFrame, key: str = "composite_score") -> DataFrame:
     return df.orderBy("batch_id", value.asc() if ascending else value.desc(), "seq")
 
 
-def rank_results(df: DataFrame, key: str = "composite_score") -> DataFrame:
-    """Add each row's ``position`` (from 1) in its batch under :func:`sort_results` order."""
+def rank_results(
+    df: DataFrame, key: str = "composite_score", attach: DataFrame | None = None
+) -> DataFrame:
+    """Add each row's ``position`` (from 1) in its batch under :func:`sort_results` order.
+
+    ``attach`` may give further columns per batch_id.
+    """
     value, ascending = _sort_value(key)
     return position_in_group(
         df, ["batch_id"],
         [("_value", value, ascending),
          ("_span", F.floor(F.col("seq") / BIG_GROUP_SPAN), True)],
         [F.col("seq").asc()],
+        attach=attach,
     )
 
 
@@ -117,14 +122,17 @@ def order_batches(batches: DataFrame, oldest: bool = False) -> DataFrame:
     return batches.orderBy("user_id", when, "batch_id")
 
 
-def verdict_counts(df: DataFrame, keys: tuple[str, ...] = ("batch_id",)) -> DataFrame:
-    """Rows per verdict and the non-rejects; error rows (empty id) do not count."""
+def verdict_counts(
+    df: DataFrame, keys: tuple[str, ...] = ("batch_id",), more: Sequence[Column] = ()
+) -> DataFrame:
+    """Rows per verdict and the non-rejects, with ``more`` aggregates; error rows
+    (empty id) do not count."""
     scored = F.col("id") != ""
     counts = [
         F.count_if(scored & (F.col("verdict") == v)).alias(v.lower()) for v in K.VERDICTS
     ]
     return df.groupBy(*keys).agg(
-        *counts, F.count_if(scored & (F.col("verdict") != "REJECT")).alias("worth_a_look"))
+        *counts, F.count_if(scored & (F.col("verdict") != "REJECT")).alias("worth_a_look"), *more)
 
 
 def lifetime_saved(df: DataFrame) -> DataFrame:

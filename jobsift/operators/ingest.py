@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobsift import constants as K
 from jobsift.functions.text import is_blank, js_trim, non_empty, split_lines, text_problem
-from jobsift.skew import top_k
+from jobsift.skew import keep_top_k
 
 SPACE = r"[ \t\n\x0B\f\r]"
 HIDDEN_MARKUP = r"(?is)<!--.*?-->|<script[ >].*?</script>|<style[ >].*?</style>"
@@ -29,7 +29,7 @@ def drop_blank(df: DataFrame, col: str) -> DataFrame:
 
 def cap_batch(df: DataFrame, n: int, keys: Sequence[str] = ("batch_id",), seq: str = "seq") -> DataFrame:
     """The first ``n`` items of each batch."""
-    return top_k(df, keys, [F.col(seq).asc()], n, spread_by=[seq], rank="_rank").drop("_rank")
+    return keep_top_k(df, keys, [(seq, True)], n, row_key=[*keys, seq])
 
 
 def validate_text(df: DataFrame, col: str, max_chars: int = K.MAX_TEXT_CHARS) -> DataFrame:

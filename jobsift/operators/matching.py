@@ -216,8 +216,12 @@ def score_joined(df: DataFrame, known_locations: Sequence[str]) -> DataFrame:
 
 def score_batch(jds: DataFrame, profiles: DataFrame, known_locations: Sequence[str]) -> DataFrame:
     """Hard rejects, skill coverage, role level, composite and verdict with one join."""
-    joined = with_profile(jds, prepare_profiles(profiles), ["rules", "profile_skills"])
-    return score_joined(joined, known_locations)
+    return score_prepared(jds, prepare_profiles(profiles), known_locations)
+
+
+def score_prepared(jds: DataFrame, prepared: DataFrame, known_locations: Sequence[str]) -> DataFrame:
+    """:func:`score_batch` with profiles already prepared, for instance a stored table."""
+    return score_joined(with_profile(jds, prepared, ["rules", "profile_skills"]), known_locations)
 
 
 # --- pluggable scorer ---------------------------------------------------------
@@ -266,9 +270,12 @@ def until_fatal(df: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame
     return joined.where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))).drop("_stop")
 
 
-def assemble_results(inputs: DataFrame, scored: DataFrame) -> DataFrame:
+def assemble_results(inputs: DataFrame, scored: DataFrame, how: str = "left") -> DataFrame:
     """Result rows from the entered items and the scorer's answers.
 
+    ``how`` is ``left`` when every item must give a row (one without an answer
+    failed), ``inner`` when items without an answer were never screened.
+
     ``inputs``: batch_id, seq, user_id, job_url, job_title, company, jd_text.
     ``scored``: batch_id, seq, id, job_title, company, jd_text, scores, verdict,
     hard_reject_reasons, outcome, message.  Entered values win when not null.
@@ -280,7 +287,7 @@ def assemble_results(inputs: DataFrame, scored: DataFrame) -> DataFrame:
         "id", "ats_score", "role_level_score", "composite_score", "verdict",
         "hard_reject_reasons", "outcome", "message",
     )
-    joined = inputs.join(answers, ["batch_id", "seq"], "left")
+    joined = inputs.join(answers, ["batch_id", "seq"], how)
     ok = F.coalesce(F.col("outcome") == "ok", F.lit(False))
 
     def pick(name: str, default: str | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobsift.functions import scores
 from jobsift.functions.text import normalize_job_url
 from jobsift.operators import changes, history, ingest, matching, usage
-from jobsift.skew import spread_join
+from jobsift.session import materialize
 
 
 def screen_batches(
@@ -34,11 +34,39 @@ def screen_batches(
     return matching.score_joined(owned.drop("tier"), known_locations)
 
 
+def screen_with(
+    jds: DataFrame, profiles: DataFrame, scorer: Callable, answer_schema: str,
+    period: str = "month", quota: bool = False,
+) -> DataFrame:
+    """The same flow around a caller's scorer (see ``matching.score_with``).
+
+    ``scorer`` gets batch_id, seq, jd_text, job_url, resume and hard_reject_filters
+    and answers with the columns of ``answer_schema``: batch_id, seq, id, job_title,
+    company, jd_text, the scores, verdict, hard_reject_reasons, and status,
+    detail_items, detail, error, status_text.  A batch ends before its first fatal
+    answer, and under ``quota`` a free user's items end with the period's allowance.
+    """
+    items = ingest.drop_blank(jds, "jd_text").withColumn("job_url", normalize_job_url(F.col("job_url")))
+    owners = profiles.withColumn("resume", matching.resume_for_scoring())
+    owned = matching.with_profile(items, owners, ["resume", "hard_reject_filters", "tier"])
+    asked = owned.select("batch_id", "seq", "jd_text", "job_url", "resume", "hard_reject_filters")
+    # The steps below read the answers several times; each item is scored once.
+    scored = materialize(matching.score_with(asked, scorer, answer_schema), "answers")
+    answers = matching.classify_outcome(scored)
+    kept = matching.until_fatal(answers)
+    if quota:
+        tried = owned.select("batch_id", "seq", "user_id", "tier", F.col("created_at").alias("ts")).join(
+            kept.select("batch_id", "seq", (F.col("outcome") == "ok").alias("success")), ["batch_id", "seq"])
+        gate = usage.quota_gate(
+            tried.withColumn("item_id", F.struct("batch_id", "seq")), period=period).where("admitted")
+        kept = kept.join(gate.select("batch_id", "seq"), ["batch_id", "seq"], "left_semi")
+    inputs = items.select("batch_id", "seq", "user_id", "job_url", "job_title", "company", "jd_text")
+    return matching.assemble_results(inputs, kept, how="inner")
+
+
 def ranked_report(results: DataFrame) -> DataFrame:
     """Ranked rows of every batch with label, reason and the batch's counts and time saved."""
-    ranked = history.rank_results(results)
-    counts = history.verdict_counts(results)
-    rows = spread_join(ranked, counts, ["batch_id"], "inner", spread_by=["id"])
+    rows = history.rank_results(results, attach=history.verdict_counts(results))
     return rows.select(
         "batch_id", "position", "id", "job_title", "company", "composite_score", "verdict",
         scores.verdict_label(F.col("verdict")).alias("label"),

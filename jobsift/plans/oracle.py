@@ -796,6 +796,23 @@ answers AS (SELECT j.id, batch_id, seq, CAST(CASE WHEN length(resume) > 2000 THE
 SELECT *, {composite("ats_score", "role_level_score")} AS composite_score FROM answers""", "jds")
 oracle("p1_screen_batches", f"""
 SELECT n.* FROM native n JOIN jds j USING (id) WHERE {trim("j.jd_text")} <> ''""", "native", "jds")
+oracle("p1_screen_with", f"""
+WITH resumes AS ({ORACLE["d1_effective_resume"]}),
+tried AS (SELECT j.seq, j.user_id, j.job_url, j.job_title, length(j.jd_text) AS chars, length(resume) AS r, tier, created_at
+  FROM jds j JOIN resumes ON resumes.id = j.user_id JOIN profiles p ON p.id = j.user_id
+  JOIN (SELECT id, created_at FROM screenings) s ON s.id = j.id),
+answered AS (SELECT *, chars % 53 = 0 OR chars % 31 = 0 AS fatal, chars % 53 <> 0 AND chars % 31 <> 0 AND r <= 2000 AS ok FROM tried),
+kept AS (SELECT * FROM answered
+  QUALIFY count(*) FILTER (fatal) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) = 0),
+admitted AS (SELECT * FROM kept QUALIFY tier <> 'free' OR coalesce(count(*) FILTER (ok) OVER (
+  PARTITION BY user_id, date_trunc('month', created_at) ORDER BY created_at, seq
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5)
+SELECT CASE WHEN ok THEN 'r' || seq ELSE '' END AS id, user_id, seq, job_url,
+  CASE WHEN seq % 2 = 0 THEN job_title WHEN ok THEN 'scored' END AS job_title,
+  CAST(CASE WHEN ok THEN chars % 101 ELSE 0 END AS INTEGER) AS ats_score,
+  CAST(CASE WHEN ok THEN r % 101 ELSE 0 END AS INTEGER) AS role_level_score,
+  CASE WHEN ok THEN 'WEAK' ELSE 'REJECT' END AS verdict, CASE WHEN ok THEN '' ELSE 'failed' END AS reasons
+FROM admitted""", "jds", "profiles", "screenings")
 oracle("p1_ranked_report", f"""
 WITH reasons AS ({ORACLE["d10_reason_line"]}),
 labels_shown AS (SELECT 'STRONG' AS verdict, 'Excellent Match' AS label UNION ALL SELECT 'DECENT', 'Worth Applying'

@@ -767,24 +767,23 @@ def j6_reset_usage(spark, sf_dir):
 def k1_stream_screen(spark, sf_dir):
     arriving, out, state = (work_dir(spark, n) for n in ("jds", "screened", "state"))
     rows = v.jds(spark, sf_dir)
-    rows.repartition(4).write.parquet(arriving)
-    stream = streams.read_stream(spark, rows.schema, arriving, max_files=2)
+    rows.write.parquet(arriving)
+    stream = streams.read_stream(spark, rows.schema, arriving)
     stored = work_dir(spark, "profiles")
     matching.prepare_profiles(v.skilled_profiles(spark, sf_dir)).write.parquet(stored)
-    scored = streams.stream_screen(stream, spark.read.parquet(stored), v.KNOWN_LOCATIONS)
-    done = streams.append_to(
-        scored.select("id", "ats_score", "role_level_score", "composite_score", "verdict",
-                      joined("hard_reject_reasons").alias("reasons")), out, state)
-    done.awaitTermination()
-    return spark.read.parquet(out)
+    streams.stream_screen(
+        stream, spark.read.parquet(stored), v.KNOWN_LOCATIONS, out, state).awaitTermination()
+    return spark.read.parquet(out).select(
+        "id", "ats_score", "role_level_score", "composite_score", "verdict",
+        joined("hard_reject_reasons").alias("reasons"))
 
 
 @query
 def k2_stream_tiers(spark, sf_dir):
     arriving, out, state = (work_dir(spark, n) for n in ("payments", "tiers", "state"))
     rows = v.payments(spark, sf_dir)
-    rows.repartition(4).write.parquet(arriving)
-    stream = streams.read_stream(spark, rows.schema, arriving, max_files=2)
+    rows.write.parquet(arriving)
+    stream = streams.read_stream(spark, rows.schema, arriving)
     streams.update_to(streams.stream_tiers(stream), out, state).awaitTermination()
     latest = streams.read_updates(spark, out, ["email"])
     return usage.apply_tiers(v.profiles(spark, sf_dir), latest).select("id", "email", "tier")
@@ -794,8 +793,8 @@ def k2_stream_tiers(spark, sf_dir):
 def k3_stream_usage(spark, sf_dir):
     arriving, out, state = (work_dir(spark, n) for n in ("usage", "used", "state"))
     rows = v.usage_items(spark, sf_dir)
-    rows.repartition(4).write.parquet(arriving)
-    stream = streams.read_stream(spark, rows.schema, arriving, max_files=2)
+    rows.write.parquet(arriving)
+    stream = streams.read_stream(spark, rows.schema, arriving)
     streams.update_to(streams.stream_usage(stream), out, state).awaitTermination()
     return streams.read_updates(spark, out, ["user_id", "period"]).select(
         "user_id", ts("period").alias("period"), "used")
@@ -844,6 +843,33 @@ def p1_screen_batches(spark, sf_dir):
                       joined("hard_reject_reasons").alias("reasons"))
 
 
+def moody_scorer(frames):
+    """A stand-in scorer that also answers with each kind of failure."""
+    for pdf in frames:
+        chars, resume = pdf["jd_text"].str.len(), pdf["resume"].str.len()
+        status = (resume * 0 + 200).mask(resume > 2000, 500).mask(chars % 31 == 0, 429).mask(chars % 53 == 0, 401)
+        yield pdf[["batch_id", "seq", "jd_text"]].assign(
+            id="r" + pdf["seq"].astype(str), job_title="scored", company=None,
+            ats_score=(chars % 101).astype("int32"), role_level_score=(resume % 101).astype("int32"),
+            composite_score=50, verdict="WEAK", hard_reject_reasons=[[] for _ in range(len(pdf))],
+            status=status.astype("int32"), detail_items=None, detail=None, error="failed", status_text="Error")
+
+
+ANSWER = (
+    "batch_id string, seq long, id string, job_title string, company string, jd_text string, ats_score int,"
+    " role_level_score int, composite_score int, verdict string, hard_reject_reasons array<string>, status int,"
+    " detail_items array<struct<loc array<string>, msg string>>, detail string, error string, status_text string")
+
+
+@query
+def p1_screen_with(spark, sf_dir):
+    jds = v.jds(spark, sf_dir).withColumns({
+        "batch_id": F.col("user_id"), "job_title": F.when(F.col("seq") % 2 == 0, F.col("job_title"))})
+    out = flows.screen_with(jds, v.profiles(spark, sf_dir), moody_scorer, ANSWER, quota=True)
+    return out.select("id", "user_id", "seq", "job_url", "job_title", "ats_score", "role_level_score", "verdict",
+                      joined("hard_reject_reasons").alias("reasons"))
+
+
 @query
 def p1_ranked_report(spark, sf_dir):
     return flows.ranked_report(v.screenings(spark, sf_dir)).withColumn(

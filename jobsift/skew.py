@@ -105,6 +105,24 @@ def top_k(
     )
 
 
+def keep_top_k(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[tuple[str, bool]],
+    k: int,
+    row_key: Sequence[str],
+) -> DataFrame:
+    """The first ``k`` rows of each key of a wide frame.
+
+    ``order`` is (column, ascending); ``row_key`` identifies a row.  Only those
+    columns are ranked; the wide rows move once, in the join back.
+    """
+    columns = list(dict.fromkeys([*keys, *(c for c, _ in order), *row_key]))
+    by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    kept = top_k(df.select(*columns), keys, by, k, spread_by=row_key).select(*row_key)
+    return df.join(kept, list(row_key), "left_semi")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key with the greatest ``order`` columns."""
     keys = list(keys)
@@ -122,13 +140,16 @@ def position_in_group(
     buckets: Sequence[tuple[str, Column, bool]],
     order: Sequence[Column],
     name: str = "position",
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """Number every row of a group without bringing the group together.
 
     ``buckets`` are (name, expression, ascending) and must agree with ``order``:
     rows of an earlier bucket come before rows of a later one.  Bucket sizes
     are counted, their running sum gives each bucket's offset, and rows are
-    numbered inside their bucket only.
+    numbered inside their bucket only.  Columns of ``attach``, one row per group,
+    ride along with the offsets and so cost no second pass over the rows.  Keys
+    must not be null.
     """
     keys = list(keys)
     names = [n for n, _, _ in buckets]
@@ -145,6 +166,8 @@ def position_in_group(
         .withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
         .drop("count")
     )
+    if attach is not None:
+        offsets = offsets.join(attach, keys)
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     return (
         bucketed.join(offsets, [*keys, *names])
