@@ -11,6 +11,12 @@ from jobsift.functions import scores
 from jobsift.functions.text import normalize_job_url
 from jobsift.operators import changes, history, ingest, matching, usage
 from jobsift.session import materialize
+from jobsift.skew import hot_keys
+
+
+def _hot_users(jds: DataFrame) -> DataFrame:
+    """Counted before the blank filter, so that the count reads ids and no text."""
+    return hot_keys(jds, ["user_id"])
 
 
 def screen_batches(
@@ -24,7 +30,8 @@ def screen_batches(
     """
     items = ingest.drop_blank(jds, "jd_text").withColumn("job_url", normalize_job_url(F.col("job_url")))
     owned = matching.with_profile(
-        items, matching.prepare_profiles(profiles, "tier"), ["rules", "profile_skills", "tier"])
+        items, matching.prepare_profiles(profiles, "tier"), ["rules", "profile_skills", "tier"],
+        hot=_hot_users(jds))
     if quota:
         gate = usage.quota_gate(
             owned.select(F.col("id").alias("item_id"), "user_id", "tier",
@@ -48,7 +55,8 @@ def screen_with(
     """
     items = ingest.drop_blank(jds, "jd_text").withColumn("job_url", normalize_job_url(F.col("job_url")))
     owners = profiles.withColumn("resume", matching.resume_for_scoring())
-    owned = matching.with_profile(items, owners, ["resume", "hard_reject_filters", "tier"])
+    owned = matching.with_profile(
+        items, owners, ["resume", "hard_reject_filters", "tier"], hot=_hot_users(jds))
     asked = owned.select("batch_id", "seq", "jd_text", "job_url", "resume", "hard_reject_filters")
     # The steps below read the answers several times; each item is scored once.
     scored = materialize(matching.score_with(asked, scorer, answer_schema), "answers")

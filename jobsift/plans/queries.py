@@ -18,7 +18,7 @@ from jobsift.functions import scores, text
 from jobsift.operators import access, changes, history, ingest, insight, matching, usage
 from jobsift.plans import flows
 from jobsift.plans import views as v
-from jobsift.session import work_dir
+from jobsift.session import materialize, work_dir
 from jobsift.sources import intake, sinks, tables
 from jobsift.streaming import streams
 
@@ -514,8 +514,10 @@ def e4_with_profile(spark, sf_dir):
 
 
 def covered(spark, sf_dir) -> DataFrame:
-    """Screened JDs with their skill lists."""
-    return matching.ats_coverage(v.jds(spark, sf_dir), v.skilled_profiles(spark, sf_dir))
+    """Screened JDs with their skill lists, stored as results are before they are studied."""
+    rows = matching.ats_coverage(v.jds(spark, sf_dir), v.skilled_profiles(spark, sf_dir))
+    return materialize(rows.select(
+        "id", "user_id", "batch_id", "seq", "job_title", "matching_skills", "missing_skills"), "covered")
 
 
 @query
