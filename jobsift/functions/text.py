@@ -38,10 +38,21 @@ def count_valid_urls(c: Column) -> Column:
     )
 
 
+def query_param(url: Column, name: str) -> Column:
+    """First value of a query parameter, decoded; null when the URL does not have it.
+
+    A pattern, because the built-in URL parser refuses characters such as spaces
+    that browsers accept.
+    """
+    pattern = rf"^[^?#]*\?(?:[^#]*?&)?{name}(?:=([^&#]*))?(?:[&#]|\z)"
+    value = F.regexp_extract(url, pattern, 1)
+    return F.when(url.rlike(pattern), F.coalesce(F.try_url_decode(value), value))
+
+
 def normalize_job_url(c: Column) -> Column:
     """Rewrite search URLs that carry ``currentJobId`` to the posting's own page."""
-    host = F.lower(F.try_parse_url(c, F.lit("HOST")))
-    job = F.try_parse_url(c, F.lit("QUERY"), F.lit("currentJobId"))
+    host = F.regexp_extract(F.lower(c), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    job = query_param(c, "currentJobId")
     return F.when(
         host.contains("linkedin.com") & job.isNotNull(),
         F.format_string(K.POSTING_URL, job),

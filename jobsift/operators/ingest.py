@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsift import constants as K
-from jobsift.functions.text import is_blank, js_trim, non_empty, split_lines, text_problem
+from jobsift.functions.text import is_blank, js_trim, non_empty, query_param, split_lines, text_problem
 from jobsift.skew import keep_top_k
 
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -117,7 +117,7 @@ def extract_posting_ids(pages: DataFrame, cap: int = K.MAX_POSTING_IDS) -> DataF
         _tags_with(html, "data-job-id|data-occludable-job-id"),
         lambda t: F.coalesce(_attribute(t, "data-job-id"), _attribute(t, "data-occludable-job-id")),
     )
-    by_id = F.filter(by_id, lambda v: v.rlike(r"^\d{5,}$"))
+    by_id = F.filter(by_id, lambda v: v.rlike(r"^\d{5,}\z"))
     by_urn = F.transform(
         _tags_with(html, "data-occludable-entity-urn|data-entity-urn"),
         lambda t: F.regexp_extract(
@@ -128,7 +128,8 @@ def extract_posting_ids(pages: DataFrame, cap: int = K.MAX_POSTING_IDS) -> DataF
         non_empty(F.regexp_extract(h, r"/jobs/view/(\d+)", 1)),
         F.regexp_extract(h, r"[?&]currentJobId=(\d+)", 1),
     ))
-    own = F.array(F.regexp_extract("url", r"^[^?#]*\?(?:[^#]*&)?currentJobId=(\d+)(?:[&#]|$)", 1))
+    own = F.array(F.regexp_extract(
+        F.coalesce(query_param(F.col("url"), "currentJobId"), F.lit("")), r"^(\d+)\z", 1))
     found = F.filter(F.concat(by_id, by_urn, by_link, own), lambda v: v != "")
     ids = F.slice(F.array_distinct(found), 1, cap)
     return pages.select("page_id", F.posexplode(ids).alias("seq", "posting_id")).withColumn(

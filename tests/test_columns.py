@@ -42,13 +42,19 @@ def test_normalize_job_url(spark):
         ("https://example.com/?currentJobId=42",),
         ("not a url ?currentJobId=1",),
         ("linkedin.com/jobs?currentJobId=1",),
+        ("https://x.org/?u=linkedin.com&currentJobId=1",),
+        ("https://www.linkedin.com/jobs?q=a b|c&currentJobId=4%32&currentJobId=9#currentJobId=8",),
+        ("https://www.linkedin.com/jobs?notcurrentJobId=1",),
+        ("https://www.linkedin.com/jobs#?currentJobId=1",),
     ]
     got = [r[0] for r in values(spark, rows, "c string", text.normalize_job_url(F.col("c")))]
     assert got == [
         "https://www.linkedin.com/jobs/view/42/",
         "https://www.linkedin.com/jobs/view/7/",
         "https://www.linkedin.com/jobs/view//",
-        rows[3][0], rows[4][0], rows[5][0], rows[6][0],
+        *[rows[i][0] for i in range(3, 8)],
+        "https://www.linkedin.com/jobs/view/42/",
+        rows[9][0], rows[10][0],
     ]
 
 

@@ -39,6 +39,26 @@ def test_batch_export_bytes(spark, tmp_path):
         ",B,,0,0,0,REJECT,one; two; three,2024-01-02T00:00:00.000000\n")
 
 
+def test_large_batch_keeps_its_order_over_files(spark, tmp_path):
+    rows = spark.range(0, 20_000, numPartitions=4).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") >= 0, F.when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.concat(F.lit("b"), (F.col("id") % 50).cast("string")))).alias("batch_id"),
+        F.col("id").alias("seq"), F.lit("t").alias("job_title"), F.lit("c").alias("company"), F.lit(None).cast("string").alias("job_url"),
+        *[(F.col("id") * 37 % 101).cast("int").alias(c) for c in ("ats_score", "role_level_score", "composite_score")],
+        F.lit("WEAK").alias("verdict"), F.array().cast("array<string>").alias("hard_reject_reasons"),
+        F.timestamp_seconds("id").alias("created_at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.export_batches_csv(rows, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(glob.glob(str(tmp_path / "out" / "batch_id=hot" / "part-*.csv")))
+    lines = [line.split(",") for p in files for line in open(p).read().splitlines()[1:]]
+    got = [(-int(x[5]), x[8]) for x in lines]
+    assert len(files) > 1 and len(got) == 6667 and got == sorted(got)
+
+
 def test_ranked_export_bytes(spark, tmp_path):
     sinks.export_ranked_csv(results(spark, ROWS).where("batch_id = 'b'").coalesce(1), str(tmp_path / "out"))
     assert read_all(tmp_path / "out" / "rows" / "batch_id=b").split("\n")[1] == ',"Say ""hi"", all",44,58,52,WEAK'
