@@ -6,13 +6,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsift.llm import bpe, embed_dedup, near_dedup, prefix_counts, topk
+from jobsift.llm import bpe, embed_dedup, language_id, mixing, near_dedup, prefix_counts, pseudonyms, secret_scan, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of pseudonyms; the default is for tests only."""
+    return spark.conf.get("spark.jobsift.pseudonym.key", "test key, set spark.jobsift.pseudonym.key")
+
+
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+        F.sha2(secret_scan.written(secret_scan.base_only(F.col("spans"))), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"), "n_opaque", "n_live", "n_shared")
+
+
+def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.assign_positions(table(spark, sf_dir, "documents"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_text_model(docs, "doc_id", "text", "lang")
+    found = language_id.identify(docs, model, "doc_id", "text", declared_col="lang", host_col="source")
+    return found.select(
+        F.col("id").alias("doc_id"), "language", "text_language", F.round("confidence", 6).alias("confidence"),
+        F.col("accepted").alias("kept"))
+
+
 def op4_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.search_top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -38,6 +65,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return records.withColumnRenamed("id", "page_id")
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, pii_key(spark), count_col="n_pseudonyms")
+
+
 def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(
@@ -45,9 +82,7 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_block_top_k": op4_block_top_k,
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op6_token_counts": op6_token_counts,
-    "op7_byte_bpe": op7_byte_bpe,
-    "op10_lattice_near_dedup": op10_lattice_near_dedup,
+    f.__name__: f for f in (
+        op1_secret_ownership, op2_curriculum_mix, op3_language_fusion, op4_block_top_k, op5_minhash_near_dedup,
+        op6_token_counts, op7_byte_bpe, op8_warc_derivatives, op9_feistel_pseudonyms, op10_lattice_near_dedup)
 }
