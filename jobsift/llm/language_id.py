@@ -139,14 +139,15 @@ def identify(
     size = len(names)
     value = lambda c: F.lit(None).cast("string") if c is None else F.lower(F.col(c).cast("string"))
     source = rows.select(
-        F.col(id_col).alias("id"), *(F.col(c) for c in keep), value(declared_col).alias("declared"), value(host_col).alias("host"),
+        F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"), value(declared_col).alias("declared"), value(host_col).alias("host"),
         value(domain_col).alias("domain"), value(suffix_col).alias("suffix"), F.col(text_col).alias("text"))
+    kept = [F.col(f"kept.`{c}`") for c in keep]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("text").schema)
     scored = source.mapInArrow(_scorer(model, temper), f"{ddl}, text_score array<double>, trigrams long")
     if not size:
         return scored.select(
             "id", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"),
-            F.lit(False).alias("accepted"), *keep)
+            F.lit(False).alias("accepted"), *kept)
     best = F.when(F.col("trigrams") > 0, F.array_position("text_score", F.array_max("text_score")).cast("int") - 1)
     scored = materialize(scored.withColumn("best", best), "language")
 
@@ -187,11 +188,11 @@ def identify(
     name_of = lambda i: F.element_at(F.lit(names), i)
     out = joined.select(
         "id", F.when(known, name_of(place)).otherwise(UNKNOWN).alias("language"), F.when(known, sure).otherwise(0.0).alias("confidence"),
-        F.when(known, name_of(F.col("best") + 1)).otherwise(UNKNOWN).alias("text_language"), *keep)
+        F.when(known, name_of(F.col("best") + 1)).otherwise(UNKNOWN).alias("text_language"), "kept")
     good = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least_confidence)
     if accepted is not None:
         good = good & F.col("language").isin(*accepted)
-    return out.select("id", "language", "confidence", "text_language", good.alias("accepted"), *keep)
+    return out.select("id", "language", "confidence", "text_language", good.alias("accepted"), *kept)
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
