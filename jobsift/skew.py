@@ -19,27 +19,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000   # rows of one key that are still fine in one task
-HOT_KEYS = 1_000       # bound on the broadcast list of hot keys
-SALTS = 32
+SALTS = 32             # for rows without a key, and where no key was counted
 
 
-def salt_of(spread_by: Sequence[str], salts: int = SALTS) -> Column:
+def salt_of(spread_by: Sequence[str], salts: int | Column = SALTS) -> Column:
     """Deterministic salt, so a recomputed task gives the same value."""
     return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
-    """The (at most ``HOT_KEYS``) most frequent keys with ``min_rows`` (``HOT_ROWS``) rows or more.
+    """Every key with ``min_rows`` (``HOT_ROWS``) rows or more, and how many salts it needs.
 
-    A key outside the list holds less than 1/``HOT_KEYS`` of the rows, so the
-    bound costs no correctness and leaves no unsplit giant.
+    A key of n rows gets ``2 * n / min_rows`` salts, so about half of ``min_rows`` rows meet
+    in a task however large the key is.  The list has at most (rows of ``df``) /
+    ``min_rows`` entries.
     """
+    least = HOT_ROWS if min_rows is None else min_rows
     return (
-        df.groupBy(*keys).count()
-        .where(F.col("count") >= (HOT_ROWS if min_rows is None else min_rows))
-        .orderBy(F.desc("count"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys)
+        df.groupBy(*keys).count().where(F.col("count") >= least)
+        .select(*keys, F.greatest(F.ceil(F.col("count") * 2 / least), F.lit(2)).cast("int").alias("salts"))
     )
 
 
@@ -51,32 +49,29 @@ def spread_join(
     spread_by: Sequence[str],
     hot: DataFrame | None = None,
     min_rows: int | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join where ``left`` may be skewed on ``keys``.
 
     ``spread_by`` names left columns that differ between rows of one key.
     ``hot`` may give the hot keys when a cheaper frame than ``left`` knows them.
     Each left row gets exactly one salt and every matching right row exists once
-    per salt, so inner, left, left_semi and left_anti all stay exact.
+    per salt of its key, so inner, left, left_semi and left_anti all stay exact.
     """
     keys = list(keys)
     found = hot if hot is not None else hot_keys(left, keys, min_rows)
-    marked = F.broadcast(found.withColumn("_hot", F.lit(True)))
+    # Bounded by (rows / HOT_ROWS) keys, see ``hot_keys``.
+    marked = F.broadcast(found.withColumnRenamed("salts", "_salts"))
     # Null keys never match; spread them too rather than pile them in one task.
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salted = left.join(marked, keys, "left").withColumn(
         "_salt",
-        F.when(F.coalesce(F.col("_hot"), F.lit(False)) | no_key, salt_of(spread_by, salts))
+        F.when(no_key, salt_of(spread_by, 1 << 20))
+        .when(F.col("_salts").isNotNull(), salt_of(spread_by, F.col("_salts")))
         .otherwise(F.lit(0)),
-    ).drop("_hot")
+    ).drop("_salts")
     copies = right.join(marked, keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-            .otherwise(F.array(F.lit(0)))
-        ),
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)),
+    ).drop("_salts")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -148,8 +143,8 @@ def position_in_group(
     rows of an earlier bucket come before rows of a later one.  Bucket sizes
     are counted, their running sum gives each bucket's offset, and rows are
     numbered inside their bucket only.  Columns of ``attach``, one row per group,
-    ride along with the offsets and so cost no second pass over the rows.  Keys
-    must not be null.
+    ride along with the offsets and so cost no second pass over the rows.  Rows whose
+    bucket value is null form a bucket of their own; keys must not be null.
     """
     keys = list(keys)
     names = [n for n, _, _ in buckets]
@@ -169,8 +164,13 @@ def position_in_group(
     if attach is not None:
         offsets = offsets.join(attach, keys)
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
+    offsets = offsets.withColumnsRenamed({n: f"_of{n}" for n in names})
+    same = reduce(lambda a, b: a & b, [bucketed[k] == offsets[k] for k in keys] + [
+        bucketed[n].eqNullSafe(offsets[f"_of{n}"]) for n in names])
+    joined = bucketed.join(offsets, same)
+    for k in keys:
+        joined = joined.drop(offsets[k])
     return (
-        bucketed.join(offsets, [*keys, *names])
-        .withColumn(name, F.row_number().over(inside) + F.col("_before"))
-        .drop("_before", *names)
+        joined.withColumn(name, F.row_number().over(inside) + F.col("_before"))
+        .drop("_before", *names, *(f"_of{n}" for n in names))
     )
