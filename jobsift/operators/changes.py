@@ -188,39 +188,46 @@ def delete_results(
     """(results, tracker) after deleting results (id): tracker rows stay, their link becomes null."""
     gone = deleted.select("id").distinct()
     links = gone.select(F.col("id").alias("screening_result_id")).withColumn("_gone", F.lit(True))
-    unlinked = tracker.join(links, "screening_result_id", "left").withColumn(
+    # Rows without a link stay as they are and do not meet anywhere.
+    linked = spread_join(
+        tracker.where("screening_result_id IS NOT NULL"), links, ["screening_result_id"], "left", spread_by=["id"])
+    unlinked = linked.withColumn(
         "screening_result_id",
         F.when(F.col("_gone").isNull(), F.col("screening_result_id")),
-    ).select(*tracker.columns)
+    ).select(*tracker.columns).unionByName(tracker.where("screening_result_id IS NULL"))
     return results.join(gone, "id", "left_anti"), unlinked
 
 
 # --- published reports ---------------------------------------------------------
 
-def report_slug(request_id: Column, chars: int = SLUG_CHARS) -> Column:
-    """URL-safe characters from a hash of the request, so a rerun gives the same link.
+def report_slug(request_id: Column, secret: str, chars: int = SLUG_CHARS) -> Column:
+    """URL-safe characters from a keyed hash of the request.
 
-    Each character is 6 bits; 16 keep billions of reports apart.
+    A rerun gives the same link, and only who has the ``secret`` can tell it from the
+    request.  Each character is 6 bits; 16 keep billions of reports apart.
     """
-    digest = F.base64(F.unhex(F.sha2(request_id.cast("string"), 256)))
+    inner = F.sha2(F.concat(F.lit(f"{secret}|in|"), request_id.cast("string")), 256)
+    digest = F.base64(F.unhex(F.sha2(F.concat(F.lit(f"{secret}|out|"), inner), 256)))
     return F.substring(F.translate(digest, "+/", "-_"), 1, chars)
 
 
 def publish_reports(
-    results: DataFrame, requests: DataFrame, now: Column, days: int = K.REPORT_EXPIRY_DAYS
+    results: DataFrame, requests: DataFrame, now: Column, secret: str, days: int = K.REPORT_EXPIRY_DAYS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(report headers, frozen rows, refused requests).
 
     Requests: request_id, user_id, batch_id.  Frozen rows carry every column of
     the result, the slug and the report's row count (snapshot_rows), one row
     each, so a batch of any size fits.
-    A request for an empty or another user's batch is refused.
+    A request for an empty or another user's batch is refused.  A request may bring its own
+    random ``slug``; else the link comes from ``secret`` (see ``report_slug``).
     """
     keys = ["user_id", "batch_id"]
     known = results.groupBy(*keys).agg(F.count("*").alias("rows"))
     headers = requests.join(known, keys).select(
         F.col("request_id").cast("string").alias("id"), *keys,
-        report_slug(F.col("request_id")).alias("slug"), F.col("rows").alias("snapshot_rows"),
+        F.coalesce(F.col("slug") if "slug" in requests.columns else F.lit(None).cast("string"),
+                   report_slug(F.col("request_id"), secret)).alias("slug"), F.col("rows").alias("snapshot_rows"),
         (now + F.make_interval(days=F.lit(days))).alias("expires_at"), now.alias("created_at"),
     )
     frozen = spread_join(

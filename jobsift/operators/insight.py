@@ -72,9 +72,11 @@ def skill_demand(df: DataFrame, k: int = K.TOP_SKILLS) -> DataFrame:
     )
 
 
-def top_missing(df: DataFrame, k: int = K.TOP_SKILLS) -> DataFrame:
-    """Per batch the ``k`` skills most JDs ask for that the profile lacks."""
+def top_missing(df: DataFrame, k: int | None = K.TOP_SKILLS) -> DataFrame:
+    """Per batch the ``k`` skills most JDs ask for that the profile lacks; all, unranked, if None."""
     lacking = _lacking(skill_counts(df))
+    if k is None:
+        return lacking
     return top_k(
         lacking, ["batch_id"], [F.col("jds").desc(), F.col("skill").asc()], k, spread_by=["skill"])
 
@@ -104,12 +106,14 @@ def title_pattern(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"(?s)\s+[-–—]\s.*", ""))
 
 
-def title_patterns(df: DataFrame, k: int = 5) -> DataFrame:
-    """Per batch the ``k`` most common title patterns."""
+def title_patterns(df: DataFrame, k: int | None = 5) -> DataFrame:
+    """Per batch the ``k`` most common title patterns; all, unranked, if None."""
     counts = (
         df.select("batch_id", title_pattern(F.col("job_title")).alias("pattern"))
         .where("pattern <> ''").groupBy("batch_id", "pattern").agg(F.count("*").alias("jds"))
     )
+    if k is None:
+        return counts
     return top_k(
         counts, ["batch_id"], [F.col("jds").desc(), F.col("pattern").asc()], k,
         spread_by=["pattern"])
@@ -152,7 +156,9 @@ def batch_intelligence(
 ) -> DataFrame:
     """One row per batch of ``n`` rows or more, joining the reports above.
 
-    Every list is a top-k, so no row grows with the batch.
+    Every list is a top-k, so no row grows with the batch; ``top_missing`` and
+    ``title_patterns`` with ``k=None`` give these two reports uncut, as rows.  Rows of smaller
+    batches go before anything is exploded.
     """
     def ranked(reports: DataFrame, item: Column, name: str) -> DataFrame:
         return reports.groupBy("batch_id").agg(F.transform(
@@ -164,6 +170,7 @@ def batch_intelligence(
         F.count("*").alias("total_jds"),
         F.count_if(scores.inflated_manager(F.col("fake_em_detection"))).alias("red_flags_count"),
     ).where(F.col("total_jds") >= n)
+    df = spread_join(df, heads.select("batch_id"), ["batch_id"], "left_semi", spread_by=["id"])
     return (
         heads
         .join(ranked(skill_demand(df, k), demand, "top_required_skills"), "batch_id", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from jobsift import constants as K
 from jobsift.functions import scores
 from jobsift.functions.profiles import effective_resume
-from jobsift.functions.text import normalize_terms
+from jobsift.functions.text import js_trim, non_empty, normalize_terms
 from jobsift.skew import hot_keys, spread_join
 
 EMPTY_STRINGS = "array<string>"
@@ -37,6 +37,26 @@ def with_profile(
     return spread_join(jds, owners, ["user_id"], "inner", spread_by=["id"], hot=hot)
 
 
+def with_key(profiles: DataFrame) -> DataFrame:
+    """Profiles that can screen: those with a stored key."""
+    return profiles.where(non_empty(F.col("api_key_encrypted")).isNotNull())
+
+
+def refused_items(jds: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``(id, user_id, batch_id, reason)`` of the items that cannot be screened at all.
+
+    The first reason counts: no batch, no profile, no key, no text.
+    """
+    owners = profiles.select(
+        F.col("id").alias("user_id"), non_empty(F.col("api_key_encrypted")).isNotNull().alias("_key"))
+    asked = jds.select("id", "user_id", "batch_id", F.coalesce(js_trim(F.col("jd_text")) == "", F.lit(True)).alias("_blank"))
+    known = spread_join(asked, owners, ["user_id"], "left", spread_by=["id"])
+    reason = (
+        F.when(non_empty(F.col("batch_id")).isNull(), "no batch").when(F.col("_key").isNull(), "no profile")
+        .when(~F.col("_key"), "no key").when(F.col("_blank"), "no text"))
+    return known.select("id", "user_id", "batch_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def without_profile(jds: DataFrame, profiles: DataFrame) -> DataFrame:
     """JDs that are refused because their owner has no profile."""
     owners = profiles.select(F.col("id").alias("user_id"))
@@ -71,7 +91,7 @@ def prepare_profiles(profiles: DataFrame, *columns: str) -> DataFrame:
     skills = F.col("profile_skills") if "profile_skills" in profiles.columns else _no_strings()
     return profiles.select(
         "id", *columns, rule_set(F.col("hard_reject_filters")).alias("rules"),
-        F.array_distinct(F.transform(F.coalesce(skills, _no_strings()), lambda s: F.lower(s)))
+        F.array_distinct(F.transform(F.array_compact(F.coalesce(skills, _no_strings())), lambda s: F.lower(s)))
         .alias("profile_skills"),
     )
 
@@ -135,22 +155,26 @@ def _share(part: Column, whole: Column) -> Column:
 def with_skill_lists(df: DataFrame) -> DataFrame:
     """Replace ``profile_skills`` (lower-case) by matching_skills and missing_skills.
 
-    The distinct required skills are split by whether the profile has them;
-    case is ignored and the job's spelling is kept.
+    The distinct required skills are split by whether the profile has them; case is
+    ignored, the job's first spelling is kept, and nulls in either list are left out.
     """
-    wanted, mine = F.col("_wanted"), F.col("profile_skills")
-    spelled = F.array_join(wanted, "\n")
-    # Set operations hash both lists once.  Only lists with capitals need the
-    # look-up per item that keeps their spelling.
-    small = F.lower(spelled) == spelled
-    return df.withColumn(
-        "_wanted", F.array_distinct(F.coalesce("required_skills", _no_strings()))
-    ).withColumns({
-        "matching_skills": F.when(small, F.array_intersect(wanted, mine)).otherwise(
-            F.filter(wanted, lambda s: F.array_contains(mine, F.lower(s)))),
-        "missing_skills": F.when(small, F.array_except(wanted, mine)).otherwise(
-            F.filter(wanted, lambda s: ~F.array_contains(mine, F.lower(s)))),
-    }).drop("_wanted", "profile_skills")
+    mine = F.array_compact(F.coalesce("profile_skills", _no_strings()))
+    low, shown, both = F.col("_low"), F.col("_shown"), F.col("_both")
+    # Set operations hash the lower-case lists once and keep their order.  Where a job
+    # spells a skill with capitals, its first spelling is shown instead.
+    first = F.filter(F.col("_wanted"), lambda s, i: F.array_position("_all_low", F.lower(s)) == i + 1)
+    return (
+        df.withColumn("_wanted", F.array_compact(F.coalesce("required_skills", _no_strings())))
+        .withColumn("_all_low", F.transform("_wanted", lambda s: F.lower(s)))
+        .withColumn("_low", F.array_distinct("_all_low"))
+        .withColumn("_shown", F.when(F.size("_low") == F.size("_all_low"), F.col("_wanted")).otherwise(first))
+        .withColumn("_both", F.array_intersect(low, mine))
+        .withColumns({
+            "matching_skills": F.when(shown == low, both).otherwise(
+                F.filter(shown, lambda s: F.array_contains(both, F.lower(s)))),
+            "missing_skills": F.when(shown == low, F.array_except(low, mine)).otherwise(
+                F.filter(shown, lambda s: ~F.array_contains(both, F.lower(s)))),
+        }).drop("_wanted", "_all_low", "_low", "_shown", "_both", "profile_skills"))
 
 
 def ats_coverage(
@@ -270,6 +294,15 @@ def until_fatal(df: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame
     return joined.where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))).drop("_stop")
 
 
+def fatal_errors(df: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """One row per stopped batch: where it stopped, the kind of error and its message."""
+    keys = list(keys)
+    return (
+        df.where(is_fatal()).groupBy(*keys)
+        .agg(F.min_by(F.struct("seq", F.col("outcome").alias("type"), "message"), "seq").alias("_first"))
+        .select(*keys, "_first.*"))
+
+
 def assemble_results(inputs: DataFrame, scored: DataFrame, how: str = "left") -> DataFrame:
     """Result rows from the entered items and the scorer's answers.
 

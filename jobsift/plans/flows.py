@@ -11,7 +11,7 @@ from jobsift.functions import scores
 from jobsift.functions.text import normalize_job_url
 from jobsift.operators import changes, history, ingest, matching, usage
 from jobsift.session import materialize
-from jobsift.skew import hot_keys
+from jobsift.skew import hot_keys, spread_join
 
 
 def _hot_users(jds: DataFrame) -> DataFrame:
@@ -101,5 +101,7 @@ def history_page(
 
 def report_page(headers: DataFrame, frozen: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
     """Live reports with owner name and summary."""
-    live = changes.report_with_owner(changes.live_reports(headers, now), profiles)
-    return live.join(changes.report_summary(frozen), "slug")
+    live = changes.live_reports(headers, now)
+    # Rows of expired reports go before they are counted.
+    shown = spread_join(frozen.select("id", "slug", "verdict"), live.select("slug"), ["slug"], "left_semi", spread_by=["id"])
+    return changes.report_with_owner(live, profiles).join(changes.report_summary(shown), "slug")

@@ -7,11 +7,16 @@ windows, unnested rows) and not from the way the Spark jobs compute it.
 from __future__ import annotations
 
 from jobsift import constants as K
-from jobsift.operators.ingest import HIDDEN_MARKUP, HREF, SPACE
 from jobsift.plans import views as v
 from jobsift.plans.queries import NOW
 
 
+# What a link is, stated for this engine on its own.
+SPACE = "[ \\t\\n\\x0B\\f\\r]"
+HIDDEN_MARKUP = "(?is)<!--.*?-->|<script[ >].*?</script>|<style[ >].*?</style>"
+HREF = f"""(?is)<a{SPACE}(?:[^>]*?{SPACE})?href{SPACE}*={SPACE}*("[^"]*"|'[^']*'|[^ \\t\\n\\x0B\\f\\r"'>]+)"""
+
+
 def q(value: str) -> str:
     """SQL string literal."""
     return "'" + value.replace("'", "''") + "'"
@@ -496,6 +501,18 @@ SELECT id, array_to_string(reasons, '|') AS reasons, len(reasons) > 0 AS rejecte
 oracle("d4_ats_coverage", f"""
 SELECT id, CAST(matching AS INTEGER) AS matching, CAST(missing AS INTEGER) AS missing, matching_md5, missing_md5,
   {ATS} AS ats_score FROM coverage""", "coverage")
+oracle("d4_skill_spelling", f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) >= 2) AS w FROM documents),
+s AS (SELECT doc_id, w || list_transform(w, lambda x: upper(x)) AS w FROM w),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM s),
+wanted AS (SELECT doc_id, lower(x) AS low, arg_min(x, i) AS x, min(i) AS i FROM words GROUP BY ALL),
+hits AS (SELECT j.*, EXISTS (SELECT 1 FROM wanted o WHERE o.doc_id = j.doc_id + 1 AND o.low = j.low) AS hit FROM wanted j),
+sums AS (SELECT doc_id, count(*) FILTER (hit) AS a, count(*) FILTER (NOT hit) AS b, string_agg(x, '|' ORDER BY i) FILTER (hit) AS xs,
+  string_agg(x, '|' ORDER BY i) FILTER (NOT hit) AS ys FROM hits GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS id, CAST(coalesce(a, 0) AS INTEGER) AS matching, CAST(coalesce(b, 0) AS INTEGER) AS missing,
+  md5(coalesce(xs, '')) AS matching_md5, md5(coalesce(ys, '')) AS missing_md5,
+  CAST(CASE WHEN coalesce(a + b, 0) > 0 THEN (200 * a + a + b) // (2 * (a + b)) ELSE 0 END AS INTEGER) AS ats_score
+FROM documents d LEFT JOIN sums USING (doc_id) WHERE d.doc_id < (SELECT max(doc_id) FROM documents)""")
 oracle("d4_ats_coverage_weighted", """
 WITH weighed AS (SELECT id, hit, CASE WHEN length(skill) > 4 THEN length(skill) ELSE 1 END AS weight FROM matched),
 sums AS (SELECT id, sum(weight) AS whole, coalesce(sum(weight) FILTER (hit), 0) AS part FROM weighed GROUP BY id)
@@ -701,6 +718,15 @@ SELECT item_id, user_id, tier <> 'free' OR coalesce(sum(CASE WHEN success THEN 1
   PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, item_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS admitted
 FROM usage_items""", "usage_items")
+oracle("g2_quota_carried", """
+WITH f AS (SELECT date_trunc('week', min(ts)) AS week FROM usage_items)
+SELECT item_id, i.user_id, i.tier <> 'free' OR coalesce(sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (
+  PARTITION BY i.user_id, date_trunc('week', ts) ORDER BY ts, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  + CASE WHEN date_trunc('week', ts) = f.week THEN coalesce(p.screens_used_this_month, 0) ELSE 0 END < 5 AS admitted
+FROM usage_items i CROSS JOIN f LEFT JOIN profiles p ON p.id = i.user_id""", "usage_items", "profiles")
+oracle("g3_flag_duplicates_by_title", """
+SELECT id, row_number() OVER (PARTITION BY job_title, company ORDER BY created_at DESC, id) > 1 AS is_duplicate
+FROM screenings""", "screenings")
 oracle("g3_flag_duplicates", """
 SELECT id, user_id, company,
   row_number() OVER (PARTITION BY user_id, company ORDER BY created_at DESC, id) > 1 AS is_duplicate
@@ -715,13 +741,17 @@ oracle("h1_rank_results", """
 SELECT batch_id, id, composite_score,
   row_number() OVER (PARTITION BY batch_id ORDER BY composite_score DESC, seq) AS position
 FROM screenings""", "screenings")
-oracle("h1_sort_results_by_verdict", "SELECT batch_id, id, verdict FROM screenings", "screenings")
+oracle("h1_sort_results_by_verdict", """
+SELECT batch_id, id, verdict, row_number() OVER (ORDER BY batch_id, CASE verdict WHEN 'STRONG' THEN 0 WHEN 'DECENT' THEN 1 WHEN 'WEAK' THEN 2 WHEN 'REJECT' THEN 3 ELSE 4 END, seq) AS place FROM screenings""", "screenings")
 oracle("h2_section_results", """
 SELECT batch_id, CAST(CASE WHEN id = '' THEN 1 WHEN verdict = 'REJECT' THEN 2 ELSE 0 END AS INTEGER) AS section,
-  seq, id, composite_score FROM errored""", "errored")
-oracle("h3_tracker_list", f"SELECT user_id, id, {ts('updated_at')} AS updated FROM tracker", "tracker")
+  seq, id, composite_score, row_number() OVER (ORDER BY batch_id, CASE WHEN id = '' THEN 1 WHEN verdict = 'REJECT' THEN 2 ELSE 0 END,
+    CASE WHEN id <> '' THEN composite_score END DESC, seq) AS place FROM errored""", "errored")
+oracle("h3_tracker_list", f"""SELECT user_id, id, {ts('updated_at')} AS updated,
+  row_number() OVER (ORDER BY user_id, updated_at DESC, id) AS place FROM tracker""", "tracker")
 oracle("h4_order_batches", f"""
-SELECT user_id, batch_id, {ts("last_at")} AS batch_at, n AS rows FROM batches""", "batches")
+SELECT user_id, batch_id, {ts("last_at")} AS batch_at, n AS rows,
+  row_number() OVER (ORDER BY user_id, last_at, batch_id) AS place FROM batches""", "batches")
 
 # --- change sets ------------------------------------------------------------------------------
 
@@ -776,15 +806,15 @@ oracle("k3_stream_usage", f"""
 SELECT user_id, {ts("date_trunc('month', ts)")} AS period, count(*) AS used
 FROM usage_items WHERE success GROUP BY user_id, date_trunc('month', ts)""", "usage_items")
 oracle("k4_stream_finalize", f"""
-WITH marked AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS starts
-  FROM screenings WINDOW w AS (PARTITION BY batch_id ORDER BY created_at)),
-numbered AS (SELECT *, sum(starts) OVER (PARTITION BY batch_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS s FROM marked),
-sessions AS (SELECT batch_id, min(created_at) AS a, max(created_at) + INTERVAL 2 HOUR AS b, count(*) AS rows,
-    count(*) FILTER (verdict = 'STRONG') AS strong, count(*) FILTER (verdict = 'DECENT') AS decent,
-    count(*) FILTER (verdict = 'WEAK') AS weak, count(*) FILTER (verdict = 'REJECT') AS reject
-  FROM numbered GROUP BY batch_id, s)
-SELECT batch_id, {ts("a")} AS first_at, {ts("b")} AS closed_at, rows, strong, decent, weak, reject FROM sessions
-WHERE b <= (SELECT max(created_at) FROM screenings) - INTERVAL 10 MINUTE""", "screenings")
+SELECT batch_id, {ts("a")} AS first_at, {ts("b + INTERVAL 2 HOUR")} AS closed_at, rows, strong, decent, weak, reject,
+  strong + decent + weak AS worth_a_look
+FROM (SELECT batch_id, min(created_at) AS a, max(created_at) AS b, count(*) AS rows,
+    count(*) FILTER (id <> '' AND verdict = 'STRONG') AS strong, count(*) FILTER (id <> '' AND verdict = 'DECENT') AS decent,
+    count(*) FILTER (id <> '' AND verdict = 'WEAK') AS weak, count(*) FILTER (id <> '' AND verdict = 'REJECT') AS reject
+  FROM errored GROUP BY batch_id) WHERE b + INTERVAL 2 HOUR <= (SELECT max(created_at) FROM errored)""", "errored")
+oracle("k4_finalized_intelligence", f"""
+SELECT f.batch_id, total_jds, red_flags_count, missing FROM ({ORACLE["f14_batch_intelligence"]}) f
+JOIN ({ORACLE["k4_stream_finalize"]}) k USING (batch_id)""")
 
 # --- pluggable scorer and whole flows ------------------------------------------------------------
 
@@ -813,6 +843,15 @@ SELECT CASE WHEN ok THEN 'r' || seq ELSE '' END AS id, user_id, seq, job_url,
   CAST(CASE WHEN ok THEN r % 101 ELSE 0 END AS INTEGER) AS role_level_score,
   CASE WHEN ok THEN 'WEAK' ELSE 'REJECT' END AS verdict, CASE WHEN ok THEN '' ELSE 'failed' END AS reasons
 FROM admitted""", "jds", "profiles", "screenings")
+oracle("p1_refused_items", """
+SELECT id, user_id, batch_id, reason FROM (
+  SELECT j.id, j.user_id, CASE WHEN seq % 19 <> 0 THEN batch_id END AS batch_id, CASE WHEN seq % 19 = 0 THEN 'no batch'
+    WHEN p.id IS NULL THEN 'no profile' WHEN coalesce(p.api_key_encrypted, '') = '' THEN 'no key'
+    WHEN seq % 13 = 0 OR jd_text = '' THEN 'no text' END AS reason
+  FROM jds j LEFT JOIN profiles p ON p.id = j.user_id AND p.tier = 'free') WHERE reason IS NOT NULL""", "jds", "profiles")
+oracle("p1_fatal_errors", """
+SELECT user_id AS batch_id, seq, outcome AS type, message FROM outcomes WHERE outcome IN ('invalid_key', 'rate_limit')
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1""", "outcomes")
 oracle("p1_ranked_report", f"""
 WITH reasons AS ({ORACLE["d10_reason_line"]}),
 labels_shown AS (SELECT 'STRONG' AS verdict, 'Excellent Match' AS label UNION ALL SELECT 'DECENT', 'Worth Applying'
@@ -827,7 +866,8 @@ oracle("p2_history_page", f"""
 WITH recent AS (SELECT *, max(created_at) OVER (PARTITION BY user_id, batch_id) AS newest FROM (SELECT * FROM screenings
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) <= 20))
 SELECT user_id, batch_id, id, EXISTS (SELECT 1 FROM tracker t WHERE t.screening_result_id = r.id AND t.user_id = r.user_id)
-  AS tracked, {ts("newest")} AS batch_at
+  AS tracked, {ts("newest")} AS batch_at,
+  row_number() OVER (ORDER BY user_id, newest DESC, batch_id, created_at DESC, id) AS place
 FROM recent r WHERE verdict = 'DECENT' AND (lower(company) LIKE '%src%' OR lower(job_title) LIKE '%src%')""",
        "screenings", "tracker")
 oracle("p3_report_page", f"""

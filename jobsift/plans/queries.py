@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,16 +95,31 @@ def a3_scan_tracker(spark, sf_dir):
         ts("created_at").alias("created"), ts("updated_at").alias("updated"))
 
 
+# Links of test reports only; a service passes a secret of its own.
+LINK_SECRET = "test reports"
+
+
+def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
+    """The place of each row of a sorted frame, from 1: partition sizes, then places inside."""
+    stored = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return stored.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, place).drop(
+        "_at", "_part", "_before")
+
+
 def _publish(spark, sf_dir):
     results = v.screenings(spark, sf_dir)
-    return changes.publish_reports(results, v.batches(spark, sf_dir), now())
+    return changes.publish_reports(results, v.batches(spark, sf_dir), now(), LINK_SECRET)
 
 
 @query
 def a4_scan_reports(spark, sf_dir):
     path = work_dir(spark, "reports")
     stored = stored_screenings(v.screenings(spark, sf_dir))
-    headers, frozen, _ = changes.publish_reports(stored, v.batches(spark, sf_dir), now())
+    headers, frozen, _ = changes.publish_reports(stored, v.batches(spark, sf_dir), now(), LINK_SECRET)
     nested = changes.nest_snapshots(headers, frozen)
     nested.select(*[F.col(f.name).cast(f.dataType) for f in schemas.REPORT]).write.parquet(path)
     rows = changes.flatten_snapshots(tables.scan_reports(spark, path))
@@ -372,6 +387,25 @@ def d4_ats_coverage(spark, sf_dir):
     return _coverage_columns(matching.ats_coverage(v.jds(spark, sf_dir), v.skilled_profiles(spark, sf_dir)))
 
 
+@query
+def d4_skill_spelling(spark, sf_dir):
+    """Skills as the texts spell them, with case twins and nulls in both lists."""
+    def spelled(c):
+        words = F.filter(F.split(c, "[^A-Za-z]+"), lambda w: F.length(w) >= 2)
+        return F.concat(words, F.array(F.lit(None).cast("string")), F.transform(words, lambda w: F.upper(w)))
+
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("_text"))
+    jds = docs.select("id", F.col("id").alias("user_id"), spelled(F.col("_text")).alias("required_skills"))
+    own = docs.select((F.col("id").cast("long") - 1).cast("string").alias("id"), F.lit(None).cast(
+        "struct<tech_stack_dealbreakers:array<string>,title_floor:string,geography_allowed:array<string>,"
+        "company_type_excluded:array<string>,role_type_excluded:array<string>>").alias("hard_reject_filters"),
+        spelled(F.col("_text")).alias("profile_skills"))
+    out = matching.ats_coverage(jds, own)
+    return out.select(
+        "id", F.size("matching_skills").alias("matching"), F.size("missing_skills").alias("missing"),
+        F.md5(joined("matching_skills")).alias("matching_md5"), F.md5(joined("missing_skills")).alias("missing_md5"), "ats_score")
+
+
 @query
 def d4_ats_coverage_weighted(spark, sf_dir):
     return matching.ats_coverage(
@@ -500,13 +534,14 @@ def e2_track(spark, sf_dir):
 
 @query
 def e3_report_with_owner(spark, sf_dir):
-    people = v.profiles(spark, sf_dir).where("tier = 'free'")
-    return changes.report_with_owner(v.reports(spark, sf_dir), people).select("slug", "full_name")
+    people = v.profiles(spark, sf_dir)
+    left = changes.delete_profiles(people.where("tier = 'paid'").select("id"), people)["profiles"]
+    return changes.report_with_owner(v.reports(spark, sf_dir), left).select("slug", "full_name")
 
 
 @query
 def e4_with_profile(spark, sf_dir):
-    people = v.profiles(spark, sf_dir).where("api_key_encrypted <> ''")
+    people = matching.with_key(v.profiles(spark, sf_dir))
     jds = v.jds(spark, sf_dir)
     kept = matching.with_profile(jds, people, ["email", "tier"]).select("id", "email", "tier")
     refused = matching.without_profile(jds, people).select("id")
@@ -673,6 +708,23 @@ def g2_quota_gate(spark, sf_dir):
     return usage.quota_gate(v.usage_items(spark, sf_dir), period="week").select("item_id", "user_id", "admitted")
 
 
+@query
+def g2_quota_carried(spark, sf_dir):
+    """The stored counter stands for what was used in the first week of the data."""
+    items = v.usage_items(spark, sf_dir)
+    start = items.agg(F.min("ts").alias("period"))
+    used = v.profiles(spark, sf_dir).select(
+        F.col("id").alias("user_id"), F.col("screens_used_this_month").alias("used")).join(F.broadcast(start))
+    return usage.quota_gate(items, period="week", used_before=used).select("item_id", "user_id", "admitted")
+
+
+@query
+def g3_flag_duplicates_by_title(spark, sf_dir):
+    """With the default key; titles and companies repeat here over all users."""
+    rows = v.screenings(spark, sf_dir).withColumn("user_id", F.lit("u"))
+    return history.flag_duplicates(rows).select("id", "is_duplicate")
+
+
 @query
 def g3_flag_duplicates(spark, sf_dir):
     return history.flag_duplicates(v.screenings(spark, sf_dir), ("user_id", "company")).select(
@@ -696,25 +748,25 @@ def h1_rank_results(spark, sf_dir):
 
 @query
 def h1_sort_results_by_verdict(spark, sf_dir):
-    return history.sort_results(v.screenings(spark, sf_dir), "verdict").select("batch_id", "id", "verdict")
+    return numbered(history.sort_results(v.screenings(spark, sf_dir), "verdict").select("batch_id", "id", "verdict"))
 
 
 @query
 def h2_section_results(spark, sf_dir):
-    return history.section_results(v.with_error_rows(v.screenings(spark, sf_dir))).select(
-        "batch_id", "section", "seq", "id", "composite_score")
+    return numbered(history.section_results(v.with_error_rows(v.screenings(spark, sf_dir))).select(
+        "batch_id", "section", "seq", "id", "composite_score"))
 
 
 @query
 def h3_tracker_list(spark, sf_dir):
-    return history.tracker_list(v.tracker(spark, sf_dir)).select("user_id", "id", ts("updated_at").alias("updated"))
+    return numbered(history.tracker_list(v.tracker(spark, sf_dir)).select("user_id", "id", ts("updated_at").alias("updated")))
 
 
 @query
 def h4_order_batches(spark, sf_dir):
     totals = history.batch_totals(v.screenings(spark, sf_dir))
-    return history.order_batches(totals, oldest=True).select(
-        "user_id", "batch_id", ts("batch_at").alias("batch_at"), "rows")
+    return numbered(history.order_batches(totals, oldest=True).select(
+        "user_id", "batch_id", ts("batch_at").alias("batch_at"), "rows"))
 
 
 # --- change sets --------------------------------------------------------------------
@@ -802,15 +854,31 @@ def k3_stream_usage(spark, sf_dir):
         "user_id", ts("period").alias("period"), "used")
 
 
-@query
-def k4_stream_finalize(spark, sf_dir):
+def _closed(spark, sf_dir) -> DataFrame:
+    """Batches that are closed when the last row has come, from files in no order of time."""
     arriving, out, state = (work_dir(spark, n) for n in ("results", "closed", "state"))
-    rows = v.screenings(spark, sf_dir).select(
+    rows = v.with_error_rows(v.screenings(spark, sf_dir)).select(
         "id", "batch_id", "verdict", F.col("created_at").cast(T.TimestampType()).alias("created_at"))
-    rows.write.parquet(arriving)
-    stream = streams.read_stream(spark, rows.schema, arriving)
-    streams.append_to(streams.stream_finalize(stream, "2 hours", "10 minutes"), out, state).awaitTermination()
-    return spark.read.parquet(out).withColumns({c: ts(c) for c in ("first_at", "closed_at")})
+    rows.repartition(6, "id").write.parquet(arriving)
+    stream = streams.read_stream(spark, rows.schema, arriving, max_files=2)
+    streams.stream_batch_counts(stream, out, state).awaitTermination()
+    parts = materialize(spark.read.parquet(out), "parts")
+    moment = parts.agg(F.max("newest_at")).first()[0]
+    return streams.closed_batches(parts, F.lit(moment), "2 hours")
+
+
+@query
+def k4_stream_finalize(spark, sf_dir):
+    return _closed(spark, sf_dir).withColumns({c: ts(c) for c in ("first_at", "closed_at")})
+
+
+@query
+def k4_finalized_intelligence(spark, sf_dir):
+    """Intelligence of the closed batches of three rows or more."""
+    closed = materialize(_closed(spark, sf_dir).select("batch_id"), "closed")
+    rows = covered(spark, sf_dir).withColumn("fake_em_detection", _detection()).withColumn("job_title", _dashed())
+    out = insight.batch_intelligence(rows.join(closed, "batch_id", "left_semi"))
+    return out.select("batch_id", "total_jds", "red_flags_count", joined("top_missing_from_profile").alias("missing"))
 
 
 # --- pluggable scorer -------------------------------------------------------------------
@@ -872,6 +940,22 @@ def p1_screen_with(spark, sf_dir):
                       joined("hard_reject_reasons").alias("reasons"))
 
 
+@query
+def p1_refused_items(spark, sf_dir):
+    """Some items without a batch or a text, some users without a profile."""
+    n = F.col("seq")
+    jds = v.jds(spark, sf_dir).withColumns({
+        "batch_id": F.when(n % 19 != 0, F.col("batch_id")), "jd_text": F.when(n % 13 != 0, F.col("jd_text")).otherwise(" \n")})
+    people = v.profiles(spark, sf_dir).where("tier = 'free'")
+    return matching.refused_items(jds, people)
+
+
+@query
+def p1_fatal_errors(spark, sf_dir):
+    items = matching.classify_outcome(v.outcomes(spark, sf_dir)).withColumn("batch_id", F.col("user_id"))
+    return matching.fatal_errors(items)
+
+
 @query
 def p1_ranked_report(spark, sf_dir):
     return flows.ranked_report(v.screenings(spark, sf_dir)).withColumn(
@@ -880,9 +964,9 @@ def p1_ranked_report(spark, sf_dir):
 
 @query
 def p2_history_page(spark, sf_dir):
-    return flows.history_page(
+    return numbered(flows.history_page(
         v.screenings(spark, sf_dir), v.tracker(spark, sf_dir), "DECENT", "src", n=20
-    ).select("user_id", "batch_id", "id", "tracked", ts("batch_at").alias("batch_at"))
+    ).select("user_id", "batch_id", "id", "tracked", ts("batch_at").alias("batch_at")))
 
 
 @query

@@ -58,7 +58,7 @@ def test_owner_can_publish_and_anyone_can_read(spark, results):
     stored = results.withColumn("batch_id", F.lit("b"))
     asked = spark.createDataFrame([("q1", "user-a", "b"), ("q2", "user-c", "b")], "request_id string, user_id string, batch_id string")
     now = F.to_timestamp(F.lit("2024-01-01"))
-    headers, frozen, refused = changes.publish_reports(stored, asked, now)
+    headers, frozen, refused = changes.publish_reports(stored, asked, now, "secret")
     assert ids(headers) == ["q1"] and ids(frozen) == ["r1"]
     assert [r["request_id"] for r in refused.collect()] == ["q2"]
     slugs = headers.select("slug")

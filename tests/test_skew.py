@@ -42,9 +42,29 @@ def test_hot_keys_finds_the_giant(left):
 def test_hot_rows_are_split(left, right):
     joined = skew.spread_join(
         left.where("k = 7"), right, ["k"], "inner", ["id"], min_rows=500)
-    sizes = [r["n"] for r in joined.groupBy(F.pmod(F.xxhash64("id"), F.lit(skew.SALTS)).alias("s")).agg(
+    assert joined.count() == left.where("k = 7").count()
+    salts = skew.hot_keys(left, ["k"], min_rows=10).where("k = 7").first()["salts"]
+    assert salts >= 200  # a key of 100 times the threshold: half the threshold per salt
+    sizes = [r["n"] for r in left.where("k = 7").groupBy(skew.salt_of(["id"], salts).alias("s")).agg(
         F.count("*").alias("n")).collect()]
-    assert len(sizes) == skew.SALTS and max(sizes) < 200
+    assert len(sizes) > 190 and max(sizes) < 25
+
+
+def test_positions_of_null_values(spark):
+    rows_in = [("a", 1, 5), ("a", 2, None), ("a", 3, 7), ("b", 4, None)]
+    df = spark.createDataFrame(rows_in, "batch_id string, seq long, composite_score int")
+    got = {(r["batch_id"], r["seq"]): r["position"] for r in history.rank_results(df).collect()}
+    assert got == {("a", 3): 1, ("a", 1): 2, ("a", 2): 3, ("b", 4): 1}
+
+
+def test_rows_without_a_link_are_not_brought_together(spark):
+    from jobsift.operators import changes
+
+    tracker = spark.range(2000).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") < 10, F.col("id").cast("string")).alias("screening_result_id"))
+    results = spark.range(20).select(F.col("id").cast("string").alias("id"))
+    _, left_over = changes.delete_results(results.where("id < 5"), results, tracker)
+    assert left_over.count() == 2000 and left_over.where("screening_result_id IS NOT NULL").count() == 5
 
 
 @pytest.mark.parametrize("k", [1, 5, 2000])
@@ -94,6 +114,18 @@ def test_quota_edges(spark, before, admitted):
     assert {r["admitted"] for r in usage.quota_gate(items, enabled=False).collect()} == {True}
 
 
+def test_quota_over_two_runs_equals_one(spark):
+    data = [(i, "u" if i % 3 else "w", "free", f"2024-03-{i + 1:02d} 00:00:00", i % 4 != 0) for i in range(24)]
+    items = spark.createDataFrame(data, "item_id int, user_id string, tier string, t string, success boolean").withColumn(
+        "ts", F.to_timestamp("t"))
+    whole = rows(usage.quota_gate(items).where("admitted").select("item_id"))
+    early, late = items.where("item_id < 9"), items.where("item_id >= 9")
+    first = usage.quota_gate(early).where("admitted")
+    used = usage.monthly_usage(first)
+    second = usage.quota_gate(late, used_before=used).where("admitted")
+    assert rows(first.select("item_id").union(second.select("item_id"))) == whole
+
+
 SF_DIR = "/root/testdata/sf0.001"
 SPREAD = [
     "a4_scan_reports", "c1_tenant_scope", "d3_hard_rejects", "d4_ats_coverage_weighted", "e3_report_with_owner",

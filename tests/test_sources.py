@@ -115,7 +115,7 @@ def test_large_snapshot_is_split_and_whole(spark, tmp_path):
         *[F.lit("x").alias(f.name) if f.dataType == schemas.S else F.lit(None).cast(f.dataType).alias(f.name)
           for f in schemas.SCREENING if f.name not in ("id", "user_id", "batch_id")])
     asked = spark.createDataFrame([("q", "u", "b")], "request_id string, user_id string, batch_id string")
-    headers, frozen, _ = changes.publish_reports(rows, asked, F.to_timestamp(F.lit("2024-01-01")))
+    headers, frozen, _ = changes.publish_reports(rows, asked, F.to_timestamp(F.lit("2024-01-01")), "secret")
     nested = changes.nest_snapshots(headers, frozen)
     sizes = [r["n"] for r in nested.select(F.size("results_snapshot").alias("n")).collect()]
     assert len(sizes) == 5 and sum(sizes) == 1000 and max(sizes) < 300
