@@ -362,6 +362,12 @@ SELECT batch_id, job_title AS "Job Title", coalesce(company, '') AS "Company", c
 FROM screenings"""
 oracle("a8_export_rows", EXPORT.format(number="", end=""), "screenings")
 oracle("a8_export_batches_csv", EXPORT.format(number="CAST(", end=" AS VARCHAR)"), "screenings")
+oracle("a8_export_all_csv", EXPORT.format(number="CAST(", end=" AS VARCHAR)").replace(
+    "SELECT batch_id,", "SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY composite_score DESC, seq) AS place,"), "screenings")
+oracle("a9_export_ranked_csv", """
+SELECT batch_id, coalesce(company, '') AS "Company", job_title AS "Job Title", ats_score::VARCHAR AS "ATS %",
+  role_level_score::VARCHAR AS "Role Fit %", composite_score::VARCHAR AS "Composite %", verdict AS "Verdict"
+FROM screenings""", "screenings")
 oracle("a9_ranked_rows", """
 SELECT batch_id, seq, coalesce(company, '') AS "Company", job_title AS "Job Title", ats_score AS "ATS %",
   role_level_score AS "Role Fit %", composite_score AS "Composite %", verdict AS "Verdict"

@@ -177,12 +177,30 @@ def a8_export_rows(spark, sf_dir):
 @query
 def a8_export_batches_csv(spark, sf_dir):
     path = work_dir(spark, "export")
-    sinks.export_batches_csv(v.screenings(spark, sf_dir), path)
+    sinks.export_batches_csv(v.screenings(spark, sf_dir), path, v.batches(spark, sf_dir))
     columns = ", ".join(f"`{c}` string" for c in (*K.EXPORT_COLUMNS, "batch_id"))
     read = spark.read.options(header=True, escape='"', multiLine=True).schema(columns).csv(path)
     return read.select("batch_id", *[F.coalesce(c, F.lit("")).alias(c) for c in K.EXPORT_COLUMNS])
 
 
+@query
+def a8_export_all_csv(spark, sf_dir):
+    path = work_dir(spark, "export")
+    sinks.export_all_csv(v.screenings(spark, sf_dir), path)
+    read = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+    return read.select(F.col("Batch").alias("batch_id"), F.col("Place").cast("long").alias("place"),
+                       *[F.coalesce(c, F.lit("")).alias(c) for c in K.EXPORT_COLUMNS])
+
+
+@query
+def a9_export_ranked_csv(spark, sf_dir):
+    path = work_dir(spark, "ranked")
+    sinks.export_ranked_csv(v.screenings(spark, sf_dir), path)
+    columns = ", ".join(f"`{c}` string" for c in (*K.RANKED_COLUMNS, "batch_id"))
+    read = spark.read.options(header=True, escape='"', multiLine=True).schema(columns).csv(f"{path}/rows")
+    return read.select("batch_id", *[F.coalesce(c, F.lit("")).alias(c) for c in K.RANKED_COLUMNS])
+
+
 @query
 def a9_ranked_rows(spark, sf_dir):
     return sinks.ranked_rows(v.screenings(spark, sf_dir))
@@ -712,9 +730,9 @@ def g2_quota_gate(spark, sf_dir):
 def g2_quota_carried(spark, sf_dir):
     """The stored counter stands for what was used in the first week of the data."""
     items = v.usage_items(spark, sf_dir)
-    start = items.agg(F.min("ts").alias("period"))
+    start = items.agg(F.min("ts")).first()[0]
     used = v.profiles(spark, sf_dir).select(
-        F.col("id").alias("user_id"), F.col("screens_used_this_month").alias("used")).join(F.broadcast(start))
+        F.col("id").alias("user_id"), F.col("screens_used_this_month").alias("used"), F.lit(start).alias("period"))
     return usage.quota_gate(items, period="week", used_before=used).select("item_id", "user_id", "admitted")
 
 

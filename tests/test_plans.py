@@ -7,7 +7,7 @@ from jobsift.plans.queries import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 STREAMS = {n for n in QUERIES if n.startswith("k")}
 WRITES = {"a1_scan_screenings", "a2_scan_profiles", "a3_scan_tracker", "a4_scan_reports", "a7_append_screenings",
-          "a8_export_batches_csv"}
+          "a8_export_batches_csv", "a8_export_all_csv", "a9_export_ranked_csv"}
 
 
 def plan(spark, name):
@@ -36,4 +36,4 @@ def test_link_extraction_does_not_shuffle(spark):
 def test_columns_and_filters_reach_the_scan(spark):
     text = plan(spark, "c3_live_reports")
     assert "text:string" not in text and "html:string" not in text
-    assert "EqualTo(event_type,click)" in plan(spark, "h3_tracker_list")
+    assert "EqualTo(event_type,click)" in plan(spark, "j4_tracker_deletes")
