@@ -52,7 +52,7 @@ def base_spans(text: Column) -> Column:
     assign = F.filter(_rows(text, "assign", ASSIGN, 2, named), lambda x: F.length(x["value"]) >= LEAST_VALUE)
     return F.concat(
         assign, _rows(text, "access", ACCESS, 0, text.contains("AKIA")),
-        _rows(text, "hex", HEX, 0, F.regexp_like(text, F.lit("[0-9][a-f]*[0-9]") ) & F.regexp_like(text, F.lit(HEX))))
+        _rows(text, "hex", HEX, 0, F.regexp_like(text, F.lit(HEX))))
 
 
 def _opaque_spans(text: Column, base: Column) -> Column:
