@@ -9,9 +9,12 @@
 2.  Texts with equal sets form one class.  Class heads are banded: ``rows`` coordinates
     hash to a bucket key, ``coords / rows`` keys each.
 3.  Links are confirmed on the full shingle sets, with integers.  A group of thousands of
-    near copies is not expanded into pairs: members of a bucket are compared with its
-    least member, then, where a bucket still holds several components, with one member
-    picked by hash per bucket, and at last across components only.
+    near copies is not expanded into pairs: members of a bucket are compared with the member
+    that has the least share of shingles of its own, then, where a bucket still holds
+    several components, with one member picked by hash.  What is still apart is compared
+    across components in blocks: each set is told by its difference from the bucket's central
+    member, which is short, and two sets differ by the difference of their differences.
+    Only links leave a block, at most one per member and component.
 
 A pair of similarity 0.8 or more misses all 40 bands with probability 1.3e-7 or less.
 """
@@ -22,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from jobsift.llm.components import connected_components
 from jobsift.llm.shingles import mix, shingle_sets, slices
@@ -31,8 +35,9 @@ from jobsift.session import materialize
 
 COORDS = 200
 ROWS = 5
-#: Half the coordinates' worth of one-bit disagreements: 8 standard deviations over the mean at 0.8.
-FAR_BITS = 54
+#: Members of a bucket's group that meet in one task, on either side.
+BLOCK = 1024
+_COLUMNS = 8192
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,13 +85,11 @@ def _sketcher(k: int, coords: int, rows: int):
                 for row, salt in enumerate((np.uint64(0x51ED270B), np.uint64(0x2545F4914F6CDD1D))):
                     np.add.at(sums[row], owner, mix(values ^ salt))
                 marks = sketch(owner, values, len(texts), coords)
-                bits = np.packbits((mix(marks) & np.uint64(1)).astype(np.uint8), axis=1)
-                bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, len(texts)), pa.array(n),
                     pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
-                    _lists(bits), _lists(band_keys(marks, rows))],
-                    names=["id", "n_shingles", "f1", "f2", "bits", "keys"])
+                    _lists(band_keys(marks, rows))],
+                    names=["id", "n_shingles", "f1", "f2", "keys"])
                 at += len(texts)
     return run
 
@@ -106,17 +109,86 @@ def _set_maker(k: int):
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` with ``den * intersection >= num * union`` on full sets."""
-    sizes = sets.select("id", F.size("shingles").alias("n"))
-    likely = (
-        pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (
-        likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         .select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
         .where(F.col("common") * den >= F.col("either") * num).select("a", "b"))
 
 
+def _possible(one: str, two: str, num: int, den: int) -> Column:
+    """Whether the sizes, and the shingles that others have too, allow the similarity.
+
+    With an intersection of c at most, ``num / den`` of the union is reached only if
+    ``(num + den) * c >= num * (n + m)``.
+    """
+    n, m = F.col(f"{one}.n"), F.col(f"{two}.n")
+    shared = F.least(f"{one}.shared", f"{two}.shared", n, m)
+    return shared * (num + den) >= (n + m) * num
+
+
+def _incidence(rows: np.ndarray, columns: np.ndarray, n: int, lo: int) -> np.ndarray:
+    inside = (columns >= lo) & (columns < lo + _COLUMNS)
+    out = np.zeros((n, _COLUMNS), np.float32)
+    out[rows[inside], columns[inside] - lo] = 1
+    return out
+
+
+def _block_links(num: int, den: int, schema: pa.Schema):
+    """Links between the two sides of a block, from the members' differences to one set.
+
+    Sets of n and m members that differ in d have the similarity (n + m - d) / (n + m + d).
+    """
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("apart").to_numpy(zero_copy_only=False)
+        ids, part = table.column("id").to_pylist(), np.array(table.column("part").to_pylist(), object)
+        n = table.column("n").to_numpy()
+        lists = table.column("delta").combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(ids)), lengths)
+        _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        one, two = np.flatnonzero(side), np.flatnonzero(~side)
+        place = np.empty(len(ids), np.int64)
+        place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+        common = np.zeros((len(one), len(two)), np.float32)
+        for lo in range(0, int(column.max(initial=-1)) + 1, _COLUMNS):
+            x, y = (_incidence(place[row[m]], column[m], len(w), lo) for m, w in ((side[row], one), (~side[row], two)))
+            common += x @ y.T
+        apart = lengths[one][:, None] + lengths[two] - 2 * common.astype(np.int64)
+        total = n[one][:, None] + n[two]
+        a, b = np.nonzero((total - apart) * den >= (total + apart) * num)
+        found = {}
+        for i, j in zip(one[a], two[b]):
+            if part[i] != part[j]:
+                found[i, part[j]] = j
+        return pa.table([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for j in found.values()])], schema=schema)
+    return run
+
+
+def _across(groups: DataFrame, sets: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Links between different components of each of ``groups(hub, id, part)``.
+
+    The largest component of a group need not be compared with itself.  The other members
+    meet all members in pairs of blocks of bounded size; the large component's rows are
+    copied only as often as the others have blocks.
+    """
+    counts = groups.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("n"))
+    plan = counts.groupBy("hub").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
+    plan = plan.select("hub", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("rest"))
+    near, far = F.array_except("s", "h"), F.array_except("h", "s")
+    rows = (
+        groups.join(sets.toDF("id", "s"), "id").join(sets.toDF("hub", "h"), "hub")
+        .select("hub", "id", "part", F.size("s").cast("long").alias("n"), F.concat(near, far).alias("delta")).join(plan, "hub"))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    body = ["hub", "id", "part", "n", "delta"]
+    apart = rows.where("part <> main").select(*body, mine("rest").alias("a"), upto("blocks").alias("b"), F.lit(True).alias("apart"))
+    all_rows = rows.select(*body, upto("rest").alias("a"), mine("blocks").alias("b"), F.lit(False).alias("apart"))
+    ids = groups.schema["id"].dataType
+    schema = pa.schema([("a", to_arrow_type(ids)), ("b", to_arrow_type(ids))])
+    return apart.unionByName(all_rows).groupBy("hub", "a", "b").applyInArrow(_block_links(num, den, schema), f"a {kind}, b {kind}")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -140,7 +212,7 @@ def near_duplicates(
     marks = materialize(
         source.mapInArrow(
             _sketcher(words, coords, rows),
-            f"id {kind}, n_shingles long, f1 long, f2 long, bits array<long>, keys array<long>"),
+            f"id {kind}, n_shingles long, f1 long, f2 long, keys array<long>"),
         "sketches")
 
     # Texts with equal sets: one head each.
@@ -152,52 +224,56 @@ def near_duplicates(
     banded = (
         marks.join(heads.withColumnRenamed("head", "id"), ["id", *print_cols], "left_semi")
         .dropDuplicates(["id", *print_cols])
-        .select("id", "n_shingles", "bits", F.explode("keys").alias("key")))
+        .select("id", F.explode("keys").alias("key")))
 
     # Buckets of at least two class heads.
-    shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub <> _last")
-    buckets = materialize(
-        banded.select("key", "id").join(shared.select("key", "hub"), "key").distinct(), "buckets")
+    shared = banded.groupBy("key").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first <> _last")
+    buckets = materialize(banded.select("key", "id").join(shared.select("key"), "key").distinct(), "buckets")
     involved = buckets.select("id").distinct()
     sets = materialize(
         source.join(involved, "id", "left_semi").mapInArrow(_set_maker(words), f"id {kind}, shingles array<long>")
         .dropDuplicates(["id", "shingles"]), "sets")
+    # Shingles that no other set has: they have one row, which names their set.
+    alone = (
+        sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+        .where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
+    traits = (
+        sets.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left")
+        .select("id", F.struct("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).alias("t")))
+    buckets = materialize(buckets.join(traits, "id").select("key", "t"), "traits")
+
+    def central(t: str) -> Column:
+        """The lower, the larger the part of the set that others have; no two alike."""
+        return -F.round(F.col(f"{t}.shared") / F.col(f"{t}.n"), 4) + F.pmod(F.xxhash64(f"{t}.id"), F.lit(10**9)) / 1e14
+
+    def compared(rows: DataFrame, hub: Column, different: Column) -> DataFrame:
+        """Pairs of each member and its bucket's hub, the larger id first."""
+        hubs = rows.groupBy("key").agg(F.min_by("t.id", hub).alias("_hub"))
+        hubs = rows.join(hubs, "key").where("t.id = _hub").select("key", *(F.col(c).alias(c + "h") for c in rows.columns if c != "key"))
+        return (
+            rows.join(hubs, "key").where(different & _possible("t", "th", num, den))
+            .select(F.greatest("t.id", "th.id").alias("a"), F.least("t.id", "th.id").alias("b")).distinct())
 
     own = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    tested = materialize(buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    tested = materialize(compared(buckets, central("t"), F.col("t.id") != F.col("th.id")), "pairs")
     links = materialize(_confirm(tested, sets, num, den).union(own), "links")
 
-    # Buckets that still hold several components: another member of each, chosen by hash.
+    # Buckets that still hold several components.
     def split_buckets(links: DataFrame) -> DataFrame:
         part = connected_components(links)
-        marked = buckets.join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        marked = buckets.join(part, F.col("t.id") == part["id"], "left").select("key", "t", F.coalesce("component", "t.id").alias("part"))
         several = marked.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo <> _hi")
         return materialize(marked.join(several.select("key"), "key"), "split")
 
-    left = split_buckets(links)
-    other = left.groupBy("key").agg(F.min_by(F.struct("id", "part"), F.xxhash64("key", "id")).alias("o"))
-    again = (
-        left.join(other, "key").where("part <> o.part")
-        .select(F.greatest("id", F.col("o.id")).alias("a"), F.least("id", F.col("o.id")).alias("b")).distinct()
-        .join(tested, ["a", "b"], "left_anti"))
-    again = materialize(again, "pairs")
+    again = compared(split_buckets(links), F.xxhash64("key", "t.id"), F.col("part") != F.col("parth"))
+    again = materialize(again.join(tested, ["a", "b"], "left_anti"), "pairs")
     links = materialize(links.union(_confirm(again, sets, num, den)), "links")
-    tested = tested.union(again)
-
-    # What is left: pairs across components whose sizes and one-bit sketches allow the similarity.
-    far = FAR_BITS if (num, den, coords) == (4, 5, COORDS) else coords
-    light = marks.select("id", "n_shingles", "bits").where("id IS NOT NULL").join(involved, "id", "left_semi").dropDuplicates(["id", "n_shingles"])
-    left = split_buckets(links).join(light, "id")
-    one = left.toDF(*[c + "_a" if c != "key" else c for c in left.columns])
-    two = left.toDF(*[c + "_b" if c != "key" else c for c in left.columns])
-    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range((coords + 63) // 64)), F.lit(0))
-    rest = (
-        one.join(two, (one.key == two.key) & (F.col("id_a") > F.col("id_b")) & (F.col("part_a") != F.col("part_b"))
-                 & (F.least("n_shingles_a", "n_shingles_b") * den >= F.greatest("n_shingles_a", "n_shingles_b") * num)
-                 & (apart <= far))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        .join(tested, ["a", "b"], "left_anti"))
-    links = links.union(_confirm(rest, sets, num, den))
+
+    # What is still apart: by central member of the bucket, across components, in blocks.
+    left = split_buckets(links)
+    hubs = left.groupBy("key").agg(F.min_by("t.id", central("t")).alias("hub"))
+    groups = materialize(left.join(hubs, "key").select("hub", F.col("t.id").alias("id"), "part").distinct(), "groups")
+    links = links.union(_across(groups, sets, num, den, kind))
 
     part = connected_components(links)
     return (
