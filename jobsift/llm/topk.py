@@ -169,6 +169,7 @@ def search_top_k(
     index = materialize(
         rows.repartitionByRange(shards, "place", "id").sortWithinPartitions("place", "id")
         .mapInArrow(_packer("d", None), kind.format("d")), "shards")
+    shards = (index.agg(F.max("d_shard")).first()[0] or 0) + 1
     queries = (
         rows.where("is_query").repartitionByRange(max(1, -(-total // (every * QUERY_ROWS))), "place", "id")
         .sortWithinPartitions("place", "id").mapInArrow(_packer("q", QUERY_ROWS), kind.format("q")))
