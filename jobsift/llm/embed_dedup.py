@@ -161,7 +161,6 @@ def _counter(tables: int, least: float, schema: pa.Schema):
         n = np.zeros(len(ids), np.int64)
         np.add.at(n, a[here], copies[b[here]])
         np.add.at(n, b[here], copies[a[here]])
-        label = np.arange(len(ids))
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
