@@ -16,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from jobsift.llm.vocab import NO_RANK, Ranks, Recent, load_ranks, split
+from jobsift.llm.memory import lean
+from jobsift.llm.vocab import NO_RANK, Ranks, Recent, load_ranks, load_tokens, split
 
 LONGEST_ROW = 512
 SLICE_CHARS = 1 << 20
-MEMORY = 300_000
+MEMORY = 120_000
 
 
 def merge_rows(pieces: list[bytes], vocab: Ranks) -> list[bytes]:
@@ -139,41 +141,27 @@ def in_slices(texts: list, size: int = SLICE_CHARS) -> Iterator[list]:
         yield part
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _packed(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        encoder = _ENCODERS[path]
+def _packer(path: str):
+    @F.arrow_udf("binary")
+    @lean
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # One encoder per task: what it remembers goes when the task ends.
+        encoder = Encoder(path)
         for batch in batches:
-            at = 0
-            for texts in in_slices([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
-                ids = pa.array(encoder.encode(texts), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(at, len(texts)) for c in batch.columns[:-1]), ids],
-                    names=[*batch.schema.names[:-1], "packed"])
-                at += len(texts)
-    return run
-
-
-def _bytes_of(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = load_ranks(path).token
-        for batch in batches:
-            at = 0
-            for part in in_slices([p or b"" for p in batch.column(batch.num_columns - 1).to_pylist()], 4 * SLICE_CHARS):
-                data = [b"".join(map(token.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in part]
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(at, len(part)) for c in batch.columns), pa.array(data, pa.binary())],
-                    names=[*batch.schema.names, "decoded"])
-                at += len(part)
-    return run
+            texts = [t or "" for t in batch.to_pylist()]
+            yield pa.array([ids for part in in_slices(texts) for ids in encoder.encode(part)], pa.binary())
+    return pack
 
 
-def _ddl(df: DataFrame, *more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+def _unpacker(path: str):
+    @F.arrow_udf("binary")
+    @lean
+    def unpack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        token = load_tokens(path)
+        for batch in batches:
+            yield pa.array([b"".join(map(token.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+                            for ids in (x.as_py() for x in batch)], pa.binary())
+    return unpack
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -184,11 +172,9 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
     each for itself.  A kept column may not be called ``packed``; other columns are not read.
     Special tokens are never used: their strings are ordinary text.
     """
-    rows = docs.select(*keep, text_col)
-    return rows.mapInArrow(_packed(path), _ddl(rows.select(*keep), "packed binary"))
+    return docs.select(*keep, _packer(path)(F.col(text_col)).alias("packed"))
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "packed") -> DataFrame:
     """The ``keep`` columns, the packed ids and ``decoded``: the bytes the ids stand for; null as none."""
-    rows = encoded.select(*keep, ids_col)
-    return rows.mapInArrow(_bytes_of(path), _ddl(rows, "decoded binary"))
+    return encoded.select(*keep, ids_col, _unpacker(path)(F.col(ids_col)).alias("decoded"))

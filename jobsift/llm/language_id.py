@@ -22,6 +22,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobsift.llm.memory import lean
 from jobsift.llm.warc import LANGUAGE, visible_text
 from jobsift.session import materialize
 from jobsift.skew import top_k
@@ -73,7 +74,8 @@ def fit_text_model(labelled: DataFrame, id_col: str, text_col: str, label_col: s
     usable = rows.where("id IS NOT NULL AND text IS NOT NULL AND language IS NOT NULL")
     chosen = top_k(usable.select("id", "language"), ["language"], [F.xxhash64("id"), F.col("id")], sample, spread_by=["id"])
     counts = (
-        usable.join(chosen.select("id", "language"), ["id", "language"], "left_semi").select("language", "text")
+        # ``sample`` ids per language at most, as the model has a table per language: small enough to send.
+        usable.join(F.broadcast(chosen.select("id", "language")), ["id", "language"], "left_semi").select("language", "text")
         .mapInArrow(_count_sample, "language string, slot long, n long")
         .groupBy("language", "slot").agg(F.sum("n").alias("n")).toArrow())
     model = {}
@@ -88,10 +90,12 @@ def fit_text_model(labelled: DataFrame, id_col: str, text_col: str, label_col: s
 def _scorer(model: dict[str, np.ndarray], temper: float):
     table = np.stack(list(model.values()), axis=1) if model else np.zeros((SLOTS, 0), np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("text_score array<double>, trigrams long")
+    @lean
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             scores, letters = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in (x.as_py() for x in batch):
                 total, n = np.zeros(table.shape[1]), 0
                 for slots in trigram_slots(text or ""):
                     for at in range(0, len(slots), 1 << 16):
@@ -99,10 +103,9 @@ def _scorer(model: dict[str, np.ndarray], temper: float):
                     n += len(slots)
                 scores.append(((total - total.max(initial=-math.inf)) * temper if n else total).tolist())
                 letters.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64())],
-                names=[*batch.schema.names[:-1], "text_score", "trigrams"])
-    return run
+            yield pa.StructArray.from_arrays(
+                [pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64())], names=["text_score", "trigrams"])
+    return score
 
 
 def _votes(rows: DataFrame, key: str, name: str, size: int) -> DataFrame:
@@ -142,8 +145,7 @@ def identify(
         F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"), value(declared_col).alias("declared"), value(host_col).alias("host"),
         value(domain_col).alias("domain"), value(suffix_col).alias("suffix"), F.col(text_col).alias("text"))
     kept = [F.col(f"kept.`{c}`") for c in keep]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("text").schema)
-    scored = source.mapInArrow(_scorer(model, temper), f"{ddl}, text_score array<double>, trigrams long")
+    scored = source.withColumn("score", _scorer(model, temper)(F.col("text"))).drop("text").select("*", "score.*").drop("score")
     if not size:
         return scored.select(
             "id", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"),

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from jobsift.llm.components import connected_components
+from jobsift.llm.memory import lean
 from jobsift.llm.shingles import mix, shingle_sets, slices
 from jobsift.session import materialize
 
@@ -75,6 +76,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 
 
 def _sketcher(k: int, coords: int, rows: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0), 0
@@ -95,6 +97,7 @@ def _sketcher(k: int, coords: int, rows: int):
 
 
 def _set_maker(k: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0), 0

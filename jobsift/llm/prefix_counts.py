@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.bpe import _ddl, in_slices
+from jobsift.llm.bpe import in_slices
 from jobsift.llm.vocab import NO_RANK, Merges, Recent, load_merges, split
 
 #: Pieces longer than this many bytes are walked one by one.
@@ -212,17 +212,18 @@ def longest_within(table: bytes, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
+def _ddl(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
 
 
 def _tabler(path: str, budget: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = PrefixCounter(path)
+        # One counter per task: what it remembers goes when the task ends.
+        counter = PrefixCounter(path)
         for batch in batches:
             at = 0
             for texts in in_slices([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
-                tables = _COUNTERS[path].tables(texts)
+                tables = counter.tables(texts)
                 columns = [
                     *(c.slice(at, len(texts)) for c in batch.columns[:-1]),
                     pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()),

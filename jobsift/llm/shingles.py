@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 SLICE_BYTES = 1 << 20
+SLICE_TEXTS = 2048
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.zeros(256, bool)
@@ -106,7 +107,7 @@ def slices(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     size = 0
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass").lower()
-        if part and size + len(data) > SLICE_BYTES:
+        if part and (size + len(data) > SLICE_BYTES or len(part) == SLICE_TEXTS):
             yield part
             part, size = [], 0
         part.append(data)

@@ -6,6 +6,7 @@ import base64
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -74,6 +75,18 @@ class PairTable:
         return out
 
 
+def _read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+
+
+def _by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    token = [b""] * (max(ranks.values()) + 1)
+    for data, rank in ranks.items():
+        token[rank] = data
+    return token
+
+
 class Ranks:
     """A rank file: token bytes in base 64 and rank on each line; ids are ranks.
 
@@ -81,21 +94,23 @@ class Ranks:
     """
 
     def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.token = [b""] * (max(self.ranks.values()) + 1)
-        for data, rank in self.ranks.items():
-            self.token[rank] = data
-        left, right, value = [], [], []
+        self.ranks = _read_ranks(path)
+        self.token = _by_id(self.ranks)
+        left, right, value = array("i"), array("i"), array("i")
         for data, rank in self.ranks.items():
             for cut in range(1, len(data)):
                 a, b = self.ranks.get(data[:cut]), self.ranks.get(data[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), value.append(rank)
-        self.pair = {(a, b): r for a, b, r in zip(left, right, value)}
+        self._made = left, right, value
         self.pairs = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(value, np.int32))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
 
+    @functools.cached_property
+    def pair(self) -> dict[tuple[int, int], int]:
+        """The pairs one by one, made when a long piece first asks."""
+        return {(a, b): r for a, b, r in zip(*self._made)}
+
 
 def _byte_letters() -> dict[str, int]:
     """The printable letter by which the .json form writes each byte."""
@@ -132,7 +147,6 @@ class Merges:
                 data[made] = data[ids[a]] + data[ids[b]]
         a, b = np.array([[ids[x], ids[y]] for x, y in pairs], np.int64).T
         self.pairs = PairTable(a, b, np.arange(len(a), dtype=np.int32))
-        self.pair = {(int(x), int(y)): r for r, (x, y) in enumerate(zip(a, b))}
         nodes: dict[bytes, int] = {b"": 0}
         steps: list[tuple[int, int, int]] = []
         ends: dict[int, int] = {}
@@ -183,6 +197,12 @@ def load_ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+@functools.cache
+def load_tokens(path: str) -> list[bytes]:
+    """The bytes of each id, all that decoding needs."""
+    return _by_id(_read_ranks(path))
+
+
 @functools.cache
 def load_merges(path: str) -> Merges:
     return Merges(path)
