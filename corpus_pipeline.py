@@ -30,12 +30,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies (five words, 0.8), once."""
-    found = materialize(near_dedup.near_duplicates(docs.select(*COLUMNS), words=5, similarity=(4, 5)), "groups")
-    copies = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
-    repeated = found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS) if repeated else kept.select(*COLUMNS)
+    """One row of each group of near copies (five words, 0.8): of least id, null ids last.
+
+    Rows are told apart by a key of their own, so neither null nor repeated ids make copies.
+    """
+    # Written once, the row numbers hold for good.
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_dedup.near_duplicates(rows, id_col="row", words=5, similarity=(4, 5)).select(F.col("id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    chosen = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    copies = materialize(found.select("row").join(chosen, "row", "left_anti"), "copies")
+    return rows.join(copies, "row", "left_anti").select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,20 @@ def test_run_and_odd_rows(spark, tmp_path):
     (tmp_path / "none").mkdir()
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_copies_are_rows_not_ids(spark):
+    """Null and repeated ids neither join rows nor tell copies apart; the least id stays, null ids last."""
+    clean = ["the first clean text has words of its own", "another clean text that nobody else has written", "a third one says something else again here"]
+    copied = "one text that was copied by several rows of the table"
+    rows = [(None, clean[0]), (None, clean[1]), (None, copied + " x"), (None, copied + " x"), (7, clean[2]), (7, "the same id with a wholly different text in it"),
+            (9, copied), (8, copied), (8, copied), (None, copied), (None, ""), (None, ""), (7, None)]
+    for part in (rows, [r for r in rows if r[0] is None]):
+        docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in part], "doc_id long, text string, lang string, source string, n_chars long")
+        got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+        want = Counter((i, t) for i, t in part if copied not in (t or ""))
+        if len(part) == len(rows):
+            assert got == want + Counter([(8, copied)])
+        else:
+            extra = got - want
+            assert not want - got and sum(extra.values()) == 1 and all(i is None and copied in t for i, t in extra)
