@@ -9,6 +9,8 @@ Only built-in functions are used; every row is worked on alone, so nothing is sh
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +27,53 @@ BREAKS = (
 TAGS = r"<[^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = r"""(?i)<html\b[^>]*?[\x20\x09-\x0D]lang=["']?([A-Za-z-]+)"""
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+#: Names of character references, those of HTML 4 first: a look-up goes through them in turn.
+NAMED = {
+    **{n: chr(c) for n, c in html.entities.name2codepoint.items()},
+    **{n.removesuffix(";"): sign for n, sign in html.entities.html5.items()}}
+#: Names that also stand without a semicolon, the longest first.
+OPEN_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{OPEN_NAMES}))"
+#: What the numbers 128 to 159 stand for; null where they stand for nothing.
+WINDOWS = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _numbered(reference: Column) -> Column:
+    """The sign of a decimal or hexadecimal reference; U+FFFD if there is no such sign."""
+    digits = F.regexp_replace(reference, "^&#[xX]?0*|;$", "")
+    number = F.when(F.length(digits) > 7, 0).when(F.regexp_like(reference, F.lit("^&#[xX]")), F.conv(digits, 16, 10).try_cast("int")).otherwise(digits.try_cast("int"))
+
+    def sign(n: Column) -> Column:
+        good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        code = F.when(good, n).otherwise(0xFFFD)
+        return F.when(n.between(128, 159), F.get(F.lit(WINDOWS), n - 128)).otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return _let(F.coalesce(number, F.lit(0)), sign)
+
+
+def _named(reference: Column) -> Column:
+    """The sign of a named reference; an unknown name stays, but for a name without semicolon at its start."""
+    signs = F.map_from_arrays(F.lit(list(NAMED)), F.lit(list(NAMED.values())))
+    start = F.regexp_extract(reference, f"^&({OPEN_NAMES})", 1)
+    rest = lambda name: F.substring(reference, F.length(name) + 2, F.length(reference))
+    return F.coalesce(
+        F.try_element_at(signs, F.regexp_replace(reference, "[&;]", "")),
+        _let(start, lambda name: F.when(name != "", F.concat(F.try_element_at(signs, name), rest(name)))), reference)
 
 
 def _plain(text: Column) -> Column:
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    """Character references decoded in one pass; spaces and line ends among them become a space."""
+    one = lambda r: F.when(F.substring(r, 2, 1) == "#", _numbered(r)).otherwise(_named(r))
+    space = lambda sign: F.when(F.regexp_like(sign, F.lit(r"^[\x09-\x0D\x{A0}]$")), " ").otherwise(sign)
+    decoded = lambda t: F.array_join(F.zip_with(
+        F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)),
+        lambda gap, r: F.concat(gap, F.when(r.isNull(), "").otherwise(_let(one(r), space)))), "")
+    return _let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def visible_text(html: Column) -> Column:

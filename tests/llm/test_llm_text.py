@@ -1,6 +1,7 @@
 """Near-duplicates, secrets, pseudonyms, mixing, language and WARC on small, odd and skewed rows."""
 
 import hashlib
+import html as markup
 import math
 import random
 import re
@@ -336,3 +337,18 @@ def test_warc(spark):
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and rest.endswith(b"\r\n\r\n")
         assert int(re.search(rb"Content-Length: (\d+)$", head)[1]) == len(rest) - 4
     assert warc.derive(warc.responses(pages.where("false"))).count() == 0
+
+
+def test_all_character_references(spark):
+    texts = ["&copy; &middot; &eacute;&Eacute; &#8217;&#xE9;&#XE9; &amp;copy; &amp;amp;lt; &amp;#8217;", "&nosuch; &copyx; &copy &notit; &notin; &amp &; & &# &#; &#x; a&b=1",
+             "&#128;&#150;&#0;&#xD800;&#x110000;&#99999999999999999999;&#0000000000065;&#x1F600;&#x1F600 &#65;&#65", "&CounterClockwiseContourIntegral; &NotEqualTilde; &bne; &lt;b&gt; &quot;&apos;&#39;",
+             *(" ".join("&" + n.removesuffix(";") + ";" for n in part) for part in [sorted(markup.entities.html5)[i::7] for i in range(7)])]
+    pages = spark.createDataFrame([(i, "u", f"<title>{t}</title><p>{t}</p>") for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {(r.id, r.record_type): r.block for r in warc.derive(warc.responses(pages)).collect()}
+    for i, text in enumerate(texts):
+        want = re.sub(r"[\t-\r\xa0]", " ", markup.unescape(text))
+        assert got[i, "conversion"] == re.sub(" +", " ", want).strip(" ")
+        assert got[i, "metadata"].startswith(f"title: {want.strip(' ')}\r\ndeclared-language: ")
+    spaced = spark.createDataFrame([(1, "u", "<title>a&#13;&#10;x: b</title>a&nbsp;&#160;&#xA0;&Tab;&#10;b")], "page_id long, url string, html string")
+    got = {r.record_type: r.block for r in warc.derive(warc.responses(spaced)).collect()}
+    assert got["conversion"] == "a b" and got["metadata"].startswith("title: a  x: b\r\n")
