@@ -24,12 +24,18 @@ DATE_ISO = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])"
 DATE_DAY_FIRST = r"(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+CARD_AHEAD = r"(?![ -]?(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -][0-9]{4}(?![0-9]))|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))"
 PHONE = (
-    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+    rf"(?<![0-9+])\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,4}}\)?(?:{CARD_AHEAD}[ .-]?[0-9]{{2,4}}){{2,3}}(?![0-9])"
     r"|(?<![0-9(+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
     r"|(?<![0-9.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])")
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join([EMAIL, DATE_ISO, DATE_DAY_FIRST, SSN, IP, PHONE, CARD])
+#: Groups of digits with single spaces or hyphens between, as many as follow each other: cards are looked for inside.
+RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
+OTHERS = "|".join([EMAIL, DATE_ISO, DATE_DAY_FIRST, SSN, IP, PHONE])
+ANY = f"{OTHERS}|{RUN}"
+#: Digits of a card at least and at most, and how its groups are usually written.
+CARD_DIGITS = (13, 19)
+CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5])
 FIRST_DAY = "1800-03-01"
 DAYS = (189, 773)
 
@@ -158,8 +164,82 @@ def _email(m: Column, key: Column) -> Column:
     return F.concat(text, F.substring(m, F.length(name) + 1, F.length(m)))
 
 
+def _tokens(text: Column, pattern: str) -> Column:
+    """The matches, each with the ``gap`` before it; the last has the rest of the text and no match."""
+    return F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+
+
+def _usual_end(groups: Column, at: Column) -> Column:
+    """The last place of a card that begins at place ``at`` and is grouped as usual, else null."""
+    one = F.length(F.get(groups, at))
+    end = F.when(one.between(*CARD_DIGITS), at)
+    for lengths in CARD_GROUPS:
+        fits = one == lengths[0]
+        for i, n in enumerate(lengths[1:], 1):
+            fits = fits & (F.length(F.get(groups, at + i)) == n)
+        end = end.when(fits, at + len(lengths) - 1)
+    return F.when(_is_card(groups, at, end), end)
+
+
+def _any_end(groups: Column, at: Column) -> Column:
+    """The last place of the longest card that begins at place ``at``, else null."""
+    least, most = CARD_DIGITS
+    ends = F.sequence(at, F.least(at + most - 1, F.size(groups) - 1))
+    return F.array_max(F.filter(ends, lambda end: F.length(_joined(groups, at, end)).between(least, most) & _is_card(groups, at, end)))
+
+
+def _joined(groups: Column, at: Column, end: Column) -> Column:
+    return F.array_join(F.slice(groups, at + 1, end - at + 1), "")
+
+
+def _is_card(groups: Column, at: Column, end: Column) -> Column:
+    return F.when(end.isNotNull(), _let(_digits(_joined(groups, at, end)), lambda d: _check_sum(d, 1) % 10 == 0))
+
+
+def _spans(groups: Column, end_at) -> Column:
+    """``array<struct<at, end, card>>``: cards that do not overlap, from the left, and the stretches around."""
+    number = lambda x: F.coalesce(x, F.lit(-1)).cast("int")
+    found = F.filter(
+        F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda at: F.struct(at.alias("at"), number(end_at(groups, at)).alias("end"))),
+        lambda x: x["end"] >= 0)
+    span = lambda at, end, card: F.struct(number(at).alias("at"), number(end).alias("end"), F.lit(card).alias("card"))
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,end:int,card:boolean>>").alias("spans"))
+    step = lambda s, x: F.when(x["at"] < s["free"], s).otherwise(F.struct(
+        (x["end"] + 1).alias("free"), F.concat(s["spans"], F.array(span(s["free"], x["at"] - 1, False), span(x["at"], x["end"], True))).alias("spans")))
+    return F.filter(
+        F.aggregate(found, start, step, lambda s: F.concat(s["spans"], F.array(span(s["free"], F.size(groups) - 1, False)))),
+        lambda x: x["end"] >= x["at"])
+
+
+def _run_tokens(run: Column) -> Column:
+    """Tokens of a run of digit groups: its cards, and what else is in the rest.
+
+    Cards grouped as usual come first, then any others that begin and end with a group.
+    """
+    def parts(written: Column, end_at) -> Column:
+        groups = F.transform(written, lambda g: F.regexp_replace(g, "[ -]", ""))
+        return _let(groups, lambda g: F.transform(_spans(g, end_at), lambda x: F.struct(
+            F.slice(written, x["at"] + 1, x["end"] - x["at"] + 1).alias("written"), x["card"].alias("card"))))
+
+    def tokens(part: Column) -> Column:
+        return _let(F.array_join(part["written"], ""), lambda text: F.when(part["card"], F.array(F.struct(
+            F.regexp_extract(text, "^[ -]?", 0).alias("gap"), F.regexp_replace(text, "^[ -]", "").alias("m")))).otherwise(_tokens(text, OTHERS)))
+
+    usual = parts(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), _usual_end)
+    every = F.flatten(F.transform(usual, lambda p: F.when(p["card"], F.array(p)).otherwise(parts(p["written"], _any_end))))
+    return F.flatten(F.transform(every, tokens))
+
+
+def _all_tokens(text: Column) -> Column:
+    return F.flatten(F.transform(_tokens(text, ANY), lambda t: F.when(
+        F.regexp_like(t["m"], F.lit(f"^(?:{RUN})$")),
+        F.concat(F.array(F.struct(t["gap"].alias("gap"), F.lit(None).cast("string").alias("m"))), _run_tokens(t["m"]))).otherwise(F.array(t))))
+
+
 def pseudonym(m: Column, key: Column) -> Column:
-    """The pseudonym of a match of ``ANY``; null if the value is not valid."""
+    """The pseudonym of a match of ``OTHERS`` or a card; null if the value is not valid."""
     whole = lambda pattern: F.regexp_like(m, F.lit(f"^(?:{pattern})$"))
     return (
         F.when(m.contains("@"), _email(m, key))
@@ -180,14 +260,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     rows and repeated values get the same pseudonyms in every run with the same ``key``.
     """
     text, secret = F.col(text_col), F.lit(key)
-    found = F.when(F.regexp_like(text, F.lit("[0-9@]")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    # Pairs of a match and its pseudonym, kept in one column so that neither is computed twice.
+    found = F.when(F.regexp_like(text, F.lit("[0-9@]")), _all_tokens(text))
+    # Matches and their pseudonyms, kept in columns so that neither is computed twice.
     work = docs.withColumn("__found", found).withColumn("__new", F.when(
-        F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, secret))))
-    parts = F.zip_with(
-        F.split(text, ANY, -1),
-        F.zip_with("__found", "__new", lambda m, p: F.coalesce(p, m)),
-        lambda gap, p: F.concat(gap, F.coalesce(p, F.lit(""))))
+        F.exists("__found", lambda t: t["m"].isNotNull()), F.transform("__found", lambda t: F.when(t["m"].isNotNull(), pseudonym(t["m"], secret)))))
+    parts = F.zip_with("__found", "__new", lambda t, p: F.concat(t["gap"], F.coalesce(p, t["m"], F.lit(""))))
     work = work.withColumn(text_col, F.when(F.size("__new") > 0, F.array_join(parts, "")).otherwise(text))
     if count_col:
         replaced = F.size(F.filter("__new", lambda p: p.isNotNull()))

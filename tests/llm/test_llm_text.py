@@ -352,3 +352,24 @@ def test_all_character_references(spark):
     spaced = spark.createDataFrame([(1, "u", "<title>a&#13;&#10;x: b</title>a&nbsp;&#160;&#xA0;&Tab;&#10;b")], "page_id long, url string, html string")
     got = {r.record_type: r.block for r in warc.derive(warc.responses(spaced)).collect()}
     assert got["conversion"] == "a b" and got["metadata"].startswith("title: a  x: b\r\n")
+
+
+# ---- cards beside other numbers
+
+def test_cards_beside_other_numbers(spark):
+    card, amex, solid = "4111 1111 1111 1111", "3782 822463 10005", "4111111111111111"
+    new = {c: t for c, (t, n) in zip((card, amex, solid), replaced(spark, [card, amex, solid]))}
+    assert all(new[c] != c and luhn(re.sub(" ", "", new[c])) for c in new)
+    forms = ["{} 12/27", "{} 123", "1 {}", "room 12 {}", "12 {} 123", "{} 5", "2020 {} 12 27", "{}-123", "7-{}", "({} 12/2027)", "x{}y"]
+    texts = [f.format(c) for f in forms for c in new]
+    assert replaced(spark, texts) == [(f.format(new[c]), 1) for f in forms for c in new]
+    many = [f"{card} {card}", f"{solid} {card} {amex} 99", " ".join([card] * 300)]
+    assert [n for _, n in replaced(spark, many)] == [2, 3, 300]
+    assert replaced(spark, many)[1][0] == f"{new[solid]} {new[card]} {new[amex]} 99"
+    # What follows or precedes a card is still found itself; numbers that hold no card stay.
+    mixed = replaced(spark, [f"{card} 123-45-6789", f"{card} 2020-02-29", f"+1 988 555 2485 {card}", f"2020-02-29 {solid}", "4111 1111 1111 1112", "9" * 60000, "2 " * 5000])
+    assert [n for _, n in mixed] == [2, 2, 2, 2, 0, 0] + [mixed[6][1]]
+    assert mixed[0][0].startswith(new[card] + " ") and mixed[2][0].endswith(" " + new[card]) and "555 2485" not in mixed[2][0]
+    # Unusual groups: the only valid part of the run.
+    odd = "411111 1111111111"
+    assert [n for _, n in replaced(spark, [odd, f"{odd} 8", f"00 {odd}"])] == [1, 1, 1]
