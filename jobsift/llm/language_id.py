@@ -7,6 +7,10 @@
 * Host: how often each language was seen on the host, smoothed towards its domain, that
   towards its suffix, and that towards the whole corpus.  A row's own vote is left out.
 
+* None of them: a background language stands beside the model's, with a small prior and the same
+  log-likelihood for every trigram.  Texts of the model's languages lie well above it, texts of
+  others below, the surer the longer they are.
+
 Counts and priors come from grouped aggregation over all rows.  Text likelihoods are worked
 out over whole texts, in Arrow batches; the rest is built-in functions.
 """
@@ -36,6 +40,9 @@ TEMPER = 0.1
 PULL = 4.0
 LEAST_CONFIDENCE = 0.5
 UNKNOWN = "und"
+#: A trigram's log-likelihood in a language that the model does not know, and such a language's prior.
+BACKGROUND = -math.log(SLOTS / 2)
+UNKNOWN_PRIOR = 0.05
 _ROW = 1 << 20
 
 
@@ -90,11 +97,11 @@ def fit_text_model(labelled: DataFrame, id_col: str, text_col: str, label_col: s
 def _scorer(model: dict[str, np.ndarray], temper: float):
     table = np.stack(list(model.values()), axis=1) if model else np.zeros((SLOTS, 0), np.float32)
 
-    @F.arrow_udf("text_score array<double>, trigrams long")
+    @F.arrow_udf("text_score array<double>, trigrams long, unknown double")
     @lean
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            scores, letters = [], []
+            scores, letters, unknown = [], [], []
             for text in (x.as_py() for x in batch):
                 total, n = np.zeros(table.shape[1]), 0
                 for slots in trigram_slots(text or ""):
@@ -103,8 +110,10 @@ def _scorer(model: dict[str, np.ndarray], temper: float):
                     n += len(slots)
                 scores.append(((total - total.max(initial=-math.inf)) * temper if n else total).tolist())
                 letters.append(n)
+                unknown.append((n * BACKGROUND - float(total.max())) * temper if n and len(total) else 0.0)
             yield pa.StructArray.from_arrays(
-                [pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64())], names=["text_score", "trigrams"])
+                [pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64()), pa.array(unknown, pa.float64())],
+                names=["text_score", "trigrams", "unknown"])
     return score
 
 
@@ -133,8 +142,8 @@ def identify(
     """``(id, language, confidence, text_language, accepted, *keep)`` of every row.
 
     Evidence whose column is None or whose value is null says nothing.  ``language`` is the one
-    of greatest posterior (ties: the first by name), ``und`` if the model knows no language or the
-    text has no letters; such rows are not accepted, nor are those under ``least_confidence`` or
+    of greatest posterior (ties: the first by name), ``und`` if the model knows no language, the
+    text has no letters or the background language is likelier than each known one; such rows are not accepted, nor are those under ``least_confidence`` or
     outside the ``accepted`` languages.  Null and empty texts have no letters.  Repeated rows are
     judged one by one; kept columns may not bear the names above.  Empty frames give no rows.
     """
@@ -150,7 +159,9 @@ def identify(
         return scored.select(
             "id", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"),
             F.lit(False).alias("accepted"), *kept)
-    best = F.when(F.col("trigrams") > 0, F.array_position("text_score", F.array_max("text_score")).cast("int") - 1)
+    # Texts of unknown languages have no vote.
+    foreign = F.col("unknown") + math.log(UNKNOWN_PRIOR) > 0
+    best = F.when((F.col("trigrams") > 0) & ~foreign, F.array_position("text_score", F.array_max("text_score")).cast("int") - 1)
     scored = materialize(scored.withColumn("best", best), "language")
 
     # Hosts under domains under suffixes under the corpus: one aggregate each.
@@ -173,6 +184,7 @@ def identify(
         prior = F.col(f"{name}_prior")
 
     logs = F.transform(prior, lambda p: F.log(p))
+    other = F.lit(math.log(UNKNOWN_PRIOR))
     if declared_col is not None:
         # P(declared | language), with the value's own share of the corpus as the level above.
         votes = _votes(scored.where("declared IS NOT NULL"), "declared", "declared_votes", size)
@@ -181,16 +193,19 @@ def identify(
         n = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
         told = F.zip_with(others, F.lit([float(x) for x in total]), lambda x, t: F.log(
             (x + pull * (n + 1) / (sum(total) + 1)) / (t + pull)))
+        other = other + F.when(F.col("declared_votes").isNull(), 0.0).otherwise(F.log((n + 1) / (sum(total) + 1)))
         logs = F.when(F.col("declared_votes").isNull(), logs).otherwise(_plus(logs, told))
-    joined = joined.withColumn("logs", _plus(logs, F.when(F.col("trigrams") > 0, F.col("text_score")).otherwise(F.lit([0.0] * size))))
+    joined = joined.withColumn("logs", _plus(logs, F.when(F.col("trigrams") > 0, F.col("text_score")).otherwise(F.lit([0.0] * size)))).withColumn("other", other + F.col("unknown"))
     top = F.array_max("logs")
     place = F.array_position("logs", top).cast("int")
-    sure = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    known = F.col("trigrams") > 0
+    likeliest = F.greatest(top, F.col("other"))
+    sure = 1 / F.aggregate("logs", F.exp(F.col("other") - likeliest), lambda a, x: a + F.exp(x - likeliest))
+    letters = F.col("trigrams") > 0
+    known = letters & (top >= F.col("other"))
     name_of = lambda i: F.element_at(F.lit(names), i)
     out = joined.select(
-        "id", F.when(known, name_of(place)).otherwise(UNKNOWN).alias("language"), F.when(known, sure).otherwise(0.0).alias("confidence"),
-        F.when(known, name_of(F.col("best") + 1)).otherwise(UNKNOWN).alias("text_language"), "kept")
+        "id", F.when(known, name_of(place)).otherwise(UNKNOWN).alias("language"), F.when(letters, sure).otherwise(0.0).alias("confidence"),
+        F.when(F.col("best").isNotNull(), name_of(F.col("best") + 1)).otherwise(UNKNOWN).alias("text_language"), "kept")
     good = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least_confidence)
     if accepted is not None:
         good = good & F.col("language").isin(*accepted)

@@ -373,3 +373,30 @@ def test_cards_beside_other_numbers(spark):
     # Unusual groups: the only valid part of the run.
     odd = "411111 1111111111"
     assert [n for _, n in replaced(spark, [odd, f"{odd} 8", f"00 {odd}"])] == [1, 1, 1]
+
+
+# ---- languages that the model does not know
+
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "Suomen kieli kuuluu uralilaisten kielten ryhmään ja sitä puhutaan pääasiassa Suomessa, mutta myös muualla. Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待"]
+KNOWN = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt"}
+
+
+def test_unknown_languages_are_rejected(spark):
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit_text_model(docs, "doc_id", "text", "lang")
+    rows = [(i, t * 5, "s") for i, t in enumerate([*FOREIGN, noise])] + [(100 + i, t, "s") for i, t in enumerate(KNOWN.values())]
+    for declared, host in ((None, None), ("lang", "source")):
+        got = {r.id: r for r in language_id.identify(frame(spark, rows), model, "doc_id", "text", declared, host).collect()}
+        for i in range(len(FOREIGN) + 1):
+            assert (got[i].language, got[i].text_language, got[i].accepted) == ("und", "und", False)
+        for i, language in enumerate(KNOWN):
+            assert got[100 + i].text_language == language and got[100 + i].accepted
