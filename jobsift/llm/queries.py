@@ -34,9 +34,15 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit_text_model(docs, "doc_id", "text", "lang")
-    found = language_id.identify(docs, model, "doc_id", "text", declared_col="lang", host_col="source")
+    none = F.lit(None).cast("string")
+    labelled = docs.select(
+        F.lit("document").alias("kind"), "doc_id", F.col("lang").alias("declared"), F.col("source").alias("host"),
+        none.alias("domain"), none.alias("suffix"), "text")
+    pages = language_id.page_evidence(table(spark, sf_dir, "pages")).withColumn("kind", F.lit("page")).withColumnRenamed("id", "page_id")
+    rows = labelled.unionByName(pages, allowMissingColumns=True)
+    found = language_id.identify(rows, model, "doc_id", "text", "declared", "host", "domain", "suffix", keep=("kind", "page_id"))
     return found.select(
-        F.col("id").alias("doc_id"), "language", "text_language", F.round("confidence", 6).alias("confidence"),
+        "kind", F.col("id").alias("doc_id"), "page_id", "language", "text_language", F.round("confidence", 6).alias("confidence"),
         F.col("accepted").alias("kept"))
 
 

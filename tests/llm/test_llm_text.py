@@ -400,3 +400,18 @@ def test_unknown_languages_are_rejected(spark):
             assert (got[i].language, got[i].text_language, got[i].accepted) == ("und", "und", False)
         for i, language in enumerate(KNOWN):
             assert got[100 + i].text_language == language and got[100 + i].accepted
+
+
+def test_query_judges_documents_and_pages(spark):
+    from jobsift.llm.queries import op3_language_fusion
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = op3_language_fusion(spark, sf_dir).collect()
+    ids = {k: sorted(r[c] for r in got if r.kind == k) for k, c in (("document", "doc_id"), ("page", "page_id"))}
+    for kind, name in (("document", "documents"), ("page", "pages")):
+        assert ids[kind] == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select("doc_id" if kind == "document" else "page_id").collect())
+    declared = {r.id: r.declared for r in language_id.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    pages = [r for r in got if r.kind == "page"]
+    assert all(r.doc_id is None for r in pages) and sum(r.kept for r in pages) >= 0.95 * len(pages)
+    told = [r for r in pages if declared[r.page_id] in ("de", "en", "es", "fr")]
+    assert told and sum(r.language == declared[r.page_id] for r in told) > 0.8 * len(told)
