@@ -124,6 +124,51 @@ i AS (SELECT *, md5(record_type || '|' || refers_to) AS h FROM k)
 SELECT page_id, record_type, {_UUID} AS record_id, refers_to, url AS target_uri, '1970-01-01T00:00:00Z' AS warc_date, content_type, block,
        strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest FROM i"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT row, lang, source, t, count(*)::HUGEINT AS n FROM (SELECT row, lang, source, unnest(ts) AS t FROM d) GROUP BY ALL),
+k AS (SELECT lang, t, sum(n) AS n FROM w GROUP BY ALL HAVING count(*) >= 30),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.t, sum(w.n) AS n FROM w JOIN k ON k.lang = w.lang AND k.t = w.t GROUP BY ALL),
+g AS (SELECT a.lang, a.source, coalesce(b.total, 0)::HUGEINT AS total, coalesce(l.v, 0) AS v, l.total AS lang_total
+      FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) b USING (lang, source)
+      LEFT JOIN l ON l.lang = a.lang),
+p AS (SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+             1 + (1000000000 * (k.n + 5)) // (g.lang_total + 5 * g.v) AS q
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source
+      GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL SELECT lang, source, 'term', t, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50"""
+
+_SPELLINGS = rf"""
+WITH RECURSIVE bytes AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc
+                         FROM range(256) AS t(b)),
+r AS (SELECT id, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(list_transform(
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+'), lambda x: {_LOWER.format("x")})) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT id, run, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''),
+        lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195, ord(x)::BIGINT - 64] END))),
+        lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM r, bytes),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word FROM h)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+s AS (SELECT word, n, unnest(range(length(word)))::INT AS i FROM w),
+o AS (SELECT word, n, word[:i] || '*' || word[i + 2:] AS same, word[:i] || word[i + 2:] AS less FROM s),
+near AS (SELECT a.word, b.word AS near, b.n FROM o a JOIN o b ON a.same = b.same AND a.word <> b.word
+         UNION SELECT o.word, w.word, w.n FROM o JOIN w ON o.less = w.word UNION SELECT w.word, o.word, o.n FROM o JOIN w ON o.less = w.word),
+f AS (SELECT w.word, w.n, count(b.near) AS n_near, first(b.near ORDER BY b.n DESC, encode(b.near)) AS best, max(b.n) AS best_n
+      FROM w LEFT JOIN near b ON b.word = w.word GROUP BY ALL),
+forms AS (SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM f),
+walk AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL
+         SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word"""
+
 ORACLE: dict[str, str] = {
     "op1_secret_ownership": _SECRETS,
     "op2_curriculum_mix": _MIX,
@@ -131,4 +176,6 @@ ORACLE: dict[str, str] = {
     "op5_minhash_near_dedup": _NEAR,
     "op8_warc_derivatives": _WARC,
     "op10_lattice_near_dedup": _VECTORS,
+    "op11_source_divergence": _DIVERGENCE,
+    "op12_spelling_variants": _SPELLINGS,
 }

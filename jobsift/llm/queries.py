@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsift.llm import bpe, embed_dedup, language_id, mixing, near_dedup, prefix_counts, pseudonyms, secret_scan, topk, warc
+from jobsift.llm import (
+    bpe, compression_quality, divergence, embed_dedup, language_id, mixing, near_dedup, prefix_counts, pseudonyms, secret_scan,
+    spelling, topk, warc)
+from jobsift.llm.terms import lower_runs
+
+#: Runs of letters, the share of them that loses a code point, and what makes a run a word.
+RUN = r"[A-Za-z\u00C0-\u00FF]+"
+WORN, LEAST_LENGTH, LEAST_COUNT = 199, 6, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +94,41 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)`` of the runs of letters; one run of a document in ``WORN`` or so has lost a code point.
+
+    Null texts have no runs; a null id is written as ''.
+    """
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(lower_runs(F.col("text"), RUN)).alias("run"))
+    h = F.crc32(F.concat_ws(":", "id", "run"))
+    at = F.pmod("h", F.length("run")).cast("int")
+    worn = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % WORN == 0, worn).otherwise(F.col("run")).alias("word"))
+    return words.where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def held_out(key: str) -> Column:
+        return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 3 == 1
+
+    model = compression_quality.fit(docs, labels.where(~held_out("doc_id")))
+    return compression_quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_secret_ownership, op2_curriculum_mix, op3_language_fusion, op4_block_top_k, op5_minhash_near_dedup,
-        op6_token_counts, op7_byte_bpe, op8_warc_derivatives, op9_feistel_pseudonyms, op10_lattice_near_dedup)
+        op6_token_counts, op7_byte_bpe, op8_warc_derivatives, op9_feistel_pseudonyms, op10_lattice_near_dedup,
+        op11_source_divergence, op12_spelling_variants, op13_compression_quality)
 }
