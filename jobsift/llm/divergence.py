@@ -52,13 +52,15 @@ def _readings(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), lower_runs(F.col(text_col), TERM).alias("terms"))
 
 
-def _counted(read: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """``lang, source, digest, n, docs``: a document counts where its sorted digests change."""
-    sorted_digests = F.sort_array(F.transform("terms", digest))
-    rows = read.select("lang", "source", sorted_digests.alias("all")).select("lang", "source", "all", F.posexplode("all").alias("at", "digest"))
-    first = (F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col("digest"))
-    return rows.select("lang", "source", "digest", first.cast("long").alias("first")).groupBy("lang", "source", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+def _occurrences(read: DataFrame, values: Column, name: str) -> DataFrame:
+    """``lang, source, name, first``: every value; the first of each in a document, seen by sorting, is marked 1."""
+    rows = read.select("lang", "source", F.sort_array(values).alias("all")).select("lang", "source", "all", F.posexplode("all").alias("at", name))
+    first = (F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col(name))
+    return rows.select("lang", "source", name, first.cast("long").alias("first"))
+
+
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy("lang", "source", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
 
 
 def _with_digests(rows: DataFrame, digests: DataFrame) -> DataFrame:
@@ -69,10 +71,8 @@ def _with_digests(rows: DataFrame, digests: DataFrame) -> DataFrame:
 
 def _split(read: DataFrame, shared: DataFrame, digest: Callable[[Column], Column], least: int) -> tuple[DataFrame, DataFrame]:
     """Counts and texts of the terms that share a digest, told apart by ``slot``, from 1."""
-    per_doc = read.select("lang", "source", F.monotonically_increasing_id().alias("row"), F.explode("terms").alias("term"))
-    found = _with_digests(per_doc.withColumn("digest", digest(F.col("term"))), shared)
-    counted = found.groupBy("lang", "source", "digest", "term", "row").agg(F.count(F.lit(1)).alias("n")).groupBy(
-        "lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    rows = _occurrences(read, F.col("terms"), "term").withColumn("digest", digest(F.col("term")))
+    counted = _counted(_with_digests(rows, shared), "digest", "term")
     counted = materialize(counted, "shared-counts")
     often = counted.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
     texts = materialize(often.select("digest", "term").distinct().withColumn(
@@ -83,7 +83,7 @@ def _split(read: DataFrame, shared: DataFrame, digest: Callable[[Column], Column
 
 def _kept_counts(read: DataFrame, digest: Callable[[Column], Column], least: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, source, digest, slot, n)`` of kept terms and their ``(digest, slot, term)``."""
-    counted = materialize(_counted(read, digest), "counts")
+    counted = materialize(_counted(_occurrences(read, F.transform("terms", digest), "digest"), "digest"), "counts")
     kept = counted.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "digest")
     kept = materialize(kept, "kept")
     distinct = read.select(F.explode(F.array_distinct("terms")).alias("term")).withColumn("digest", digest(F.col("term")))
@@ -116,11 +116,13 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     names, first = np.unique(rows.column("gid").to_numpy(), return_index=True)
     spot = np.searchsorted(names, rows.column("gid").to_numpy())
     absent, block = rows.column("p0").to_numpy()[first], rows.column("block").to_numpy()[first]
-    terms = np.stack([rows.column("digest").to_numpy(), rows.column("slot").to_numpy().astype(np.int64)])
+    # Rows of slot -1 stand for the sources of the blocks, also those without a term of the bucket.
+    real = rows.column("slot").to_numpy() >= 0
+    terms = np.stack([rows.column("digest").to_numpy(), rows.column("slot").to_numpy().astype(np.int64)])[:, real]
     _, at = np.unique(terms, axis=1, return_inverse=True)
     at = at.reshape(-1)
-    shares = np.tile(absent, (int(at.max()) + 1, 1))
-    shares[at, spot] = rows.column("p").to_numpy()
+    shares = np.tile(absent, (int(at.max(initial=-1)) + 1, 1))
+    shares[at, spot[real]] = rows.column("p").to_numpy()[real]
     out = []
     for i in np.flatnonzero(block == lo):
         others = np.flatnonzero(block == hi)
@@ -133,11 +135,15 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": np.minimum(a, b), "b": np.maximum(a, b), "gap": gap})
 
 
-def _pair_gaps(shares: DataFrame, sizes: DataFrame) -> DataFrame:
+def _pair_gaps(shares: DataFrame, totals: DataFrame, sizes: DataFrame) -> DataFrame:
     """``(lang, a, b, gap)`` with a < b, summed over tiles."""
-    dealt = shares.join(F.broadcast(sizes), "lang").withColumns({
-        "bucket": F.pmod(F.xxhash64("digest", "slot", F.lit(2)), F.ceil(F.col("terms") / BUCKET_TERMS)).cast("int"),
-        "blocks": F.ceil(F.col("sources") / BLOCK_SOURCES).cast("int")})
+    sizes = F.broadcast(sizes.select(
+        "lang", F.ceil(F.col("terms") / BUCKET_TERMS).cast("int").alias("buckets"), F.ceil(F.col("sources") / BLOCK_SOURCES).cast("int").alias("blocks")))
+    columns = ["lang", "bucket", "blocks", "gid", "digest", "slot", "p", "p0"]
+    dealt = shares.join(sizes, "lang").withColumn("bucket", F.pmod(F.xxhash64("digest", "slot", F.lit(2)), "buckets").cast("int"))
+    present = totals.join(sizes, "lang").where("buckets > 0").withColumns({
+        "bucket": F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)), "digest": F.lit(0).cast("long"), "slot": F.lit(-1), "p": F.col("p0")})
+    dealt = dealt.select(*columns).union(present.select(*columns))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("gid", F.lit(3)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "lang", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
@@ -194,7 +200,7 @@ def audit_sources(
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(by_value, "item"))
     terms = named.withColumn("rank", ranked).where(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
 
-    gaps = _pair_gaps(shares, langs.select("lang", "sources"))
+    gaps = _pair_gaps(shares, totals, langs.select("lang", "sources", "terms"))
     others = totals.select("lang", F.col("source").alias("item"), F.col("gid").alias("of"), F.col("p0").alias("q0"))
     pairs = spread_join(totals, others, ["lang"], "inner", ["gid"], min_rows=1000).where("gid <> of").withColumns(
         {"a": F.least("gid", "of"), "b": F.greatest("gid", "of")})
