@@ -1,11 +1,12 @@
 """Audit of how sources differ in their words, with the words' text read late.
 
-1.  Every term becomes a digest of 8 bytes.  Occurrences and documents are counted by language,
-    source and digest; digests, never terms, are what is shuffled.
-2.  Digests in too few documents of a language go.  The text is read again for those that are
-    left: the least and the greatest term of each.  Where they are unlike, several terms share
-    the digest, and a third reading counts these few by their text and gives each a number of
-    its own.
+1.  Every task counts the terms of its own documents by language and source and writes each
+    count with a digest of 8 bytes; a term's text is written once, beside its first count.
+    Digests, never terms, are then shuffled and their counts summed.
+2.  Digests in too few documents of a language go.  The written texts of those that are left
+    are read: the least and the greatest term of each.  Where they are unlike, several terms
+    share the digest, and a second reading of the documents counts these few by their text and
+    gives each a number of its own.
 3.  Shares are compared in integers.  For two sources the differences of all kept terms are
     summed: terms are dealt into buckets and sources into blocks, a tile holds the shares of one
     bucket for two blocks in a matrix, and what the terms that both lack add is one product.
@@ -14,18 +15,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobsift.llm.terms import lower_runs
+from jobsift.llm.memory import lean, remove
 from jobsift.session import materialize
 from jobsift.skew import salt_of, spread_join
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of a term, A-Z lower-cased; every other byte parts terms.
+LETTERS = bytes.maketrans(
+    bytes(range(128)), bytes(ord(chr(c).lower()) if chr(c) in ascii_uppercase + ascii_lowercase else ord(" ") for c in range(128)))
 #: Documents of a language that a kept term is in, at least.
 LEAST_DOCUMENTS = 30
 #: Parts in which shares are told, and occurrences that each kept term is given beforehand.
@@ -33,8 +39,11 @@ PARTS = 1_000_000_000
 PRIOR = 5
 #: Terms reported for a source.
 TOP_TERMS = 50
-#: Kept digests up to which they are broadcast (8 bytes each) to the second reading.
+#: Kept digests up to which they are broadcast (8 bytes each) to the written texts.
 BROADCAST_DIGESTS = 2_000_000
+#: Counts that a task holds before it writes them, and bytes of a text that are split at once.
+HELD_COUNTS = 400_000
+SLICE = 1 << 20
 #: Terms of a bucket and sources of a block, about.
 BUCKET_TERMS = 1024
 BLOCK_SOURCES = 128
@@ -42,25 +51,70 @@ BLOCK_SOURCES = 128
 SALTS = 16
 
 
-def digest_of(term: Column) -> Column:
-    return F.xxhash64(term)
-
-
-def _readings(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), lower_runs(F.col(text_col), TERM).alias("terms"))
-
-
-def _occurrences(read: DataFrame, values: Column, name: str) -> DataFrame:
-    """``lang, source, name, first``: every value; the first of each in a document, seen by sorting, is marked 1."""
-    rows = read.select("lang", "source", F.sort_array(values).alias("all")).select("lang", "source", "all", F.posexplode("all").alias("at", name))
-    first = (F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col(name))
-    return rows.select("lang", "source", name, first.cast("long").alias("first"))
-
-
-def _counted(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy("lang", "source", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+def digest_of(term: bytes) -> int:
+    return xxhash.xxh64_intdigest(term)
+
+
+def term_pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, some at a time, however long it is."""
+    raw = text.translate(LETTERS)
+    at = 0
+    while at < len(raw):
+        end = at + SLICE
+        if end < len(raw):
+            cut = raw.rfind(b" ", at + 1, end)
+            end = cut if cut > 0 else raw.find(b" ", end)
+            end = end if end > 0 else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
+def _reader(digest: Callable[[bytes], int], every_text: bool):
+    """Counts of a task's documents; each text beside its first count, or beside all."""
+    names = ["lang", "source", "digest", "n", "docs", "term"]
+
+    def written(counts: dict) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
+        for (lang, source), (n, docs) in counts.items():
+            terms = list(n)
+            texts = terms if every_text else [t if t not in known else None for t in terms]
+            known.update(terms)
+            values = np.fromiter((digest(t) & 0xFFFFFFFFFFFFFFFF for t in terms), np.uint64, len(terms)).view(np.int64)
+            columns = [
+                pa.array([lang]).take(pa.array(np.zeros(len(terms), np.int32))), pa.array([source]).take(pa.array(np.zeros(len(terms), np.int32))),
+                pa.array(values), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64()),
+                pa.array(texts, pa.binary()).cast(pa.string())]
+            whole = pa.RecordBatch.from_arrays(columns, names=names)
+            for i in range(0, len(terms), 10_000):
+                yield whole.slice(i, 10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
+        for batch in batches:
+            langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for lang, source, text in zip(langs, sources, texts):
+                n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+                before = len(n)
+                seen: set[bytes] = set()
+                for terms in term_pieces(text.as_buffer().to_pybytes()):
+                    n.update(terms)
+                    seen.update(terms)
+                docs.update(seen)
+                held += len(n) - before
+                if held >= HELD_COUNTS:
+                    yield from written(counts)
+                    counts, held = {}, 0
+        yield from written(counts)
+    return run
+
+
+def _read(docs: DataFrame, digest: Callable[[bytes], int], every_text: bool) -> DataFrame:
+    return docs.mapInArrow(lean(_reader(digest, every_text)), "lang string, source string, digest long, n long, docs long, term string")
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy("lang", "source", *keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _with_digests(rows: DataFrame, digests: DataFrame) -> DataFrame:
@@ -69,11 +123,9 @@ def _with_digests(rows: DataFrame, digests: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(digests) if short else digests, "digest", "left_semi")
 
 
-def _split(read: DataFrame, shared: DataFrame, digest: Callable[[Column], Column], least: int) -> tuple[DataFrame, DataFrame]:
+def _split(docs: DataFrame, shared: DataFrame, digest: Callable[[bytes], int], least: int) -> tuple[DataFrame, DataFrame]:
     """Counts and texts of the terms that share a digest, told apart by ``slot``, from 1."""
-    rows = _occurrences(read, F.col("terms"), "term").withColumn("digest", digest(F.col("term")))
-    counted = _counted(_with_digests(rows, shared), "digest", "term")
-    counted = materialize(counted, "shared-counts")
+    counted = materialize(_summed(_with_digests(_read(docs, digest, True), shared), "digest", "term"), "shared-counts")
     often = counted.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
     texts = materialize(often.select("digest", "term").distinct().withColumn(
         "slot", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "shared-texts")
@@ -81,21 +133,21 @@ def _split(read: DataFrame, shared: DataFrame, digest: Callable[[Column], Column
     return counted.join(kept, ["lang", "digest", "term"]).select("lang", "source", "digest", "slot", "n"), texts.select("digest", "slot", "term")
 
 
-def _kept_counts(read: DataFrame, digest: Callable[[Column], Column], least: int) -> tuple[DataFrame, DataFrame]:
+def _kept_counts(docs: DataFrame, digest: Callable[[bytes], int], least: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, source, digest, slot, n)`` of kept terms and their ``(digest, slot, term)``."""
-    counted = materialize(_counted(_occurrences(read, F.transform("terms", digest), "digest"), "digest"), "counts")
+    written = materialize(_read(docs, digest, False), "read")
+    counted = materialize(_summed(written, "digest"), "counts")
     kept = counted.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "digest")
     kept = materialize(kept, "kept")
-    distinct = read.select(F.explode(F.array_distinct("terms")).alias("term")).withColumn("digest", digest(F.col("term")))
-    texts = _with_digests(distinct, kept.select("digest").distinct()).groupBy("digest", "term").agg(F.lit(1)).groupBy("digest").agg(
-        F.min("term").alias("least"), F.max("term").alias("greatest"))
-    texts = materialize(texts, "texts")
+    texts = _with_digests(written.where("term IS NOT NULL").select("digest", "term"), kept.select("digest").distinct())
+    texts = materialize(texts.groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("greatest")), "texts")
+    remove(written)
     unique = texts.where("least = greatest").select("digest", F.lit(0).alias("slot"), F.col("least").alias("term"))
     shared = texts.where("least <> greatest").select("digest")
     counts = counted.join(kept, ["lang", "digest"], "left_semi").select("lang", "source", "digest", F.lit(0).alias("slot"), "n")
     if shared.isEmpty():
         return materialize(counts, "kept-counts"), unique
-    split, split_texts = _split(read, shared, digest, least)
+    split, split_texts = _split(docs, shared, digest, least)
     counts = counts.join(shared, "digest", "left_anti").select(*counts.columns).union(split)
     return materialize(counts, "kept-counts"), unique.union(split_texts)
 
@@ -154,7 +206,7 @@ def _pair_gaps(shares: DataFrame, totals: DataFrame, sizes: DataFrame) -> DataFr
 
 def audit_sources(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, digest: Callable[[Column], Column] = digest_of,
+    least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, digest: Callable[[bytes], int] = digest_of,
 ) -> DataFrame:
     """``lang, source, part, item, value, rank`` of every source of every language.
 
@@ -165,15 +217,16 @@ def audit_sources(
 
     Null text, lang and source count as ''.  Rows that repeat each count.  Groups without terms
     are compared as well.  Other columns take no part.  Empty frames give no rows.
-    ``digest`` may be any function of a term to a long: terms that share a digest are split.
+    ``digest`` may be any function of a term to 64 bits: terms that share a digest are split.
     The list of languages (two numbers each) is broadcast.
     """
-    read = _readings(docs, text_col, lang_col, source_col)
-    counts, texts = _kept_counts(read, digest, least)
+    empty = F.lit("")
+    docs = docs.select(
+        F.coalesce(F.col(lang_col).cast("string"), empty).alias("lang"), F.coalesce(F.col(source_col).cast("string"), empty).alias("source"),
+        F.coalesce(F.col(text_col), empty).alias("text"))
+    counts, texts = _kept_counts(docs, digest, least)
     # Written once, the numbers of the groups hold for good.
-    groups = materialize(
-        docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
-        .distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
+    groups = materialize(docs.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
     by_lang = counts.groupBy("lang", "digest", "slot").agg(F.sum("n").alias("lang_n"))
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(
         by_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total")), "lang", "left").select(
