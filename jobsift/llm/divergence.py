@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobsift.llm.memory import lean, remove
-from jobsift.session import materialize
+from jobsift.llm.memory import lean
+from jobsift.session import materialize, recorded, remove_tables
 from jobsift.skew import salt_of, spread_join
 
 #: Bytes of a term, A-Z lower-cased; every other byte parts terms.
@@ -135,13 +135,14 @@ def _split(docs: DataFrame, shared: DataFrame, digest: Callable[[bytes], int], l
 
 def _kept_counts(docs: DataFrame, digest: Callable[[bytes], int], least: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, source, digest, slot, n)`` of kept terms and their ``(digest, slot, term)``."""
-    written = materialize(_read(docs, digest, False), "read")
+    with recorded() as working:
+        written = materialize(_read(docs, digest, False), "read")
     counted = materialize(_summed(written, "digest"), "counts")
     kept = counted.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "digest")
     kept = materialize(kept, "kept")
     texts = _with_digests(written.where("term IS NOT NULL").select("digest", "term"), kept.select("digest").distinct())
     texts = materialize(texts.groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("greatest")), "texts")
-    remove(written)
+    remove_tables(docs.sparkSession, working)
     unique = texts.where("least = greatest").select("digest", F.lit(0).alias("slot"), F.col("least").alias("term"))
     shared = texts.where("least <> greatest").select("digest")
     counts = counted.join(kept, ["lang", "digest"], "left_semi").select("lang", "source", "digest", F.lit(0).alias("slot"), "n")

@@ -63,13 +63,15 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH) -> np.ndarray:
-    """``(vector, table, 1 + probes)`` cell keys; the first of each table is the home."""
-    dim = unit.shape[1]
-    rng = np.random.default_rng([SEED, dim])
+    """``(vector, table, 1 + probes)`` cell keys; the first of each table is the home.
+
+    A projection begins with that of fewer dimensions.
+    """
     out = np.empty((len(unit), tables, 1 + probes), np.int64)
     for t in range(tables):
-        project, shift = rng.normal(size=(dim, 8)) * (math.sqrt(8) / width), rng.random(8) * 2
-        weight = rng.integers(1, 2**62, 8)
+        rng = np.random.default_rng([SEED, t])
+        shift, weight = rng.random(8) * 2, rng.integers(1, 2**62, 8)
+        project = rng.normal(size=(unit.shape[1], 8)) * (math.sqrt(8) / width)
         y = unit @ project + shift
         home = decode_e8(y)
         # |y - home - r|^2 grows with -(y - home) . r, as all r have one length.
@@ -81,49 +83,51 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: f
     return out
 
 
-def _unit(values: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows are usable, and these rows at length 1 in double precision."""
+def _units(values: pa.ListArray) -> tuple[np.ndarray, list[bytes]]:
+    """Which rows are usable, and these rows at length 1 in double precision.
+
+    Zeros at the end of a vector are left out, so vectors of any length meet as if filled up with
+    zeros, wherever they are read.
+    """
     good, rows = [], []
-    width = 0
     for i, v in enumerate(values.to_pylist()):
         if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            good.append(i), rows.append(v)
-            width = max(width, len(v))
-    if not rows:
-        return np.empty(0, np.int64), np.empty((0, 0))
-    x = np.zeros((len(rows), width))
-    for i, v in enumerate(rows):
-        x[i, :len(v)] = v
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return np.array(good), x / np.sqrt((x * x).sum(axis=1))[:, None]
+            x = np.array(v, np.float64)
+            x /= np.abs(x).max()
+            x = x[:np.flatnonzero(x)[-1] + 1]
+            good.append(i), rows.append((x / np.sqrt((x * x).sum())).tobytes())
+    return np.array(good, np.int64), rows
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good, unit = _unit(batch.column(1))
+        good, units = _units(batch.column(1))
         if len(good):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(good)), pa.array([u.tobytes() for u in unit], pa.binary())],
-                names=["id", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(units, pa.binary())], names=["id", "unit"])
+
+
+def _filled(units: list[bytes]) -> np.ndarray:
+    """Unit vectors as rows of the longest one's width."""
+    rows = [np.frombuffer(u) for u in units]
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    return out
 
 
 def _placer(tables: int, probes: int, width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [np.frombuffer(u) for u in batch.column("unit").to_pylist()]
-            for at in range(0, len(units), 512):
-                part = units[at:at + 512]
-                for dim in sorted({len(u) for u in part}):
-                    rows = np.array([i for i, u in enumerate(part) if len(u) == dim])
-                    keys = cells(np.stack([part[i] for i in rows]), tables, probes, width)
-                    flat = keys.reshape(len(rows), -1)
-                    n = flat.shape[1]
-                    packed = pa.array([k.tobytes() for k in keys], pa.binary())
-                    source = pa.array(np.repeat(rows + at, n))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(flat.reshape(-1)), batch.column("id").take(source), batch.column("copies").take(source),
-                        batch.column("unit").take(source), packed.take(pa.array(np.repeat(np.arange(len(rows)), n)))],
-                        names=["cell", "id", "copies", "unit", "keys"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = cells(_filled(part.column("unit").to_pylist()), tables, probes, width)
+                flat = keys.reshape(part.num_rows, -1)
+                source = pa.array(np.repeat(np.arange(part.num_rows), flat.shape[1]))
+                packed = pa.array([k.tobytes() for k in keys], pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(flat.reshape(-1)), part.column("id").take(source), part.column("copies").take(source),
+                    part.column("unit").take(source), packed.take(source)],
+                    names=["cell", "id", "copies", "unit", "keys"])
     return run
 
 
@@ -132,7 +136,7 @@ def _pairs(table: pa.Table, tables: int, least: float) -> tuple[np.ndarray, np.n
     cell = table.column("cell")[0].as_py()
     ids = table.column("id").to_numpy()
     side = table.column("side").to_numpy()
-    units = np.stack([np.frombuffer(u) for u in table.column("unit").to_pylist()])
+    units = _filled(table.column("unit").to_pylist())
     keys = np.stack([np.frombuffer(k, np.int64) for k in table.column("keys").to_pylist()]).reshape(len(ids), tables, -1)
     t = cell % tables
     one, two = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
@@ -194,8 +198,7 @@ def near_duplicate_vectors(
     verified, and those of equal vectors are always found.  ``component_id`` is the least id
     reachable, the row's own without links.  Vectors that are null, empty, zero or hold null or
     non-finite components have no links; so have rows with a null id, whose component is
-    null.  Vectors of fewer dimensions count as filled up with zeros within a batch and do not
-    meet those of others.  Rows that repeat an id with an equal vector count once and each get
+    null.  Vectors of fewer dimensions count as filled up with zeros.  Rows that repeat an id with an equal vector count once and each get
     their row.  Other columns are not read.  An empty frame gives no rows.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))

@@ -12,7 +12,6 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 
 def give_back() -> None:
@@ -33,14 +32,3 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         finally:
             give_back()
     return whole
-
-
-def remove(table: DataFrame) -> None:
-    """Delete the folder of a table that ``session.materialize`` wrote and nothing reads any more."""
-    files = table.inputFiles()
-    if files:
-        jvm = table.sparkSession._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        # The folders of ``work_dir`` end in a dash and 32 hexadecimal digits.
-        if len(folder.getName().rpartition("-")[2]) == 32:
-            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

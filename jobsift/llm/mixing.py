@@ -24,6 +24,8 @@ SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (0
 #: Rows of a source that are summed in one window, about; and a bound on the windows.
 BUCKET_ROWS = 1000
 MOST_BUCKETS = 1 << 20
+#: Rows of a window above which it is split: ids that repeat, or are null, share one.
+HOT_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -86,63 +88,78 @@ def due_time(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column
     return out
 
 
+def _windows(rows: DataFrame, buckets: int, hot_rows: int) -> DataFrame:
+    """``rows`` with their window: ``bucket``, a range of hashes, and ``part`` of it, 0 but where many rows share it.
+
+    At most (rows) / ``hot_rows`` buckets are split; they are broadcast.
+    """
+    placed = rows.withColumn("bucket", F.floor(F.col("hash") / F.lit(float(1 << 60)) * buckets).cast("int"))
+    hot = placed.groupBy("of", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(
+        "of", "bucket", F.ceil(F.col("n") * 2 / hot_rows).cast("int").alias("parts"))
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    return placed.join(F.broadcast(hot), ["of", "bucket"], "left").withColumn("part", part).drop("parts")
+
+
 def assign_positions(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
-    weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0,
+    weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, size, source_size, target, taken, ``places`` and the ``keep`` columns.
 
     ``size`` counts words, 0 for null and empty texts.  ``taken`` is how many words of the row the
     mix takes, all rounds together, at most ``most`` times its size (a whole number of rounds);
-    ``places`` is ``array<struct<round, position, words>>``.  The row in which a source reaches its
-    target gives its first words only.  Rows with a null source form one source; rows with a
-    null id stand where the empty id would.  Rows that repeat an id each take their own place;
-    rows alike in id, source and size may stand for each other.  Reruns agree.  The places'
+    ``places`` is ``array<struct<round, position, words>>``.  Rows are taken whole: the one in
+    which a source reaches its target is taken if its middle lies below the target, else not,
+    so a source is within half a document of it.  Rows with a null source form one source; rows
+    with a null id stand where the empty id would.  Rows that repeat an id each take their own
+    place, those alike in id and size in the order of the table.  Reruns agree.  The places'
     order within a source follows a hash of the id, not its value.  Kept columns may not bear
-    the names above.  Empty frames give no rows.
+    the names above (``ValueError``).  Empty frames give no rows.
+
+    Places are found on narrow rows; kept columns are joined to them once, by a row number.
     """
+    taken_names = {"id", "size", "source_size", "target", "taken", "places", "row"}
+    if clash := taken_names & {k.lower() for k in keep}:
+        raise ValueError(f"kept columns bear names of the result: {sorted(clash)}")
     rounds = math.ceil(most)
-    total = docs.count()
-    buckets = min(MOST_BUCKETS, max(1, total // BUCKET_ROWS))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.struct(F.lit(0).alias("_"), *keep).alias("kept")).withColumn("hash", place_hash(F.col("id")))
-    rows = rows.withColumn("bucket", F.floor(F.col("hash") / F.lit(float(1 << 60)) * buckets).cast("int"))
-    sums = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
-    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    targets = targets.withColumn("whole", F.floor(F.col("target") + 0.5).cast("long"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
-    plan = offsets.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    plan = plan.withColumnsRenamed({"source": "of", "bucket": "in"})
-    inside = Window.partitionBy("of", "in").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        rows.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
-        .withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))))
+    # Written once, the row numbers hold for good.
+    numbered = materialize(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"), F.struct(F.lit(0).alias("_"), *keep).alias("kept")), "rows")
+    rows = numbered.select(
+        "row", "id", "size", place_hash(F.col("id")).alias("hash"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"))
+    rows = _windows(rows, min(MOST_BUCKETS, max(1, rows.count() // BUCKET_ROWS)), hot_rows)
+    sums = materialize(rows.groupBy("of", "bucket", "part").agg(F.sum("size").alias("words")), "sums")
+    sizes = sums.groupBy("of").agg(F.sum("words").alias("source_size"))
+    targets = source_targets(sizes.select(F.when(F.col("of") != "", F.substring("of", 2, 1 << 30)).alias("source"), "source_size"), weights, share, most)
+    targets = targets.select(
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"), "source_size", "class", "target",
+        F.floor(F.col("target") + 0.5).cast("long").alias("whole"))
+    earlier = Window.partitionBy("of").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    plan = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words").join(targets, "of")
+    inside = Window.partitionBy("of", "bucket", "part").orderBy("hash", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(plan, ["of", "bucket", "part"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
     def place(turn: int) -> Column:
         begin = F.col("start") + F.lit(turn) * F.col("source_size")
-        words = F.least("size", F.greatest(F.col("whole") - begin, F.lit(0)))
-        middle = (begin + words / 2) / F.greatest("whole", F.lit(1))
+        words = F.when(2 * begin + F.col("size") < 2 * F.col("whole"), F.col("size")).otherwise(F.lit(0))
+        middle = (begin + F.col("size") / 2) / F.greatest("whole", F.lit(1))
         position = F.lit(None).cast("double")
         for i in range(len(weights)):
             position = F.when(F.col("class") == i, due_time(middle, schedules[i])).otherwise(position)
         return F.struct(F.lit(turn).alias("round"), position.alias("position"), words.alias("words"))
 
     places = F.filter(F.array(*(place(i) for i in range(rounds))), lambda p: p["words"] > 0)
-    placed = placed.withColumn("places", places)
-    return placed.select(
-        "id", "size", "source_size", "target",
-        F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("taken"), "places",
-        *(F.col(f"kept.`{c}`") for c in keep))
+    placed = placed.withColumn("places", places).select(
+        "row", "id", "size", "source_size", "target",
+        F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("taken"), "places")
+    if keep:
+        placed = placed.join(numbered.select("row", "kept"), "row")
+    return placed.select("id", "size", "source_size", "target", "taken", "places", *(F.col(f"kept.`{c}`") for c in keep))
 
 
-def training_order(assigned: DataFrame, text_col: str | None = None) -> DataFrame:
-    """The mix itself: a row per place, range-sorted by position; texts cut to the words taken."""
+def training_order(assigned: DataFrame) -> DataFrame:
+    """The mix itself: a row per place, range-sorted by position."""
     columns = [c for c in assigned.columns if c != "places"]
     rows = assigned.select(*columns, F.explode("places").alias("place")).select(*columns, "place.*")
-    if text_col:
-        first = F.array_join(F.slice(
-            F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
-        rows = rows.withColumn(text_col, F.when(F.col("words") < F.col("size"), first).otherwise(F.col(text_col)))
     return rows.repartitionByRange("position", "id", "round").sortWithinPartitions("position", "id", "round")

@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from jobsift.llm.components import connected_components
-from jobsift.llm.memory import lean, remove
+from jobsift.llm.memory import lean
 from jobsift.llm.shingles import mix, shingle_sets, slices
-from jobsift.session import materialize
+from jobsift.session import materialize, recorded, remove_tables
 
 COORDS = 200
 ROWS = 5
@@ -209,16 +209,18 @@ def near_duplicates(
     node and each gets its row.  Rows with a null id have no links and a null component.
     Other columns of ``docs`` are not read.  An empty frame gives no rows.
     """
-    num, den = similarity
-    stored: list[DataFrame] = []
+    with recorded() as written:
+        result = _linked(docs, id_col, text_col, words, similarity, coords, rows)
+    # Nothing reads the working tables once the result, the last one written, is there.
+    remove_tables(docs.sparkSession, written[:-1])
+    return result
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        stored.append(materialize(df, name))
-        return stored[-1]
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: tuple[int, int], coords: int, rows: int) -> DataFrame:
+    num, den = similarity
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    marks = keep(
+    marks = materialize(
         source.mapInArrow(
             _sketcher(words, coords, rows),
             f"id {kind}, n_shingles long, f1 long, f2 long, keys array<long>"),
@@ -229,7 +231,7 @@ def near_duplicates(
     nodes = marks.where("id IS NOT NULL AND n_shingles > 0")
     heads = nodes.groupBy(*print_cols).agg(F.min("id").alias("head"))
     members = nodes.select("id", *print_cols).distinct().join(heads, print_cols).select("id", "head")
-    members = keep(members, "members")
+    members = materialize(members, "members")
     banded = (
         marks.join(heads.withColumnRenamed("head", "id"), ["id", *print_cols], "left_semi")
         .dropDuplicates(["id", *print_cols])
@@ -237,9 +239,9 @@ def near_duplicates(
 
     # Buckets of at least two class heads.
     shared = banded.groupBy("key").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first <> _last")
-    buckets = keep(banded.select("key", "id").join(shared.select("key"), "key").distinct(), "buckets")
+    buckets = materialize(banded.select("key", "id").join(shared.select("key"), "key").distinct(), "buckets")
     involved = buckets.select("id").distinct()
-    sets = keep(
+    sets = materialize(
         source.join(involved, "id", "left_semi").mapInArrow(_set_maker(words), f"id {kind}, shingles array<long>")
         .dropDuplicates(["id", "shingles"]), "sets")
     # Shingles that no other set has: they have one row, which names their set.
@@ -249,7 +251,7 @@ def near_duplicates(
     traits = (
         sets.select("id", F.size("shingles").cast("long").alias("n")).join(alone, "id", "left")
         .select("id", F.struct("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).alias("t")))
-    buckets = keep(buckets.join(traits, "id").select("key", "t"), "traits")
+    buckets = materialize(buckets.join(traits, "id").select("key", "t"), "traits")
 
     def central(t: str) -> Column:
         """The lower, the larger the part of the set that others have; no two alike."""
@@ -264,31 +266,27 @@ def near_duplicates(
             .select(F.greatest("t.id", "th.id").alias("a"), F.least("t.id", "th.id").alias("b")).distinct())
 
     own = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    tested = keep(compared(buckets, central("t"), F.col("t.id") != F.col("th.id")), "pairs")
-    links = keep(_confirm(tested, sets, num, den).union(own), "links")
+    tested = materialize(compared(buckets, central("t"), F.col("t.id") != F.col("th.id")), "pairs")
+    links = materialize(_confirm(tested, sets, num, den).union(own), "links")
 
     # Buckets that still hold several components.
     def split_buckets(links: DataFrame) -> DataFrame:
         part = connected_components(links)
         marked = buckets.join(part, F.col("t.id") == part["id"], "left").select("key", "t", F.coalesce("component", "t.id").alias("part"))
         several = marked.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo <> _hi")
-        return keep(marked.join(several.select("key"), "key"), "split")
+        return materialize(marked.join(several.select("key"), "key"), "split")
 
     again = compared(split_buckets(links), F.xxhash64("key", "t.id"), F.col("part") != F.col("parth"))
-    again = keep(again.join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = keep(links.union(_confirm(again, sets, num, den)), "links")
+    again = materialize(again.join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = materialize(links.union(_confirm(again, sets, num, den)), "links")
 
     # What is still apart: by central member of the bucket, across components, in blocks.
     left = split_buckets(links)
     hubs = left.groupBy("key").agg(F.min_by("t.id", central("t")).alias("hub"))
-    groups = keep(left.join(hubs, "key").select("hub", F.col("t.id").alias("id"), "part").distinct(), "groups")
+    groups = materialize(left.join(hubs, "key").select("hub", F.col("t.id").alias("id"), "part").distinct(), "groups")
     links = links.union(_across(groups, sets, num, den, kind))
 
     part = connected_components(links)
-    result = materialize(
+    return materialize(
         marks.select("id", "n_shingles").join(part, "id", "left")
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "near-duplicates")
-    # Nothing reads the working tables once the result is written.
-    for table in stored:
-        remove(table)
-    return result

@@ -51,7 +51,8 @@ c AS (SELECT d.*, t.total, t.target, floor(t.target + 0.5)::BIGINT AS whole, coa
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, total AS source_size, target,
-       (least(size, greatest(whole - start, 0)) + least(size, greatest(whole - total - start, 0)))::BIGINT AS taken FROM c"""
+       (CASE WHEN 2 * start + size < 2 * whole THEN size ELSE 0 END
+        + CASE WHEN 2 * (start + total) + size < 2 * whole THEN size ELSE 0 END)::BIGINT AS taken FROM c"""
 
 _TOP_K = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings

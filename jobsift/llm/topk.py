@@ -29,10 +29,16 @@ QUERY_ROWS = 512
 
 
 def quantize(values, scale: int = 256) -> np.ndarray | None:
-    """``floor(scale * x)`` of each component as a double, None unless all are finite."""
+    """``floor(scale * x)`` of each component as a double, None unless all are finite.
+
+    A component beyond 63 bits raises ``OverflowError``.
+    """
     if values is None or any(x is None or not math.isfinite(x) for x in values):
         return None
-    return np.floor(np.asarray(values, np.float64) * scale).astype(np.int64)
+    whole = np.floor(np.asarray(values, np.float64) * scale)
+    if len(whole) and not np.abs(whole).max() < 2.0**63:
+        raise OverflowError("a component leaves 63 bits")
+    return whole.astype(np.int64)
 
 
 def _quantizer(scale: int, every: int):
@@ -87,9 +93,10 @@ def _packer(name: str, rows: int | None):
     return run
 
 
-def _fits_double(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether every inner product is exact in doubles, which multiply faster than integers."""
-    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1) < 2**53
+def _kind(a: np.ndarray, b: np.ndarray) -> type:
+    """What every inner product is exact in: doubles multiply fastest, Python's integers hold any."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(a.shape[1], 1)
+    return float if most < 2**53 else np.int64 if most < 2**62 else object
 
 
 def best_of_shard(
@@ -98,7 +105,7 @@ def best_of_shard(
     """Each query's best ``k`` of the shard: (query id, ids, scores, rows scored)."""
     cuts = np.arange(0, len(ids), block)
     most, least = np.maximum.reduceat(weights, cuts, axis=0), np.minimum.reduceat(weights, cuts, axis=0)
-    kind = float if _fits_double(queries, weights) else np.int64
+    kind = _kind(queries, weights)
     up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
     bounds = up @ most.T.astype(kind) + down @ least.T.astype(kind)
     values = weights.astype(kind)
@@ -115,8 +122,11 @@ def best_of_shard(
             keep = (found != own) & (score >= best[-1]) if len(best) == k else found != own
             best_ids, best = np.concatenate((best_ids, found[keep])), np.concatenate((best, score[keep]))
             order = np.lexsort((best_ids, -best))
-            order = order[np.concatenate(([True], best_ids[order][1:] != best_ids[order][:-1]))] if len(order) else order
+            # An id that repeats stands where its best score does.
+            order = order[np.sort(np.unique(best_ids[order], return_index=True)[1])]
             best_ids, best = best_ids[order[:k]], best[order[:k]]
+        if kind is object and any(abs(x) >= 2**63 for x in best):
+            raise OverflowError("a score leaves 63 bits")
         yield int(own), best_ids, best.astype(np.int64), scored
 
 
@@ -155,7 +165,7 @@ def search_top_k(
     one without terms.  Vectors of different length are filled up with zeros.  Rows that repeat
     an id with an equal vector count once; with other vectors the best score of the id counts.
     Other columns are not read.  A query with fewer than ``k`` others has them all; an empty
-    frame gives no rows.
+    frame gives no rows.  A finite component or a score that leaves 63 bits raises ``OverflowError``.
 
     Queries in groups meet the index in shards: one task row holds ``QUERY_ROWS`` queries
     and ``shard_rows`` rows, so neither side is ever whole in a task or on the driver.

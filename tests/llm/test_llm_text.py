@@ -241,8 +241,10 @@ def test_mixing(spark):
         if not more:
             break
         full |= more
+    longest = {s: max(r.size for r in got if source[r.id] == s) for s in order}
     for s in order:
-        assert math.isclose(target[s], want[s], abs_tol=1e-6) and abs(taken[s] - want[s]) <= 1
+        assert math.isclose(target[s], want[s], abs_tol=1e-6) and abs(taken[s] - want[s]) <= longest[s] / 2 + 1
+    assert all(p.words == r.size for r in got for p in r.places)
     again = mixing.assign_positions(frame(spark, rows).drop("size", "id").repartition(7)).collect()
     assert sorted((str(r.id), r.taken, str(r.places)) for r in got) == sorted((str(r.id), r.taken, str(r.places)) for r in again)
 
@@ -250,9 +252,34 @@ def test_mixing(spark):
 def test_mixed_texts_in_order(spark):
     rows = [(i, f"one two three\nfour {i}", "ab"[i % 2]) for i in range(40)]
     placed = mixing.assign_positions(frame(spark, rows).drop("size", "id"), keep=("text",))
-    out = mixing.training_order(placed, text_col="text").collect()
+    out = mixing.training_order(placed).collect()
     assert [r.position for r in out] == sorted(r.position for r in out)
-    assert all(len(r.text.split()) == r.words for r in out)
+    assert all(len(r.text.split()) == r.words and r.text == rows[r.id][1] for r in out)
+    with pytest.raises(ValueError):
+        mixing.assign_positions(frame(spark, rows), keep=("Size",))
+
+
+def test_sources_of_one_document_are_taken_whole(spark):
+    rows = [(i, "w " * (20 + i % 7), f"s{i:03d}") for i in range(900)]
+    placed = mixing.assign_positions(frame(spark, rows).drop("size", "id"), keep=("text",))
+    out = mixing.training_order(placed).collect()
+    assert all(r.text == rows[r.id][1] and r.words == 20 + r.id % 7 for r in out)
+    taken = Counter(r.id for r in out)
+    assert set(taken.values()) <= {1, 2} and all(abs(taken[r.id] * r.size - r.target) <= r.size / 2 + 1 for r in placed.collect())
+
+
+def test_rows_without_id_share_no_window(spark):
+    """A window of many rows is split; sources stay near their targets and every place is taken once."""
+    rows = [(None, "a b c" if i % 3 else "", "x") for i in range(3000)] + [(5, "five is here", "x")] * 500 + [(i, "q " * (i % 9), "y") for i in range(200)]
+    docs = frame(spark, rows).drop("size", "id")
+    for hot in (40, mixing.HOT_ROWS):
+        got = mixing.assign_positions(docs, hot_rows=hot).collect()
+        assert len(got) == len(rows)
+        positions = [p.position for r in got if r.source_size > 2000 for p in r.places]
+        assert len(positions) == len(set(positions))
+        for size in {r.source_size for r in got}:
+            same = [r for r in got if r.source_size == size]
+            assert abs(sum(r.taken for r in same) - same[0].target) <= 5
     assert mixing.assign_positions(empty(spark).drop("size", "id")).count() == 0
 
 

@@ -69,6 +69,40 @@ def test_wide_integers_stay_exact():
     assert ids.tolist() == [2, 1] and scores.tolist() == [2**60 + 3, 2**60 + 2]
 
 
+def test_repeated_ids_take_one_place(spark):
+    """An id with several vectors counts with its best score and takes no second place."""
+    (_, ids, scores, _), = topk.best_of_shard(
+        np.array([0]), np.array([[1]]), np.array([1, 2, 1, 3, 4, 5, 2]), np.array([[10], [9], [8], [7], [6], [5], [9]]), 5)
+    assert ids.tolist() == [1, 2, 3, 4, 5] and scores.tolist() == [10, 9, 7, 6, 5]
+    rng = np.random.default_rng(5)
+    rows = [(i % 40, rng.normal(size=4).astype(np.float32).tolist()) for i in range(400)]
+    table = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)) for i, v in rows]
+    for block in (3, 128):
+        got = sorted((r.query_id, r["rank"], r.id, r.score) for r in topk.search_top_k(frame(spark, rows), every=20, k=5, shard_rows=50, block=block).collect())
+        want = []
+        for q in (0, 20):
+            best = {}
+            for i, own in table:
+                if i == q:
+                    for j, other in table:
+                        if j != q:
+                            best[j] = max(best.get(j, -10**9), int(own @ other))
+            want += [(q, n + 1, j, s) for n, (j, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])]
+        assert got == want
+
+
+def test_large_components():
+    """Sums beyond doubles and 63 bits on the way stay exact; what ends beyond 63 bits raises."""
+    big = 2**61
+    (_, ids, scores, _), = topk.best_of_shard(np.array([9]), np.array([[3, -3, 1]]), np.arange(3), np.array([[big, big, 1], [big, big, 3], [0, 0, 2]]), 3)
+    assert ids.tolist() == [1, 2, 0] and scores.tolist() == [3, 2, 1]
+    with pytest.raises(OverflowError):
+        list(topk.best_of_shard(np.array([9]), np.array([[8]]), np.arange(1), np.array([[big]]), 3))
+    with pytest.raises(OverflowError):
+        topk.quantize([1e17])
+    assert topk.quantize([2.0**54]).tolist() == [2**62]
+
+
 def test_lattice_decoder_finds_the_nearest_point():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 8)) * 2
@@ -108,5 +142,15 @@ def test_lattice_links(spark, rows, block):
     assert len(copies) == 1 and copies == {r.component_id for r in got if r.id == 7}
 
 
+def test_vectors_of_unlike_length_meet_wherever_they_are_read(spark):
+    rng = np.random.default_rng(11)
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0]), (4, [0.0, 1.0]), (5, [0.05, 1.0, 0.0, 0.0]), (6, [0.0, 0.0, 1.0])]
+    rows += [(10 + i, rng.normal(size=3 + i % 4).tolist()) for i in range(40)] + [(60, [0.0, 0.0, 0.9, 0.0])]
+    answers = [sorted((r.id, r.n_links, r.component_id) for r in embed_dedup.near_duplicate_vectors(
+        frame(spark, part).repartition(n)).collect()) for n in (1, 2, 7) for part in (rows, rows[::-1])]
+    assert all(a == answers[0] for a in answers)
+    assert {i: c for i, _, c in answers[0] if i < 10 or i == 60} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 60: 6}
+
+
 def test_lattice_of_nothing(spark, rows):
     assert embed_dedup.near_duplicate_vectors(frame(spark, rows).where("false")).count() == 0
