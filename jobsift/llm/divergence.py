@@ -40,7 +40,7 @@ PRIOR = 5
 #: Terms reported for a source.
 TOP_TERMS = 50
 #: Kept digests up to which they are broadcast (8 bytes each) to the written texts.
-BROADCAST_DIGESTS = 2_000_000
+BROADCAST_DIGESTS = 500_000
 #: Counts that a task holds before it writes them, and bytes of a text that are split at once.
 HELD_COUNTS = 400_000
 SLICE = 1 << 20

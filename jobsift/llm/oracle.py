@@ -4,6 +4,8 @@ Written from the meaning of the operators for the second engine; the patterns an
 a result is made of are stated again here.
 """
 
+from html.entities import html5
+
 _ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)")
@@ -91,10 +93,28 @@ LEFT JOIN (SELECT id, min(root) AS root FROM part GROUP BY id) ON id = vec_id"""
 _UUID = "'<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>'"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Character references: what has a name, with and without semicolon, and the numbers of Windows signs.
+_NAMES = "MAP {" + ", ".join(f"{_quoted(n)}: {_quoted(sign)}" for n, sign in html5.items()) + "}"
+_OPEN = "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True))
+_REFERENCE = f"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_OPEN}))"
+_WINDOWS = "[" + ", ".join(str(ord(bytes([n]).decode("cp1252", "ignore") or chr(n))) for n in range(128, 160)) + "]"
+_CODE = ("coalesce(CASE WHEN length(ltrim(rtrim(r[3:], ';'), 'xX0')) > 7 THEN 0 WHEN lower(r[3]) = 'x' THEN try_cast('0x' || rtrim(r[4:], ';') AS BIGINT)"
+         " ELSE try_cast(rtrim(r[3:], ';') AS BIGINT) END, 0)")
+_NUMBERED = (f"CASE WHEN {_CODE} BETWEEN 128 AND 159 THEN chr(({_WINDOWS})[({_CODE} - 127)::INT]::INT)"
+             f" WHEN {_CODE} BETWEEN 1 AND 55295 OR {_CODE} BETWEEN 57344 AND 1114111 THEN chr({_CODE}::INT) ELSE chr(65533) END")
+_BY_NAME = (f"coalesce(({_NAMES})[r[2:]], ({_NAMES})[r[2:] || ';'], ({_NAMES})[nullif(regexp_extract(r, '^&({_OPEN})', 1), '')]"
+            f" || r[2 + length(regexp_extract(r, '^&({_OPEN})', 1)):], r)")
+_SIGN = f"regexp_replace(CASE WHEN r = '' THEN '' WHEN r[2] = '#' THEN {_NUMBERED} ELSE {_BY_NAME} END, '^[\\x09-\\x0D\\x{{A0}}]$', ' ')"
+
+
 def _plain(text: str) -> str:
-    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
-        text = f"replace({text}, '&{name};', '{sign}')"
-    return text
+    """All references at once: gaps and signs in turn."""
+    return (f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{_REFERENCE}'), list_append(regexp_extract_all({text}, '{_REFERENCE}'), '')),"
+            f" lambda x: x[1] || list_transform([x[2]], lambda r: {_SIGN})[1]), '')")
 
 
 def _swap(text: str, pattern: str, new: str) -> str:
@@ -113,11 +133,11 @@ _LANG = r"""lower(regexp_extract(html, '(?i)<html\b[^>]*?[\x20\x09-\x0D]lang=["'
 
 _WARC = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl FROM pages),
-r AS (SELECT *, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || url) AS h, 'sha256:' || sha256(html) AS source_digest,
+r AS (SELECT *, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || url || '|sha256:' || sha256(html)) AS h, 'sha256:' || sha256(html) AS source_digest,
              {_TEXT} AS txt FROM p),
 s AS (SELECT *, {_UUID} AS refers_to,
   'title: ' || {_TITLE} || nl || 'declared-language: ' || {_LANG} || nl || 'source-payload-digest: ' || source_digest || nl
-  || 'source-length: ' || strlen(html) || nl || 'text-length: ' || strlen(txt) || nl || 'HTTP/1.1 200 OK' || nl
+  || 'source-length: ' || strlen(html) || nl || 'text-length: ' || strlen(txt) || nl || 'http-status: 200 OK' || nl
   || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl AS meta FROM r),
 k AS (SELECT page_id, url, refers_to, source_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type, meta AS block FROM s
       UNION ALL SELECT page_id, url, refers_to, source_digest, 'conversion', 'text/plain; charset=utf-8', txt FROM s),

@@ -14,6 +14,8 @@ Only built-in functions are used.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,21 @@ PHONE = (
 RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
 OTHERS = "|".join([EMAIL, DATE_ISO, DATE_DAY_FIRST, SSN, IP, PHONE])
 ANY = f"{OTHERS}|{RUN}"
-#: Digits of a card at least and at most, and how its groups are usually written.
+#: Digits of a card at least and at most, how its groups are usually written, and how short others are at least.
 CARD_DIGITS = (13, 19)
 CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5])
+LEAST_GROUP = 3
+#: A row of groups is a list, where cards have no gaps, if more groups than these lie outside its
+#: usually grouped cards; cards grouped otherwise are looked for in so many groups at most.
+LIST_GROUPS = {"outside": 4, "any": 6}
+# The first digits that issuers of cards have, with the lengths of their numbers.
+ISSUER = (
+    r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})"
+    r"|(?=[0-9]{16}$)(?:5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)[0-9]*"
+    r"|(?=[0-9]{15}$)3[47][0-9]*"
+    r"|(?=[0-9]{14,19}$)3(?:0[0-5]|[689])[0-9]*"
+    r"|(?=[0-9]{16,19}$)(?:6011|64[4-9]|65|62|35(?:2[89]|[3-8]))[0-9]*"
+    r"|(?=[0-9]{13,19}$)(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]*)$")
 FIRST_DAY = "1800-03-01"
 DAYS = (189, 773)
 
@@ -171,6 +185,12 @@ def _tokens(text: Column, pattern: str) -> Column:
         lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
 
+def _solid_end(groups: Column, at: Column) -> Column:
+    """The place ``at`` of a card without gaps, else null."""
+    end = F.when(F.length(F.get(groups, at)).between(*CARD_DIGITS), at)
+    return F.when(_is_card(groups, at, end), end)
+
+
 def _usual_end(groups: Column, at: Column) -> Column:
     """The last place of a card that begins at place ``at`` and is grouped as usual, else null."""
     one = F.length(F.get(groups, at))
@@ -186,8 +206,10 @@ def _usual_end(groups: Column, at: Column) -> Column:
 def _any_end(groups: Column, at: Column) -> Column:
     """The last place of the longest card that begins at place ``at``, else null."""
     least, most = CARD_DIGITS
-    ends = F.sequence(at, F.least(at + most - 1, F.size(groups) - 1))
-    return F.array_max(F.filter(ends, lambda end: F.length(_joined(groups, at, end)).between(least, most) & _is_card(groups, at, end)))
+    ends = F.sequence(at, F.least(at + most // LEAST_GROUP - 1, F.size(groups) - 1))
+    long = lambda end: F.forall(F.slice(groups, at + 1, end - at + 1), lambda g: F.length(g) >= LEAST_GROUP)
+    found = F.array_max(F.filter(ends, lambda end: long(end) & F.length(_joined(groups, at, end)).between(least, most) & _is_card(groups, at, end)))
+    return F.when(F.size(groups) <= LIST_GROUPS["any"], found)
 
 
 def _joined(groups: Column, at: Column, end: Column) -> Column:
@@ -195,7 +217,8 @@ def _joined(groups: Column, at: Column, end: Column) -> Column:
 
 
 def _is_card(groups: Column, at: Column, end: Column) -> Column:
-    return F.when(end.isNotNull(), _let(_digits(_joined(groups, at, end)), lambda d: _check_sum(d, 1) % 10 == 0))
+    """Whether the digits are an issuer's and the check digit is right."""
+    return F.when(end.isNotNull(), _let(_joined(groups, at, end), lambda d: F.regexp_like(d, F.lit(ISSUER)) & (_check_sum(_digits(d), 1) % 10 == 0)))
 
 
 def _spans(groups: Column, end_at) -> Column:
@@ -216,19 +239,25 @@ def _spans(groups: Column, end_at) -> Column:
 def _run_tokens(run: Column) -> Column:
     """Tokens of a run of digit groups: its cards, and what else is in the rest.
 
-    Cards grouped as usual come first, then any others that begin and end with a group.
+    Cards grouped as usual come first, then any others that begin and end with a group.  In a
+    list of many other groups only cards without gaps count.
     """
-    def parts(written: Column, end_at) -> Column:
+    def parts(written: Column, spans_of) -> Column:
         groups = F.transform(written, lambda g: F.regexp_replace(g, "[ -]", ""))
-        return _let(groups, lambda g: F.transform(_spans(g, end_at), lambda x: F.struct(
+        return _let(groups, lambda g: F.transform(spans_of(g), lambda x: F.struct(
             F.slice(written, x["at"] + 1, x["end"] - x["at"] + 1).alias("written"), x["card"].alias("card"))))
 
+    def usual_spans(groups: Column) -> Column:
+        outside = lambda spans: F.aggregate(spans, F.lit(0), lambda n, x: n + F.when(x["card"], 0).otherwise(x["end"] - x["at"] + 1))
+        return _let(_spans(groups, _usual_end), lambda spans: F.when(
+            outside(spans) > LIST_GROUPS["outside"], _spans(groups, _solid_end)).otherwise(spans))
+
     def tokens(part: Column) -> Column:
         return _let(F.array_join(part["written"], ""), lambda text: F.when(part["card"], F.array(F.struct(
             F.regexp_extract(text, "^[ -]?", 0).alias("gap"), F.regexp_replace(text, "^[ -]", "").alias("m")))).otherwise(_tokens(text, OTHERS)))
 
-    usual = parts(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), _usual_end)
-    every = F.flatten(F.transform(usual, lambda p: F.when(p["card"], F.array(p)).otherwise(parts(p["written"], _any_end))))
+    usual = parts(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), usual_spans)
+    every = F.flatten(F.transform(usual, lambda p: F.when(p["card"], F.array(p)).otherwise(parts(p["written"], lambda g: _spans(g, _any_end)))))
     return F.flatten(F.transform(every, tokens))
 
 
@@ -262,11 +291,13 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     text, secret = F.col(text_col), F.lit(key)
     found = F.when(F.regexp_like(text, F.lit("[0-9@]")), _all_tokens(text))
     # Matches and their pseudonyms, kept in columns so that neither is computed twice.
-    work = docs.withColumn("__found", found).withColumn("__new", F.when(
-        F.exists("__found", lambda t: t["m"].isNotNull()), F.transform("__found", lambda t: F.when(t["m"].isNotNull(), pseudonym(t["m"], secret)))))
-    parts = F.zip_with("__found", "__new", lambda t, p: F.concat(t["gap"], F.coalesce(p, t["m"], F.lit(""))))
-    work = work.withColumn(text_col, F.when(F.size("__new") > 0, F.array_join(parts, "")).otherwise(text))
+    taken = {c.lower() for c in docs.columns}
+    was, new = (next(f"{name}{i}" for i in itertools.count() if f"{name}{i}" not in taken) for name in ("found", "new"))
+    work = docs.withColumn(was, found).withColumn(new, F.when(
+        F.exists(was, lambda t: t["m"].isNotNull()), F.transform(was, lambda t: F.when(t["m"].isNotNull(), pseudonym(t["m"], secret)))))
+    parts = F.zip_with(was, new, lambda t, p: F.concat(t["gap"], F.coalesce(p, t["m"], F.lit(""))))
+    work = work.withColumn(text_col, F.when(F.size(new) > 0, F.array_join(parts, "")).otherwise(text))
     if count_col:
-        replaced = F.size(F.filter("__new", lambda p: p.isNotNull()))
-        work = work.withColumn(count_col, F.coalesce(F.when(F.size("__new") > 0, replaced), F.lit(0)).cast("long"))
-    return work.drop("__found", "__new")
+        replaced = F.size(F.filter(new, lambda p: p.isNotNull()))
+        work = work.withColumn(count_col, F.coalesce(F.when(F.size(new) > 0, replaced), F.lit(0)).cast("long"))
+    return work.drop(was, new)

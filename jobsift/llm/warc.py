@@ -27,10 +27,12 @@ BREAKS = (
 TAGS = r"<[^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = r"""(?i)<html\b[^>]*?[\x20\x09-\x0D]lang=["']?([A-Za-z-]+)"""
-#: Names of character references, those of HTML 4 first: a look-up goes through them in turn.
+#: Names of character references, those of HTML 4 first.
 NAMED = {
     **{n: chr(c) for n, c in html.entities.name2codepoint.items()},
     **{n.removesuffix(";"): sign for n, sign in html.entities.html5.items()}}
+#: The names by their first letter, from A to z: a look-up goes through those of one letter only.
+LETTERS = [chr(c) for c in range(ord("A"), ord("z") + 1)]
 #: Names that also stand without a semicolon, the longest first.
 OPEN_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{OPEN_NAMES}))"
@@ -58,7 +60,9 @@ def _numbered(reference: Column) -> Column:
 
 def _named(reference: Column) -> Column:
     """The sign of a named reference; an unknown name stays, but for a name without semicolon at its start."""
-    signs = F.map_from_arrays(F.lit(list(NAMED)), F.lit(list(NAMED.values())))
+    lists = [[n for n in NAMED if n[0] == letter] or ["-"] for letter in LETTERS]
+    by_letter = F.array(*(F.map_from_arrays(F.lit(names), F.lit([NAMED.get(n, "") for n in names])) for names in lists))
+    signs = F.get(by_letter, F.ascii(F.substring(reference, 2, 1)) - ord(LETTERS[0]))
     start = F.regexp_extract(reference, f"^&({OPEN_NAMES})", 1)
     rest = lambda name: F.substring(reference, F.length(name) + 2, F.length(reference))
     return F.coalesce(
@@ -107,13 +111,14 @@ def responses(
     """Pages as response records: ``(id, record_id, target_uri, warc_date, headers, payload)``.
 
     ``headers`` are the HTTP status line and fields.  Null addresses and pages count as empty.
+    The identifier is made of id, address and payload, so only equal rows share one.
     """
     url, html = (F.coalesce(F.col(c), F.lit("")) for c in (url_col, html_col))
     return pages.select(
         F.col(id_col).alias("id"), url.alias("target_uri"), F.lit(date).alias("warc_date"), html.alias("payload"),
         F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                  F.octet_length(html).cast("string"), F.lit(CRLF)).alias("headers"),
-        record_id(F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), url).alias("record_id"))
+        record_id(F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), url, digest(html)).alias("record_id"))
 
 
 def derive(source: DataFrame) -> DataFrame:
@@ -122,7 +127,8 @@ def derive(source: DataFrame) -> DataFrame:
     Gives ``(id, record_type, record_id, refers_to, target_uri, warc_date, content_type, block,
     content_length, block_digest, source_digest)``.  ``block`` is the record's text,
     ``content_length`` its bytes, ``source_digest`` the payload digest of the response.  A response
-    without payload gives a conversion record with an empty block.  Repeated responses give
+    without payload gives a conversion record with an empty block.  The metadata block consists of
+    fields, the status line among them as ``http-status``.  Repeated responses give
     repeated records with equal ids.  Other columns are dropped; an empty frame gives none.
     """
     payload = F.col("payload")
@@ -132,7 +138,8 @@ def derive(source: DataFrame) -> DataFrame:
     meta = F.concat(
         field("title", page_title(payload)), field("declared-language", F.lower(F.regexp_extract(payload, LANGUAGE, 1))),
         field("source-payload-digest", F.col("source_digest")), field("source-length", F.octet_length(payload).cast("string")),
-        field("text-length", F.octet_length("text").cast("string")), F.col("headers"))
+        field("text-length", F.octet_length("text").cast("string")),
+        F.regexp_replace("headers", r"^HTTP/[0-9.]+ ", "http-status: "))
     kinds = F.explode(F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block"))))
