@@ -507,6 +507,35 @@ SELECT id, array_to_string(reasons, '|') AS reasons, len(reasons) > 0 AS rejecte
 oracle("d4_ats_coverage", f"""
 SELECT id, CAST(matching AS INTEGER) AS matching, CAST(missing AS INTEGER) AS missing, matching_md5, missing_md5,
   {ATS} AS ats_score FROM coverage""", "coverage")
+def _found_terms(source: str) -> str:
+    """Terms of the passages in the texts of ``source(id, text)``: every run of words is tried."""
+    def split(x: str) -> str:
+        return f"string_split(trim({terms(x)}), ' ')"
+    return f"""
+dict AS (SELECT DISTINCT term, len(string_split(term, ' ')) AS n FROM (
+  SELECT unnest([array_to_string(w[:k], ' ') for k in [1, 2, 3, 4]] || [array_to_string(w[len(w) - 1:], ' ')]) AS term
+  FROM (SELECT {split("text")} AS w FROM benchmark) WHERE len(w) >= 4) WHERE term <> ''),
+texts AS (SELECT id, {split("coalesce(text, '')")} AS w FROM ({source})),
+places AS (SELECT id, w, unnest(range(len(w))) AS place FROM texts),
+runs AS (SELECT id, place, n, array_to_string(w[place + 1:place + n], ' ') AS term FROM places, (SELECT DISTINCT n FROM dict) WHERE place + n <= len(w)),
+here AS (SELECT id, place, max(n) AS n, arg_max(term, n) AS term FROM runs SEMI JOIN dict USING (term) GROUP BY id, place),
+found AS (SELECT id, place, n, term FROM here QUALIFY coalesce(max(place + n) OVER (
+  PARTITION BY id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < place + n)"""
+
+
+oracle("d4_skills_in_text", f"""
+WITH {_found_terms("SELECT doc_id AS id, text FROM documents")}
+SELECT id, CAST(place AS INTEGER) AS place, CAST(n AS INTEGER) AS words, term FROM found""")
+oracle("d4_coverage_from_text", f"""
+WITH {_found_terms("SELECT id, jd_text AS text FROM jds")},
+hits AS (SELECT f.id, term AS skill, o.skill IS NOT NULL AS hit FROM (SELECT DISTINCT id, term FROM found) f JOIN jds j ON j.id = f.id
+  LEFT JOIN owned o ON o.user_id = j.user_id AND o.skill = f.term),
+coverage AS (SELECT j.id, count(skill) FILTER (hit) AS matching, count(skill) FILTER (NOT hit) AS missing,
+  md5(coalesce(string_agg(skill, '|' ORDER BY skill) FILTER (hit), '')) AS matching_md5,
+  md5(coalesce(string_agg(skill, '|' ORDER BY skill) FILTER (NOT hit), '')) AS missing_md5
+  FROM jds j LEFT JOIN hits h ON h.id = j.id GROUP BY j.id)
+SELECT id, CAST(matching AS INTEGER) AS matching, CAST(missing AS INTEGER) AS missing, matching_md5, missing_md5,
+  {ATS} AS ats_score FROM coverage""", "jds", "owned")
 oracle("d4_skill_spelling", f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) >= 2) AS w FROM documents),
 s AS (SELECT doc_id, w || list_transform(w, lambda x: upper(x)) AS w FROM w),

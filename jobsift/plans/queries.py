@@ -15,7 +15,7 @@ from jobsift import constants as K
 from jobsift import schemas
 from jobsift.functions import profiles as pf
 from jobsift.functions import scores, text
-from jobsift.operators import access, changes, history, ingest, insight, matching, usage
+from jobsift.operators import access, changes, dictionary, history, ingest, insight, matching, usage
 from jobsift.plans import flows
 from jobsift.plans import views as v
 from jobsift.session import materialize, work_dir
@@ -424,6 +424,28 @@ def d4_skill_spelling(spark, sf_dir):
         F.md5(joined("matching_skills")).alias("matching_md5"), F.md5(joined("missing_skills")).alias("missing_md5"), "ats_score")
 
 
+def skill_dictionary(spark, sf_dir) -> DataFrame:
+    """Terms of one to four words: the first words of each passage, and its last two."""
+    words = F.split(F.trim(text.normalize_terms(F.col("text"))), " ")
+    parts = F.array(*(F.array_join(F.slice("w", 1, n), " ") for n in (1, 2, 3, 4)), F.array_join(F.slice("w", -2, 2), " "))
+    passages = v.table(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") >= 4)
+    return dictionary.prepare_dictionary(passages.select(F.explode(parts).alias("term")))
+
+
+@query
+def d4_skills_in_text(spark, sf_dir):
+    """Every term in every whole text, with its place."""
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return dictionary.find_terms(docs, skill_dictionary(spark, sf_dir)).select("id", "place", "words", "term")
+
+
+@query
+def d4_coverage_from_text(spark, sf_dir):
+    """Skill coverage where the required skills come out of the job texts."""
+    jds = dictionary.with_required_skills(v.jds(spark, sf_dir), skill_dictionary(spark, sf_dir))
+    return _coverage_columns(matching.ats_coverage(jds, v.skilled_profiles(spark, sf_dir)))
+
+
 @query
 def d4_ats_coverage_weighted(spark, sf_dir):
     return matching.ats_coverage(
