@@ -878,6 +878,26 @@ SELECT CASE WHEN ok THEN 'r' || seq ELSE '' END AS id, user_id, seq, job_url,
   CAST(CASE WHEN ok THEN r % 101 ELSE 0 END AS INTEGER) AS role_level_score,
   CASE WHEN ok THEN 'WEAK' ELSE 'REJECT' END AS verdict, CASE WHEN ok THEN '' ELSE 'failed' END AS reasons
 FROM admitted""", "jds", "profiles", "screenings")
+RUN = """
+entered AS (SELECT j.id, j.user_id, CASE WHEN seq % 19 <> 0 THEN batch_id END AS batch_id, s.created_at, p.tier, p.screens_used_this_month AS used_before,
+    CASE WHEN seq % 19 = 0 THEN 'no batch' WHEN p.id IS NULL THEN 'no profile' WHEN coalesce(p.api_key_encrypted, '') = '' THEN 'no key'
+      WHEN seq % 13 = 0 OR jd_text = '' THEN 'no text' END AS reason
+  FROM jds j JOIN (SELECT id, created_at FROM screenings) s ON s.id = j.id LEFT JOIN profiles p ON p.id = j.user_id),
+gated AS (SELECT *, tier <> 'free' OR row_number() OVER (PARTITION BY user_id, date_trunc('month', created_at) ORDER BY created_at, id)
+    + CASE WHEN date_trunc('month', created_at) = DATE '2024-01-01' THEN coalesce(used_before, 0) ELSE 0 END <= 5 AS admitted
+  FROM entered WHERE reason IS NULL)"""
+oracle("p1_run_results", f"""
+WITH {RUN}
+SELECT id, ats_score, role_level_score, composite_score, verdict FROM native SEMI JOIN (SELECT id FROM gated WHERE admitted) USING (id)""",
+       "native", "jds", "screenings", "profiles")
+oracle("p1_run_refused", f"""
+WITH {RUN}
+SELECT id, user_id, batch_id, reason FROM entered WHERE reason IS NOT NULL
+UNION ALL SELECT id, user_id, batch_id, 'over quota' FROM gated WHERE NOT admitted""", "jds", "screenings", "profiles")
+oracle("p1_run_usage", f"""
+WITH {RUN}
+SELECT user_id, {ts("date_trunc('month', created_at)")} AS period, count(*) AS used
+FROM gated WHERE admitted GROUP BY user_id, date_trunc('month', created_at)""", "jds", "screenings", "profiles")
 oracle("p1_refused_items", """
 SELECT id, user_id, batch_id, reason FROM (
   SELECT j.id, j.user_id, CASE WHEN seq % 19 <> 0 THEN batch_id END AS batch_id, CASE WHEN seq % 19 = 0 THEN 'no batch'

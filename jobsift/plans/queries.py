@@ -990,6 +990,32 @@ def p1_refused_items(spark, sf_dir):
     return matching.refused_items(jds, people)
 
 
+def _run(spark, sf_dir) -> flows.Screening:
+    """A run over all items, some without a batch or a text, behind the counters of the profiles."""
+    n = F.col("seq")
+    jds = v.jds(spark, sf_dir).withColumns({
+        "batch_id": F.when(n % 19 != 0, F.col("batch_id")), "jd_text": F.when(n % 13 != 0, F.col("jd_text")).otherwise(" \n")})
+    people = v.skilled_profiles(spark, sf_dir)
+    used = people.select(
+        F.col("id").alias("user_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("period"), F.col("screens_used_this_month").alias("used"))
+    return flows.run_screening(jds, people, v.KNOWN_LOCATIONS, used_before=used)
+
+
+@query
+def p1_run_results(spark, sf_dir):
+    return _run(spark, sf_dir).results.select("id", "ats_score", "role_level_score", "composite_score", "verdict")
+
+
+@query
+def p1_run_refused(spark, sf_dir):
+    return _run(spark, sf_dir).refused
+
+
+@query
+def p1_run_usage(spark, sf_dir):
+    return _run(spark, sf_dir).usage.select("user_id", ts("period").alias("period"), "used")
+
+
 @query
 def p1_fatal_errors(spark, sf_dir):
     items = matching.classify_outcome(v.outcomes(spark, sf_dir)).withColumn("batch_id", F.col("user_id"))
