@@ -2,8 +2,9 @@
 
 Inputs are result rows: batch_id, user_id, id, job_title, matching_skills and
 missing_skills (arrays).  Each report counts (batch, skill) pairs first, so the
-shuffles carry counts and not rows; lists are cut to their top k.  Several
-reports read their input more than once, so give them a stored table.
+shuffles carry counts and not rows.  Reports are whole and ranked unless a ``k`` is given.
+Several reports read their input more than once, so give them a stored table.  The functions
+that end in ``_of`` start from counts, which may have been added up from parts.
 """
 
 from __future__ import annotations
@@ -15,9 +16,7 @@ from pyspark.sql import functions as F
 
 from jobsift import constants as K
 from jobsift.functions import scores
-from jobsift.skew import spread_join, top_k
-
-
+from jobsift.skew import position_in_group, spread_join, top_k
 
 
 def _skill_rows(df: DataFrame, skills: Column, keys: Sequence[str]) -> DataFrame:
@@ -56,29 +55,45 @@ def min_batch(df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE) -> DataFrame
     return batch_sizes(df).where(F.col("total_jds") >= n)
 
 
-def skill_demand(df: DataFrame, k: int = K.TOP_SKILLS) -> DataFrame:
-    """Per batch the ``k`` skills most JDs ask for, with share and trend.
+def _ranked(counts: DataFrame, item: str, k: int | None) -> DataFrame:
+    """Counts of items per batch with their ``rank``, most JDs first: the first ``k``, or all.
 
-    ``percentage`` is in tenths of a percent rounded half up, divided by ten.
+    A whole list is numbered in stretches of equal counts and first letters, none in one task.
     """
-    best = top_k(
-        skill_counts(df), ["batch_id"], [F.col("jds").desc(), F.col("skill").asc()], k,
-        spread_by=["skill"]).drop("lacking_jds")
+    order = [F.col("jds").desc(), F.col(item).asc()]
+    if k is not None:
+        return top_k(counts, ["batch_id"], order, k, spread_by=[item])
+    buckets = [("_jds", F.col("jds"), False), ("_start", F.substring(item, 1, 2), True)]
+    return position_in_group(counts, ["batch_id"], buckets, order, "rank").withColumn("rank", F.col("rank").cast("int"))
+
+
+def demand_of(counts: DataFrame, sizes: DataFrame, k: int | None = K.TOP_SKILLS) -> DataFrame:
+    """:func:`skill_demand` from skill counts and batch sizes."""
+    best = _ranked(counts.drop("lacking_jds"), "skill", k)
     tenths = F.floor((F.col("jds") * 2000 + F.col("total_jds")) / (F.col("total_jds") * 2))
     return (
-        best.join(batch_sizes(df), "batch_id")
+        best.join(sizes.select("batch_id", "total_jds"), "batch_id")
         .withColumn("percentage", tenths / 10)
         .withColumn("trend", scores.trend(F.col("jds") * 100 / F.col("total_jds")))
     )
 
 
-def top_missing(df: DataFrame, k: int | None = K.TOP_SKILLS) -> DataFrame:
-    """Per batch the ``k`` skills most JDs ask for that the profile lacks; all, unranked, if None."""
-    lacking = _lacking(skill_counts(df))
-    if k is None:
-        return lacking
-    return top_k(
-        lacking, ["batch_id"], [F.col("jds").desc(), F.col("skill").asc()], k, spread_by=["skill"])
+def skill_demand(df: DataFrame, k: int | None = K.TOP_SKILLS) -> DataFrame:
+    """Per batch the ``k`` skills most JDs ask for, with share and trend.
+
+    ``percentage`` is in tenths of a percent rounded half up, divided by ten.
+    """
+    return demand_of(skill_counts(df), batch_sizes(df), k)
+
+
+def missing_of(counts: DataFrame, k: int | None = None) -> DataFrame:
+    """:func:`top_missing` from skill counts."""
+    return _ranked(_lacking(counts), "skill", k)
+
+
+def top_missing(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Per batch the skills that the profile lacks, ranked by how many JDs ask for them: all, or the first ``k``."""
+    return missing_of(skill_counts(df), k)
 
 
 def _lacking(counts: DataFrame) -> DataFrame:
@@ -106,17 +121,21 @@ def title_pattern(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"(?s)\s+[-–—]\s.*", ""))
 
 
-def title_patterns(df: DataFrame, k: int | None = 5) -> DataFrame:
-    """Per batch the ``k`` most common title patterns; all, unranked, if None."""
-    counts = (
+def title_counts(df: DataFrame) -> DataFrame:
+    """Per batch and title pattern the JDs that have it."""
+    return (
         df.select("batch_id", title_pattern(F.col("job_title")).alias("pattern"))
-        .where("pattern <> ''").groupBy("batch_id", "pattern").agg(F.count("*").alias("jds"))
-    )
-    if k is None:
-        return counts
-    return top_k(
-        counts, ["batch_id"], [F.col("jds").desc(), F.col("pattern").asc()], k,
-        spread_by=["pattern"])
+        .where("pattern <> ''").groupBy("batch_id", "pattern").agg(F.count("*").alias("jds")))
+
+
+def titles_of(counts: DataFrame, k: int | None = None) -> DataFrame:
+    """:func:`title_patterns` from title counts."""
+    return _ranked(counts, "pattern", k)
+
+
+def title_patterns(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Per batch the title patterns, ranked by how common they are: all, or the first ``k``."""
+    return titles_of(title_counts(df), k)
 
 
 def red_flag_count(df: DataFrame) -> DataFrame:
@@ -151,33 +170,65 @@ def explode_requirements(df: DataFrame) -> DataFrame:
         "id", "seq", "item.*").withColumn("mark", scores.requirement_mark(F.col("status")))
 
 
-def batch_intelligence(
-    df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE, k: int = K.TOP_SKILLS, titles: int = 5
+def intelligence_of(
+    heads: DataFrame, skills: DataFrame, titles: DataFrame,
+    n: int = K.MIN_BATCH_FOR_INTELLIGENCE, k: int = K.TOP_SKILLS, top_titles: int = 5,
 ) -> DataFrame:
-    """One row per batch of ``n`` rows or more, joining the reports above.
-
-    Every list is a top-k, so no row grows with the batch; ``top_missing`` and
-    ``title_patterns`` with ``k=None`` give these two reports uncut, as rows.  Rows of smaller
-    batches go before anything is exploded.
-    """
-    def ranked(reports: DataFrame, item: Column, name: str) -> DataFrame:
+    """:func:`batch_intelligence` from counts: ``heads(batch_id, total_jds, red_flags_count)``,
+    skill counts and title counts."""
+    def listed(reports: DataFrame, item: Column, name: str) -> DataFrame:
         return reports.groupBy("batch_id").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))),
             lambda x: x["item"]).alias(name))
 
     demand = F.struct("skill", F.col("jds").alias("count"), "percentage", "trend")
-    heads = df.groupBy("batch_id").agg(
-        F.count("*").alias("total_jds"),
-        F.count_if(scores.inflated_manager(F.col("fake_em_detection"))).alias("red_flags_count"),
-    ).where(F.col("total_jds") >= n)
-    df = spread_join(df, heads.select("batch_id"), ["batch_id"], "left_semi", spread_by=["id"])
+    heads = heads.where(F.col("total_jds") >= n)
     return (
         heads
-        .join(ranked(skill_demand(df, k), demand, "top_required_skills"), "batch_id", "left")
-        .join(ranked(top_missing(df, k), F.col("skill"), "top_missing_from_profile"), "batch_id", "left")
-        .join(ranked(title_patterns(df, titles), F.col("pattern"), "title_patterns"), "batch_id", "left")
+        .join(listed(demand_of(skills, heads, k), demand, "top_required_skills"), "batch_id", "left")
+        .join(listed(missing_of(skills, k), F.col("skill"), "top_missing_from_profile"), "batch_id", "left")
+        .join(listed(titles_of(titles, top_titles), F.col("pattern"), "title_patterns"), "batch_id", "left")
         .withColumns({
             "top_missing_from_profile": F.coalesce("top_missing_from_profile", _no_strings()),
             "title_patterns": F.coalesce("title_patterns", _no_strings()),
         })
     )
+
+
+def batch_heads(df: DataFrame) -> DataFrame:
+    """Per batch its rows and how many of them have an inflated manager title."""
+    return df.groupBy("batch_id").agg(
+        F.count("*").alias("total_jds"),
+        F.count_if(scores.inflated_manager(F.col("fake_em_detection"))).alias("red_flags_count"))
+
+
+def _large(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Heads of the batches of ``n`` rows or more, and these batches' rows."""
+    heads = batch_heads(df).where(F.col("total_jds") >= n)
+    return heads, spread_join(df, heads.select("batch_id"), ["batch_id"], "left_semi", spread_by=["id"])
+
+
+def batch_intelligence(
+    df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE, k: int = K.TOP_SKILLS, titles: int = 5
+) -> DataFrame:
+    """One row per batch of ``n`` rows or more, joining the reports above.
+
+    Every list in this nested view is a top-k, so no row grows with the batch;
+    :func:`intelligence_lists` gives the whole lists as rows.  Rows of smaller batches go
+    before anything is exploded.
+    """
+    heads, rows = _large(df, n)
+    return intelligence_of(heads, skill_counts(rows), title_counts(rows), n, k, titles)
+
+
+def intelligence_lists(df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE) -> DataFrame:
+    """``(batch_id, list, rank, item, jds)``: the whole lists of a batch, none cut.
+
+    Lists: ``required``, ``missing`` and ``titles``, for batches of ``n`` rows or more.
+    """
+    _, rows = _large(df, n)
+    counts, titles = skill_counts(rows), title_counts(rows)
+    lists = {"required": (_ranked(counts.drop("lacking_jds"), "skill", None), "skill"), "missing": (missing_of(counts), "skill"),
+             "titles": (titles_of(titles), "pattern")}
+    out = [reports.select("batch_id", F.lit(name).alias("list"), "rank", F.col(item).alias("item"), "jds") for name, (reports, item) in lists.items()]
+    return out[0].union(out[1]).union(out[2])

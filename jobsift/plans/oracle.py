@@ -696,13 +696,18 @@ SELECT user_id, count(*) FILTER (shown) AS filtered_rows, count(*) AS total_rows
 FROM (SELECT *, verdict = 'WEAK' AND (lower(company) LIKE '%src1%' OR lower(job_title) LIKE '%src1%') AS shown FROM screenings)
 GROUP BY user_id""", "screenings")
 oracle("f5_skill_demand", "SELECT batch_id, skill, jds, rank, total_jds, percentage, trend FROM demand", "demand")
-oracle("f6_top_missing", "SELECT batch_id, skill, jds, rank FROM missing_top", "missing_top")
+oracle("f6_top_missing_cut", "SELECT batch_id, skill, jds, rank FROM missing_top", "missing_top")
+oracle("f6_top_missing", """
+SELECT batch_id, skill, count(DISTINCT id) AS jds,
+  CAST(row_number() OVER (PARTITION BY batch_id ORDER BY count(DISTINCT id) DESC, skill) AS INTEGER) AS rank
+FROM matched WHERE NOT hit GROUP BY batch_id, skill""", "matched")
 oracle("f7_batch_matching_skills", "SELECT DISTINCT batch_id, skill FROM matched WHERE hit", "matched")
 TITLES = """
 SELECT {key} AS batch_id, lower(job_title) AS pattern, count(*) AS jds,
   CAST(row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, lower(job_title)) AS INTEGER) AS rank
 FROM screenings GROUP BY 1, 2 QUALIFY rank <= 5"""
-oracle("f8_title_patterns", TITLES.format(key="user_id"), "screenings")
+oracle("f8_title_patterns_cut", TITLES.format(key="user_id"), "screenings")
+oracle("f8_title_patterns", TITLES.format(key="user_id").replace(" QUALIFY rank <= 5", ""), "screenings")
 oracle("f9_red_flag_count", """
 SELECT batch_id, count(*) FILTER (flagged) AS red_flags_count FROM detections GROUP BY batch_id""", "detections")
 oracle("f10_min_batch", """
@@ -734,6 +739,13 @@ FROM (SELECT batch_id, count(*) AS total_jds, count(*) FILTER (flagged) AS red_f
       FROM detections GROUP BY batch_id HAVING count(*) >= 3)
 LEFT JOIN d USING (batch_id) LEFT JOIN m USING (batch_id) LEFT JOIN t USING (batch_id)""",
        "demand", "missing_top", "detections")
+oracle("f14_intelligence_lists", """
+WITH large AS (SELECT batch_id FROM screenings GROUP BY batch_id HAVING count(*) >= 3),
+items AS (SELECT batch_id, 'required' AS list, skill AS item, count(DISTINCT id) AS jds FROM matched GROUP BY batch_id, skill
+  UNION ALL SELECT batch_id, 'missing', skill, count(DISTINCT id) FROM matched WHERE NOT hit GROUP BY batch_id, skill
+  UNION ALL SELECT batch_id, 'titles', lower(job_title), count(*) FROM screenings GROUP BY batch_id, lower(job_title))
+SELECT batch_id, list, CAST(row_number() OVER (PARTITION BY batch_id, list ORDER BY jds DESC, item) AS INTEGER) AS rank, item, jds
+FROM items SEMI JOIN large USING (batch_id)""", "matched", "screenings")
 oracle("f15_report_summary", f"""
 SELECT batch_id AS slug, strong, decent, weak, reject, strong + decent + weak AS worth_a_look,
   strong + decent + weak + reject AS roles, CASE WHEN reject > 0 THEN {saved("reject")}
@@ -836,6 +848,15 @@ oracle("j6_reset_usage", "SELECT id, CAST(0 AS INTEGER) AS screens_used_this_mon
 # --- streams ----------------------------------------------------------------------------------
 
 oracle("k1_stream_screen", "SELECT * FROM native", "native")
+oracle("k1_stream_admission", """
+WITH gated AS (SELECT j.id, tier <> 'free' OR row_number() OVER (PARTITION BY j.user_id, date_trunc('month', s.created_at) ORDER BY s.created_at, j.id) <= 5 AS admitted
+  FROM jds j JOIN (SELECT id, created_at FROM screenings) s ON s.id = j.id JOIN profiles p ON p.id = j.user_id
+  WHERE coalesce(p.api_key_encrypted, '') <> '' AND jd_text <> '')
+SELECT id, ats_score, role_level_score, composite_score, verdict FROM native SEMI JOIN (SELECT id FROM gated WHERE admitted) USING (id)""",
+       "native", "jds", "screenings", "profiles")
+oracle("k3_stream_daily_usage", f"""
+SELECT user_id, {ts("date_trunc('month', ts)")} AS period, count(*) AS used
+FROM usage_items WHERE success GROUP BY user_id, date_trunc('month', ts)""", "usage_items")
 oracle("k2_stream_tiers", TIERS, "profiles", "payments")
 oracle("k3_stream_usage", f"""
 SELECT user_id, {ts("date_trunc('month', ts)")} AS period, count(*) AS used
@@ -853,6 +874,12 @@ JOIN ({ORACLE["k4_stream_finalize"]}) k USING (batch_id)""")
 
 # --- pluggable scorer and whole flows ------------------------------------------------------------
 
+oracle("k4_incremental_intelligence", f"""
+SELECT f.batch_id, total_jds, red_flags_count, missing FROM ({ORACLE["f14_batch_intelligence"]}) f
+JOIN ({ORACLE["k4_stream_finalize"]}) k USING (batch_id)""")
+
+# --- pluggable scorer and whole flows ------------------------------------------------------------
+
 oracle("l1_score_with", f"""
 WITH resumes AS ({ORACLE["d1_effective_resume"]}),
 answers AS (SELECT j.id, batch_id, seq, CAST(CASE WHEN length(resume) > 2000 THEN 500 ELSE 200 END AS INTEGER) AS status,

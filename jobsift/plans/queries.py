@@ -728,6 +728,24 @@ def f14_batch_intelligence(spark, sf_dir):
         joined("top_missing_from_profile").alias("missing"), joined("title_patterns").alias("titles"))
 
 
+@query
+def f14_intelligence_lists(spark, sf_dir):
+    """The lists of a batch whole, as rows."""
+    rows = covered(spark, sf_dir).withColumn("fake_em_detection", _detection()).withColumn("job_title", _dashed())
+    return insight.intelligence_lists(rows)
+
+
+@query
+def f6_top_missing_cut(spark, sf_dir):
+    return insight.top_missing(covered(spark, sf_dir), k=K.TOP_SKILLS)
+
+
+@query
+def f8_title_patterns_cut(spark, sf_dir):
+    rows = v.screenings(spark, sf_dir).withColumn("job_title", _dashed()).withColumn("batch_id", F.col("user_id"))
+    return insight.title_patterns(rows, k=5)
+
+
 @query
 def f15_report_summary(spark, sf_dir):
     _, frozen, _ = _publish(spark, sf_dir)
@@ -894,6 +912,44 @@ def k3_stream_usage(spark, sf_dir):
         "user_id", ts("period").alias("period"), "used")
 
 
+@query
+def k1_stream_admission(spark, sf_dir):
+    """JDs that arrive in three runs, in order of time: together they admit what one run would."""
+    arriving, out, state, stored = (work_dir(spark, n) for n in ("jds", "screened", "state", "profiles"))
+    rows = v.jds(spark, sf_dir).withColumn("created_at", F.col("created_at").cast(T.TimestampType()))
+    matching.prepare_profiles(v.skilled_profiles(spark, sf_dir), "tier", "api_key_encrypted").write.parquet(stored)
+    day = F.dayofmonth("created_at")
+    for part in (day <= 8, (day > 8) & (day <= 20), day > 20):
+        rows.where(part).write.mode("append").parquet(arriving)
+        stream = streams.read_stream(spark, rows.schema, arriving)
+        streams.stream_admitted(stream, spark.read.parquet(stored), v.KNOWN_LOCATIONS, out, state).awaitTermination()
+    return spark.read.parquet(out).select("id", "ats_score", "role_level_score", "composite_score", "verdict")
+
+
+@query
+def k3_stream_daily_usage(spark, sf_dir):
+    arriving, out, state = (work_dir(spark, n) for n in ("usage", "used", "state"))
+    rows = v.usage_items(spark, sf_dir).withColumn("ts", F.col("ts").cast(T.TimestampType()))
+    rows.write.parquet(arriving)
+    stream = streams.read_stream(spark, rows.schema, arriving)
+    streams.update_to(streams.stream_daily_usage(stream, "40 days"), out, state).awaitTermination()
+    return streams.usage_of_days(spark, out).select("user_id", ts("period").alias("period"), "used")
+
+
+@query
+def k4_incremental_intelligence(spark, sf_dir):
+    """Intelligence of closed batches out of the counts that triggers wrote."""
+    arriving, out, state, final = (work_dir(spark, n) for n in ("results", "parts", "state", "final"))
+    times = v.screenings(spark, sf_dir).select("id", F.col("created_at").cast(T.TimestampType()).alias("created_at"))
+    rows = covered(spark, sf_dir).withColumn("fake_em_detection", _detection()).withColumn("job_title", _dashed()).join(times, "id")
+    rows.repartition(8).write.parquet(arriving)
+    stored = spark.read.parquet(arriving)
+    streams.stream_parts(streams.read_stream(spark, stored.schema, arriving, max_files=3), out, state).awaitTermination()
+    newest = stored.agg(F.max("created_at")).first()[0]
+    done = streams.finalize_closed(spark, out, final, 1, F.lit(newest), "2 hours")
+    return done.select("batch_id", "total_jds", "red_flags_count", joined("top_missing_from_profile").alias("missing"))
+
+
 def _closed(spark, sf_dir) -> DataFrame:
     """Batches that are closed when the last row has come, from files in no order of time."""
     arriving, out, state = (work_dir(spark, n) for n in ("results", "closed", "state"))
