@@ -3,7 +3,7 @@
 1.  Every task counts the terms of its own documents by language and source and writes each
     count with a digest of 8 bytes; a term's text is written once, beside its first count.
     Digests, never terms, are then shuffled and their counts summed.
-2.  Digests in too few documents of a language go.  The written texts of those that are left
+2.  Digests in too few documents of a language go before counts by source are shuffled.  The written texts of those that are left
     are read: the least and the greatest term of each.  Where they are unlike, several terms
     share the digest, and a second reading of the documents counts these few by their text and
     gives each a number of its own.
@@ -42,7 +42,7 @@ TOP_TERMS = 50
 #: Kept digests up to which they are broadcast (8 bytes each) to the written texts.
 BROADCAST_DIGESTS = 500_000
 #: Counts that a task holds before it writes them, and bytes of a text that are split at once.
-HELD_COUNTS = 400_000
+HELD_COUNTS = 1_000_000
 SLICE = 1 << 20
 #: Terms of a bucket and sources of a block, about.
 BUCKET_TERMS = 1024
@@ -117,15 +117,15 @@ def _summed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy("lang", "source", *keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def _with_digests(rows: DataFrame, digests: DataFrame) -> DataFrame:
-    """The rows whose ``digest`` is listed; the list is sent only if it is short."""
-    short = digests.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    return rows.join(F.broadcast(digests) if short else digests, "digest", "left_semi")
+def _listed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose columns are listed in ``keys``; the list is sent only if it is short."""
+    short = keys.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    return rows.join(F.broadcast(keys) if short else keys, keys.columns, "left_semi")
 
 
 def _split(docs: DataFrame, shared: DataFrame, digest: Callable[[bytes], int], least: int) -> tuple[DataFrame, DataFrame]:
     """Counts and texts of the terms that share a digest, told apart by ``slot``, from 1."""
-    counted = materialize(_summed(_with_digests(_read(docs, digest, True), shared), "digest", "term"), "shared-counts")
+    counted = materialize(_summed(_listed(_read(docs, digest, True), shared), "digest", "term"), "shared-counts")
     often = counted.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
     texts = materialize(often.select("digest", "term").distinct().withColumn(
         "slot", F.row_number().over(Window.partitionBy("digest").orderBy("term"))), "shared-texts")
@@ -137,17 +137,19 @@ def _kept_counts(docs: DataFrame, digest: Callable[[bytes], int], least: int) ->
     """``(lang, source, digest, slot, n)`` of kept terms and their ``(digest, slot, term)``."""
     with recorded() as working:
         written = materialize(_read(docs, digest, False), "read")
-    counted = materialize(_summed(written, "digest"), "counts")
-    kept = counted.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "digest")
-    kept = materialize(kept, "kept")
-    texts = _with_digests(written.where("term IS NOT NULL").select("digest", "term"), kept.select("digest").distinct())
+    often = written.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+    kept = materialize(often.select("lang", "digest"), "kept")
+    # Only counts of kept terms are shuffled by source.
+    counted = materialize(_listed(written.select("lang", "source", "digest", "n"), kept).groupBy("lang", "source", "digest").agg(
+        F.sum("n").alias("n")), "counts")
+    texts = _listed(written.where("term IS NOT NULL").select("digest", "term"), kept.select("digest").distinct())
     texts = materialize(texts.groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("greatest")), "texts")
     remove_tables(docs.sparkSession, working)
     unique = texts.where("least = greatest").select("digest", F.lit(0).alias("slot"), F.col("least").alias("term"))
     shared = texts.where("least <> greatest").select("digest")
-    counts = counted.join(kept, ["lang", "digest"], "left_semi").select("lang", "source", "digest", F.lit(0).alias("slot"), "n")
+    counts = counted.select("lang", "source", "digest", F.lit(0).alias("slot"), "n")
     if shared.isEmpty():
-        return materialize(counts, "kept-counts"), unique
+        return counts, unique
     split, split_texts = _split(docs, shared, digest, least)
     counts = counts.join(shared, "digest", "left_anti").select(*counts.columns).union(split)
     return materialize(counts, "kept-counts"), unique.union(split_texts)
