@@ -26,12 +26,13 @@ _SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
 base AS ({_found(0, _ASSIGN, 2, 8)} UNION ALL {_found(1, 'AKIA[A-Z0-9]+', 0, 16)} UNION ALL {_found(2, '[0-9a-f]+', 0, 32)}),
 weak AS (SELECT * FROM ({_found(3, '[A-Za-z0-9+/_=-]{20,}', 0, 20)}) w
-         WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+         WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND length(v) <= 200
+           AND 10 * len(regexp_extract_all(v, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) >= 3 * length(v) AND list_aggregate(string_split(v, ''), 'entropy') >= 3.0
            AND NOT EXISTS (SELECT 1 FROM base WHERE base.row = w.row AND base.b < w.e AND w.b < base.e)),
-cand AS (SELECT c.*, d.source, d.doc_id FROM (SELECT * FROM base UNION ALL SELECT * FROM weak) c JOIN d USING (row)),
-freq AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM cand GROUP BY v),
-kept AS (SELECT row, kind, b, e, owners <= 1 AS live, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || b || ':' || e AS w
-         FROM cand JOIN freq USING (v) WHERE kind < 3 OR owners <= 1),
+cand AS (SELECT c.*, d.source, d.t FROM (SELECT * FROM base UNION ALL SELECT * FROM weak) c JOIN d USING (row)),
+freq AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT t) AS copies FROM cand GROUP BY v),
+kept AS (SELECT row, kind, b, e, owners <= 1 AND copies <= 10 AS live, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || b || ':' || e AS w
+         FROM cand JOIN freq USING (v)),
 g AS (SELECT row, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
              count(*) FILTER (kind = 3) AS n3, count(*) FILTER (live) AS l, count(*) FILTER (NOT live) AS s,
              string_agg(w, ',' ORDER BY b, kind) FILTER (kind < 3) AS ws, string_agg(w, ',' ORDER BY b, kind) AS wa FROM kept GROUP BY row)

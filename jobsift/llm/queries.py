@@ -26,7 +26,9 @@ def pii_key(spark: SparkSession) -> str:
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    # A repository is a text: copies of it are one.
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = secret_scan.scan_secrets(docs, repository_col="repository")
     return found.select(
         F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
         F.sha2(secret_scan.written(secret_scan.base_only(F.col("spans"))), 256).alias("base_sha256"),

@@ -1,11 +1,12 @@
 """Secrets in texts, told apart by how many repositories and owners share them.
 
 Every text gives base spans (assignments, access keys, long hex strings) and weak candidates:
-opaque strings of letters and digits outside the base spans.  The values of all of them are
-hashed and counted over the whole corpus by distinct repositories and owners.  A value that
-several owners have was copied from somewhere, such as an example key in documentation; a
-value of one owner only looks like a live credential.  Weak candidates become spans when they
-look live.  Base spans always stay; they are only marked.
+opaque strings outside the base spans, whose characters look drawn at random: they are of
+three classes, change between them often and have a high entropy, unlike words that slashes
+or hyphens join.  The values of all of them are hashed and counted over the whole corpus by
+distinct repositories and owners.  A value that several owners or very many repositories have
+was copied from somewhere, such as an example key in documentation; one that belongs to one
+owner and few repositories looks like a live credential.  All spans stay and are marked so.
 
 Only built-in functions are used.
 """
@@ -27,9 +28,16 @@ ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
+CLASSES = r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 LEAST_VALUE = 8
-#: Values that are called live belong to this many owners at most.
+#: An opaque string has so many characters at most (longer ones are encoded data), so many tenths
+#: as many runs of a class as characters (a capital belongs to the letters behind it), and so many bits of entropy a character at least.
+MOST_OPAQUE = 200
+LEAST_TENTHS = 3
+LEAST_ENTROPY = 3.0
+#: Values that are called live belong to this many owners and repositories at most.
 LIVE_OWNERS = 1
+LIVE_REPOSITORIES = 10
 
 
 def _rows(text: Column, kind: str, pattern: str, group: int, likely: Column) -> Column:
@@ -55,24 +63,39 @@ def base_spans(text: Column) -> Column:
         _rows(text, "hex", HEX, 0, F.regexp_like(text, F.lit(HEX))))
 
 
+def entropy(value: Column) -> Column:
+    """Shannon entropy of the characters, in bits; 0 for the empty string."""
+    n = F.length(value)
+    signs = F.filter(F.split(value, ""), lambda c: c != "")
+    counts = F.transform(F.array_distinct(signs), lambda c: n - F.length(F.replace(value, c, F.lit(""))))
+    bits = F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * F.log2(k.cast("double")))
+    return F.when(n > 0, F.log2(n.cast("double")) - bits / n).otherwise(0.0)
+
+
+def _random_looking(value: Column) -> Column:
+    mixed = F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[a-z]")) & F.regexp_like(value, F.lit("[A-Z]"))
+    changes = F.regexp_count(value, F.lit(CLASSES)) * 10 >= F.length(value) * LEAST_TENTHS
+    return mixed & (F.length(value) <= MOST_OPAQUE) & changes & F.when(mixed & changes, entropy(value) >= LEAST_ENTROPY).otherwise(False)
+
+
 def _opaque_spans(text: Column, base: Column) -> Column:
-    """Long strings with a digit, an upper and a lower case letter, outside the base spans."""
+    """Random-looking strings outside the base spans."""
     found = _rows(text, "opaque", OPAQUE, 0, F.regexp_like(text, F.lit(r"[0-9]")) & F.regexp_like(text, F.lit(OPAQUE)))
-    return F.filter(found, lambda x: (
-        F.regexp_like(x["value"], F.lit("[0-9]")) & F.regexp_like(x["value"], F.lit("[a-z]"))
-        & F.regexp_like(x["value"], F.lit("[A-Z]"))
-        & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    return F.filter(found, lambda x: _random_looking(x["value"]) & ~F.exists(
+        base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
 
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner_col: str = "source", repository_col: str = "doc_id", live_owners: int = LIVE_OWNERS,
+    live_repositories: int = LIVE_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of ``docs``: ``(id, spans, n_assign, n_access, n_hex, n_opaque, n_live, n_shared)``.
 
     ``spans`` is ``array<struct<start, kind, end, value_hash, n_owners, n_repositories, live>>``
     in the order of start, then kind (a number in ``KINDS``); places count code points and
-    ends are exclusive.  ``live`` says that at most ``live_owners`` owners have the value.
+    ends are exclusive.  ``live`` says that at most ``live_owners`` owners and
+    ``live_repositories`` repositories have the value; spans that are not live are shared.
     Null texts count as empty.  A null owner or repository counts as one of its own.
     Rows that repeat an id are scanned each for itself.  Other columns are not read.
     """
@@ -95,11 +118,8 @@ def scan_secrets(
     marked = values.join(shared, values["s.value_hash"] == shared["value_hash"]).select(
         "row", F.struct(
             "s.start", "s.kind", "s.end", "s.value_hash", "n_owners", "n_repositories",
-            (F.col("n_owners") <= live_owners).alias("live")).alias("s"))
-    weak = KINDS.index("opaque")
-    spans = (
-        marked.where((F.col("s.kind") != weak) | F.col("s.live"))
-        .groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans")))
+            ((F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories)).alias("live")).alias("s"))
+    spans = marked.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     of_kind = lambda n: F.size(F.filter("spans", lambda x: x["kind"] == n)).cast("long")
     out = found.select("row", "id").join(spans, "row", "left").withColumn(
         "spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))

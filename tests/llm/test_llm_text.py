@@ -130,13 +130,27 @@ def test_secrets(spark):
     assert by_id[2] == by_id[3] == [("", 0, 0, 0, 0, 0, 0)]
     assert by_id[4] == [("assign:0:19", 1, 0, 0, 0, 0, 1)]
     assert by_id[8][0][0] == "hex:0:36,access:46:62"
-    # The longer string has two owners (a and none), the other only one.
-    assert by_id[5] == [("opaque:23:44", 0, 0, 0, 1, 1, 0)] * 2
+    # The longer string has two owners (a and none) and is shared, the other only one.
+    assert by_id[5] == [("opaque:0:22,opaque:23:44", 0, 0, 0, 2, 1, 1)] * 2
     assert by_id[7][0][1:] == (1500, 0, 0, 0, 1500, 0)
     assert by_id[7][0][0].split(",")[1499] == f"assign:{1499 * 15}:{1499 * 15 + 14}"
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def test_words_are_no_credentials_and_many_copies_are_examples(spark):
+    plain = ["https://example.com/Articles/2024/How-to-write-Better-Code-in-10-Steps/", "/usr/local/lib/Python3/site-packages/numpy", "Chapter-1_The-Long-Way-Home_Part-2",
+             "aaaaaaaaaaaaaaaaaaaaaaaaaaB1", "Zx9Qw8Er7Ty6Ui5Op4As3" * 10]
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEK3Y", "Zx9Qw8Er7Ty6Ui5Op4As3", "8kQz-3Fh_Lm2Xw9Rt5Yb7"]
+    rows = [(i, t, "a") for i, t in enumerate(plain)] + [(10 + i, t, "a") for i, t in enumerate(keys)]
+    got = {r.id: (r.n_opaque, r.n_live) for r in secret_scan.scan_secrets(frame(spark, rows)).collect()}
+    assert all(got[i] == (0, 0) for i in range(len(plain))) and all(got[10 + i] == (1, 1) for i in range(len(keys)))
+    # In eleven texts of one owner, or once with another: an example.
+    shared = [(i, f"{i} {keys[0]}", "a") for i in range(11)] + [(20, keys[1], "a"), (21, keys[1], "b"), (22, keys[2], "a")]
+    got = {r.id: r for r in secret_scan.scan_secrets(frame(spark, shared)).collect()}
+    assert all(got[i].n_live == 0 and got[i].n_shared == 1 and not got[i].spans[0].live for i in (*range(11), 20, 21)) and got[22].n_live == 1
+    assert (got[0].spans[0].n_owners, got[0].spans[0].n_repositories) == (1, 11) and got[20].spans[0].n_owners == 2
+
+
 # ---- pseudonyms
 
 KEY = "k"
