@@ -275,4 +275,4 @@ def report_summary(frozen: DataFrame) -> DataFrame:
     counts = verdict_counts(frozen, ("slug",), more=[F.count("*").alias("roles")])
     return counts.withColumn("headline", F.when(F.col("reject") > 0, time_saved(F.col("reject"))).otherwise(
         F.format_string(
-            "All %d jobs cleared the dealbreaker filters — none were obvious time-wasters.", "roles")))
+            "None of the %d jobs broke a rule.", "roles")))

@@ -564,21 +564,21 @@ SELECT id, ats_score, CASE WHEN ats_score >= 70 THEN 'green' WHEN ats_score >= 5
 FROM screenings""", "screenings")
 oracle("d9_why_verdict", """
 SELECT id, CASE verdict
-  WHEN 'STRONG' THEN 'STRONG because both ATS match (' || a || ') and role-level fit (' || r || ') clear the threshold.'
-  WHEN 'DECENT' THEN CASE WHEN a < r THEN 'DECENT because role-fit is solid (' || r || ') but ' || CASE
-      WHEN seq % 4 = 0 THEN 'ATS match is moderate at ' || a
-      ELSE 'you''re missing ' || seq % 4 || ' required skill' || CASE WHEN seq % 4 <> 1 THEN 's' ELSE '' END
-           || ', pulling ATS down to ' || a END || '.'
-    ELSE 'DECENT because keyword match is reasonable (' || a || ') but role-level fit (' || r || ') shows some mismatch.' END
+  WHEN 'STRONG' THEN 'STRONG: skills (' || a || ') and level (' || r || ') are both where they should be.'
+  WHEN 'DECENT' THEN CASE WHEN a < r THEN 'DECENT: the level suits well (' || r || '), yet ' || CASE
+      WHEN seq % 4 = 0 THEN 'the ATS score of ' || a || ' is middling'
+      ELSE seq % 4 || ' required skill' || CASE WHEN seq % 4 <> 1 THEN 's' ELSE '' END
+           || ' absent, ATS only ' || a END || '.'
+    ELSE 'DECENT: the skills mostly match (' || a || '), the level (' || r || ') only in part.' END
   WHEN 'WEAK' THEN CASE
-    WHEN a < 50 AND r < 50 THEN 'WEAK because both ATS match (' || a || ') and role-level fit (' || r || ') are below threshold.'
-    WHEN a < r THEN 'WEAK because ATS match (' || a || ') is significantly below threshold despite reasonable role-fit (' || r || ').'
-    ELSE 'WEAK because role-level fit (' || r || ') indicates significant mismatch.' END
-  ELSE 'REJECT triggered before scoring — ' || CASE WHEN seq % 21 <> 0 AND len(hard_reject_reasons) > 0
-    THEN 'failed hard-reject rule: ' || hard_reject_reasons[1] ELSE 'failed your hard-reject filters' END || '.' END AS why
+    WHEN a < 50 AND r < 50 THEN 'WEAK: neither the skills (' || a || ') nor the level (' || r || ') reach what is needed.'
+    WHEN a < r THEN 'WEAK: too few of the skills match (' || a || '), although the level may do (' || r || ').'
+    ELSE 'WEAK: the level is far off (' || r || ').' END
+  ELSE 'REJECT without a score: ' || CASE WHEN seq % 21 <> 0 AND len(hard_reject_reasons) > 0
+    THEN 'it breaks the rule ' || hard_reject_reasons[1] ELSE 'it breaks one of your rules' END || '.' END AS why
 FROM (SELECT *, ats_score AS a, role_level_score AS r FROM screenings)""", "screenings")
 oracle("d10_reason_line", f"""
-SELECT id, CASE WHEN verdict = 'REJECT' THEN coalesce(hard_reject_reasons[1], 'Hard-reject rule triggered')
+SELECT id, CASE WHEN verdict = 'REJECT' THEN coalesce(hard_reject_reasons[1], 'Breaks a rule')
   WHEN long_text IS NULL THEN '' WHEN length(long_text) > 90 THEN substring(long_text, 1, 90) || '…' ELSE long_text END AS reason
 FROM (SELECT id, verdict, hard_reject_reasons, coalesce(nullif(headline, ''),
         regexp_replace(nullif(recommendation, ''), '^(?i:APPLY IF|APPLY|SKIP){K.WS}*', '')) AS long_text FROM screenings)""",
@@ -605,9 +605,9 @@ WITH filled AS (SELECT id, len(liked) > 0 OR len(industries) > 0 OR min_size IS
 scored AS (SELECT *, CAST(CASE WHEN p THEN 40 ELSE 0 END + CASE WHEN f THEN 30 ELSE 0 END
     + CASE WHEN k THEN 30 ELSE 0 END AS INTEGER) AS score FROM filled)
 SELECT id, score, CASE WHEN score >= 80 THEN 'green' WHEN score >= 50 THEN 'amber' ELSE 'red' END AS band,
-  CASE WHEN NOT p THEN 'Set your preferences or upload a resume to improve scoring'
-    WHEN NOT f THEN 'Set your hard-reject rules to filter bad fits'
-    WHEN NOT k THEN 'Add your API key to unlock AI screening' END AS next_action
+  CASE WHEN NOT p THEN 'Fill in what you look for, or add a resume'
+    WHEN NOT f THEN 'Write down what rules a job out'
+    WHEN NOT k THEN 'Store an API key so that jobs can be screened' END AS next_action
 FROM scored""", "profiles")
 oracle("d16_onboarding_flags", """
 SELECT id, coalesce(resume_text, '') = '' AND coalesce(api_key_encrypted, '') = '' AND len(liked) = 0
@@ -749,7 +749,7 @@ FROM items SEMI JOIN large USING (batch_id)""", "matched", "screenings")
 oracle("f15_report_summary", f"""
 SELECT batch_id AS slug, strong, decent, weak, reject, strong + decent + weak AS worth_a_look,
   strong + decent + weak + reject AS roles, CASE WHEN reject > 0 THEN {saved("reject")}
-  ELSE 'All ' || (strong + decent + weak) || ' jobs cleared the dealbreaker filters — none were obvious time-wasters.' END AS headline
+  ELSE 'None of the ' || (strong + decent + weak) || ' jobs broke a rule.' END AS headline
 FROM (SELECT batch_id, count(*) FILTER (verdict = 'STRONG') AS strong, count(*) FILTER (verdict = 'DECENT') AS decent,
         count(*) FILTER (verdict = 'WEAK') AS weak, count(*) FILTER (verdict = 'REJECT') AS reject
       FROM screenings GROUP BY batch_id)""", "screenings")

@@ -108,16 +108,16 @@ def test_why_verdict(spark):
         spark, rows, "v string, a int, r int, m array<string>, h array<string>",
         scores.why_verdict(*map(F.col, "varmh")))]
     assert got == [
-        "STRONG because both ATS match (82) and role-level fit (88) clear the threshold.",
-        "DECENT because role-fit is solid (79) but you're missing 1 required skill, pulling ATS down to 71.",
-        "DECENT because role-fit is solid (80) but you're missing 2 required skills, pulling ATS down to 65.",
-        "DECENT because role-fit is solid (80) but ATS match is moderate at 65.",
-        "DECENT because keyword match is reasonable (80) but role-level fit (65) shows some mismatch.",
-        "WEAK because ATS match (44) is significantly below threshold despite reasonable role-fit (58).",
-        "WEAK because both ATS match (44) and role-level fit (44) are below threshold.",
-        "WEAK because role-level fit (50) indicates significant mismatch.",
-        "REJECT triggered before scoring — failed hard-reject rule: too far.",
-        "REJECT triggered before scoring — failed your hard-reject filters.",
+        "STRONG: skills (82) and level (88) are both where they should be.",
+        "DECENT: the level suits well (79), yet 1 required skill absent, ATS only 71.",
+        "DECENT: the level suits well (80), yet 2 required skills absent, ATS only 65.",
+        "DECENT: the level suits well (80), yet the ATS score of 65 is middling.",
+        "DECENT: the skills mostly match (80), the level (65) only in part.",
+        "WEAK: too few of the skills match (44), although the level may do (58).",
+        "WEAK: neither the skills (44) nor the level (44) reach what is needed.",
+        "WEAK: the level is far off (50).",
+        "REJECT without a score: it breaks the rule too far.",
+        "REJECT without a score: it breaks one of your rules.",
         "",
     ]
 
@@ -130,7 +130,7 @@ def test_reason_line(spark):
     ]
     got = [r[0] for r in values(
         spark, rows, "v string, h array<string>, l string, r string", scores.reason_line(*map(F.col, "vhlr")))]
-    assert got == ["r", "Hard-reject rule triggered", "h" * 90 + "…", "h" * 90, "you like", "PER", "", "Maybe"]
+    assert got == ["r", "Breaks a rule", "h" * 90 + "…", "h" * 90, "you like", "PER", "", "Maybe"]
 
 
 def test_small_scores(spark):
