@@ -146,6 +146,8 @@ class PrefixCounter:
         steps = np.diff(counts, prepend=0)
         begins = np.array([0, *ends[:-1]], np.int64)[:len(new)]
         steps[begins] = counts[begins]
+        if len(steps) and abs(steps).max() > 127:
+            raise OverflowError("a step of a prefix table leaves a signed byte")
         flat = steps.astype(np.int8).tobytes()
         found = {p: flat[a:b] for p, a, b in zip(new, [0, *ends], ends)}
         for p in HALVED:
