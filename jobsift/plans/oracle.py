@@ -368,6 +368,14 @@ oracle("a9_export_ranked_csv", """
 SELECT batch_id, coalesce(company, '') AS "Company", job_title AS "Job Title", ats_score::VARCHAR AS "ATS %",
   role_level_score::VARCHAR AS "Role Fit %", composite_score::VARCHAR AS "Composite %", verdict AS "Verdict"
 FROM screenings""", "screenings")
+ORACLE["a8_export_all_crlf"] = ORACLE["a8_export_all_csv"]
+ORACLE["a9_export_ranked_crlf"] = ORACLE["a9_export_ranked_csv"]
+oracle("a7_append_runs", """
+SELECT id, CASE WHEN seq % 3 <> 2 THEN 'a' ELSE 'b' END AS run, '' AS problems FROM screenings
+UNION ALL SELECT id, 'b', 'id is already stored' FROM screenings WHERE seq % 3 = 1""", "screenings")
+oracle("e2_track_runs", """
+SELECT run || seq AS id, user_id, id AS screening_result_id, run
+FROM (SELECT *, CASE WHEN seq % 4 <> 3 THEN 'a' ELSE 'b' END AS run FROM screenings)""", "screenings")
 oracle("a9_ranked_rows", """
 SELECT batch_id, seq, coalesce(company, '') AS "Company", job_title AS "Job Title", ats_score AS "ATS %",
   role_level_score AS "Role Fit %", composite_score AS "Composite %", verdict AS "Verdict"

@@ -192,6 +192,48 @@ def a8_export_all_csv(spark, sf_dir):
                        *[F.coalesce(c, F.lit("")).alias(c) for c in K.EXPORT_COLUMNS])
 
 
+@query
+def a7_append_runs(spark, sf_dir):
+    """Two runs that share half of their rows, each of them tried twice."""
+    path = work_dir(spark, "runs")
+    rows = v.screenings(spark, sf_dir).withColumn("analysis_json", F.lit("{}"))
+    n = F.col("seq")
+    for run, part in (("a", n % 3 != 2), ("b", n % 3 != 0)):
+        for _ in range(2):
+            refused = sinks.append_run(rows.where(part), path, run)
+    kept = sinks.stored_runs(spark, path, schemas.SCREENING).select("id", "run", F.lit("").alias("problems"))
+    return kept.unionByName(refused.select("id", F.lit("b").alias("run"), joined("problems").alias("problems")))
+
+
+@query
+def a8_export_all_crlf(spark, sf_dir):
+    path = work_dir(spark, "export")
+    sinks.export_all_crlf(v.screenings(spark, sf_dir), path)
+    read = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+    return read.select(F.col("Batch").alias("batch_id"), F.col("Place").cast("long").alias("place"),
+                       *[F.coalesce(c, F.lit("")).alias(c) for c in K.EXPORT_COLUMNS])
+
+
+@query
+def a9_export_ranked_crlf(spark, sf_dir):
+    path = work_dir(spark, "ranked")
+    sinks.export_ranked_crlf(v.screenings(spark, sf_dir), path)
+    read = spark.read.options(header=True, escape='"', multiLine=True).csv(f"{path}/rows")
+    return read.select(F.col("Batch").alias("batch_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in K.RANKED_COLUMNS])
+
+
+@query
+def e2_track_runs(spark, sf_dir):
+    """Two runs of requests for the same results, each of them tried twice: every result is tracked once."""
+    path, n = work_dir(spark, "tracker"), F.col("seq")
+    asked = v.screenings(spark, sf_dir).select(
+        "seq", n.alias("request_id"), "user_id", F.col("id").alias("screening_result_id"), "job_title", "company", "job_url")
+    for run, part in (("a", n % 4 != 3), ("b", n % 4 != 0)):
+        for _ in range(2):
+            sinks.track_run(asked.where(part).drop("seq").withColumn("request_id", F.concat(F.lit(run), F.col("request_id").cast("string"))), path, run, now())
+    return sinks.stored_runs(spark, path, schemas.TRACKER).select("id", "user_id", "screening_result_id", "run")
+
+
 @query
 def a9_export_ranked_csv(spark, sf_dir):
     path = work_dir(spark, "ranked")
