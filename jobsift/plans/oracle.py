@@ -485,6 +485,7 @@ WHERE verdict = 'WEAK' AND (lower(company) LIKE '%src1%' OR lower(job_title) LIK
 oracle("c3_live_reports", f"""
 SELECT substr(md5(batch_id), 1, 16) AS slug, {ts("last_at + INTERVAL 30 DAY")} AS expires
 FROM batches WHERE last_at + INTERVAL 30 DAY > TIMESTAMP '{NOW}'""", "batches")
+ORACLE["c3_stored_reports"] = ORACLE["c3_live_reports"]
 oracle("c4_split_results", """
 SELECT seq, id, CASE WHEN id = '' THEN 'error' WHEN verdict = 'REJECT' THEN 'reject' ELSE 'good' END AS part
 FROM errored""", "errored")

@@ -383,6 +383,14 @@ def c3_live_reports(spark, sf_dir):
     return changes.live_reports(v.reports(spark, sf_dir), now()).select("slug", ts("expires_at").alias("expires"))
 
 
+@query
+def c3_stored_reports(spark, sf_dir):
+    """Live reports out of a table written for look-ups by slug."""
+    path = work_dir(spark, "headers")
+    sinks.store_reports(v.reports(spark, sf_dir), path)
+    return changes.live_reports(spark.read.parquet(path), now()).select("slug", ts("expires_at").alias("expires"))
+
+
 @query
 def c4_split_results(spark, sf_dir):
     good, errors, rejects = history.split_results(v.with_error_rows(v.screenings(spark, sf_dir)))
