@@ -153,6 +153,9 @@ def identify(
     source = rows.select(
         F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"), value(declared_col).alias("declared"), value(host_col).alias("host"),
         value(domain_col).alias("domain"), value(suffix_col).alias("suffix"), F.col(text_col).alias("text"))
+    if not keep:
+        # Without other columns a text that is computed would become a part of the scoring call, which Spark then cannot plan.
+        source = source.withColumn("text", F.explode(F.array("text")))
     kept = [F.col(f"kept.`{c}`") for c in keep]
     scored = source.withColumn("score", _scorer(model, temper)(F.col("text"))).drop("text").select("*", "score.*").drop("score")
     if not size:
