@@ -159,22 +159,36 @@ def with_skill_lists(df: DataFrame) -> DataFrame:
     ignored, the job's first spelling is kept, and nulls in either list are left out.
     """
     mine = F.array_compact(F.coalesce("profile_skills", _no_strings()))
-    low, shown, both = F.col("_low"), F.col("_shown"), F.col("_both")
-    # Set operations hash the lower-case lists once and keep their order.  Where a job
-    # spells a skill with capitals, its first spelling is shown instead.
-    first = F.filter(F.col("_wanted"), lambda s, i: F.array_position("_all_low", F.lower(s)) == i + 1)
+    wanted, plain, both = F.col("_wanted"), F.col("_plain"), F.col("_split")
+    # Lists without capitals and twins: set operations hash them once and keep their order.
+    # Else all words are sorted once by their lower-case form, the profile's before the job's,
+    # and each is compared with the one before it: the cost of a text of n words is that of
+    # sorting them, whatever capitals it has.
+    word = "struct<low:string,pos:int,word:string>"
+    asked = F.transform(wanted, lambda s, i: F.struct(F.lower(s).alias("low"), i.alias("pos"), s.alias("word")).cast(word))
+    owned = F.transform(mine, lambda s: F.struct(s.alias("low"), F.lit(-1).alias("pos"), F.lit(None).alias("word")).cast(word))
+    sorted_words = F.when(~plain, F.sort_array(F.concat(asked, owned)))
+
+    def first(now: Column, before: Column) -> Column:
+        new = (now["pos"] >= 0) & (before.isNull() | (before["low"] != now["low"]) | (before["pos"] < 0))
+        hit = F.coalesce(before["low"] == now["low"], F.lit(False))
+        return F.when(new, F.struct(now["pos"].alias("pos"), now["word"].alias("word"), hit.alias("hit")))
+
+    shifted = F.concat(F.array(F.lit(None).cast(word)), F.slice("_sorted", 1, F.greatest(F.size("_sorted") - 1, F.lit(0))))
+    split = F.sort_array(F.array_compact(F.zip_with("_sorted", shifted, first)))
+
+    def words(hit: bool) -> Column:
+        return F.transform(F.filter(both, lambda x: x["hit"] == hit), lambda x: x["word"])
+
     return (
         df.withColumn("_wanted", F.array_compact(F.coalesce("required_skills", _no_strings())))
-        .withColumn("_all_low", F.transform("_wanted", lambda s: F.lower(s)))
-        .withColumn("_low", F.array_distinct("_all_low"))
-        .withColumn("_shown", F.when(F.size("_low") == F.size("_all_low"), F.col("_wanted")).otherwise(first))
-        .withColumn("_both", F.array_intersect(low, mine))
+        .withColumn("_plain", F.array_distinct(F.transform("_wanted", lambda s: F.lower(s))) == wanted)
+        .withColumn("_sorted", sorted_words)
+        .withColumn("_split", split)
         .withColumns({
-            "matching_skills": F.when(shown == low, both).otherwise(
-                F.filter(shown, lambda s: F.array_contains(both, F.lower(s)))),
-            "missing_skills": F.when(shown == low, F.array_except(low, mine)).otherwise(
-                F.filter(shown, lambda s: ~F.array_contains(both, F.lower(s)))),
-        }).drop("_wanted", "_all_low", "_low", "_shown", "_both", "profile_skills"))
+            "matching_skills": F.when(plain, F.array_intersect(wanted, mine)).otherwise(words(True)),
+            "missing_skills": F.when(plain, F.array_except(wanted, mine)).otherwise(words(False)),
+        }).drop("_wanted", "_plain", "_sorted", "_split", "profile_skills"))
 
 
 def ats_coverage(
