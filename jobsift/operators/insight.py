@@ -9,14 +9,14 @@ that end in ``_of`` start from counts, which may have been added up from parts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsift import constants as K
 from jobsift.functions import scores
-from jobsift.skew import position_in_group, spread_join, top_k
+from jobsift.skew import hot_keys, position_in_group, salt_of, spread_join, top_k
 
 
 def _skill_rows(df: DataFrame, skills: Column, keys: Sequence[str]) -> DataFrame:
@@ -28,24 +28,58 @@ def _no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def skill_counts(df: DataFrame, key: str = "batch_id") -> DataFrame:
-    """Per key and skill: the JDs asking for it and the JDs whose owner lacks it.
+#: Rows of a batch (or user) whose skills are still counted and ranked by one task.
+WHOLE_ROWS = 50_000
 
-    Both reports below start from this one aggregate, so Spark shuffles it once
-    when they are joined.
-    """
+
+def _skill_lists(df: DataFrame, key: str) -> DataFrame:
+    """Per row the key, all its skills, the missing ones first, and how many are missing."""
     missing = F.coalesce("missing_skills", _no_strings())
     # The union lists the distinct missing skills first, so the position tells them apart.
     every = F.array_union(missing, F.coalesce("matching_skills", _no_strings()))
+    return df.select(key, F.size(F.array_distinct(missing)).alias("_missing"), every.alias("_every"))
+
+
+def _counted(lists: DataFrame, key: str) -> DataFrame:
     return (
-        # Computed below the explode, else every exploded row would carry the lists.
-        df.select(key, F.size(F.array_distinct(missing)).alias("_missing"), every.alias("_every"))
-        .select(key, "_missing", F.posexplode("_every").alias("_pos", "skill"))
+        # The lists are computed below the explode, else every exploded row would carry them.
+        lists.select(key, "_missing", F.posexplode("_every").alias("_pos", "skill"))
         .groupBy(key, "skill")
         .agg(F.count("*").alias("jds"), F.count_if(F.col("_pos") < F.col("_missing")).alias("lacking_jds"))
     )
 
 
+def _by_size(
+    df: DataFrame, key: str, report: Callable[[DataFrame, bool], DataFrame], kept: DataFrame | None = None
+) -> DataFrame:
+    """``report(skill counts, whole)`` of all keys, or of those in ``kept``.
+
+    The lists of a key with fewer than ``WHOLE_ROWS`` rows are brought together as they are;
+    its skills are then counted, and ranked, where they lie (``whole``), so nothing exploded is
+    shuffled.  Rows of larger keys are counted before their counts meet.
+    """
+    def of(lists: DataFrame, whole: bool) -> DataFrame:
+        together = lists.repartition(key) if whole else lists
+        if kept is not None:
+            together = together.join(kept.select(key), key, "left_semi") if whole else spread_join(
+                together.withColumn("_row", F.monotonically_increasing_id()), kept.select(key), [key], "left_semi", ["_row"]).drop("_row")
+        return report(_counted(together, key), whole)
+
+    lists, hot = _skill_lists(df, key), hot_keys(df, [key], WHOLE_ROWS)
+    if hot.isEmpty():
+        return of(lists, True)
+    # At most (rows / WHOLE_ROWS) keys; rows without a key go with the large ones.
+    marked = lists.join(F.broadcast(hot.select(key, F.lit(True).alias("_large"))), key, "left").withColumn(
+        "_large", F.coalesce("_large", F.col(key).isNull()))
+    small, large = (marked.where(F.col("_large") == x).drop("_large") for x in (False, True))
+    return of(small, True).unionByName(of(large, False))
+
+
+def skill_counts(df: DataFrame, key: str = "batch_id") -> DataFrame:
+    """Per key and skill: the JDs asking for it and the JDs whose owner lacks it."""
+    return _by_size(df, key, lambda counts, whole: counts)
+
+
 def batch_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("batch_id").agg(F.count("*").alias("total_jds"))
 
@@ -55,21 +89,46 @@ def min_batch(df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE) -> DataFrame
     return batch_sizes(df).where(F.col("total_jds") >= n)
 
 
-def _ranked(counts: DataFrame, item: str, k: int | None) -> DataFrame:
+def _ranked(counts: DataFrame, item: str, k: int | None, whole: bool = False) -> DataFrame:
     """Counts of items per batch with their ``rank``, most JDs first: the first ``k``, or all.
 
-    A whole list is numbered in stretches of equal counts and first letters, none in one task.
+    A whole list is numbered in stretches of equal counts and first letters, none in one task;
+    one that a task holds already (``whole``) is numbered there.
     """
     order = [F.col("jds").desc(), F.col(item).asc()]
     if k is not None:
         return top_k(counts, ["batch_id"], order, k, spread_by=[item])
+    if whole:
+        # Rows without a batch have no list, as below.
+        return counts.where("batch_id IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy("batch_id").orderBy(*order)))
     buckets = [("_jds", F.col("jds"), False), ("_start", F.substring(item, 1, 2), True)]
     return position_in_group(counts, ["batch_id"], buckets, order, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
+def _both_ranks(counts: DataFrame, k: int) -> DataFrame:
+    """Skills among the first ``k`` of their batch, by demand (``rank``) or by what is missing (``_lacking_rank``).
+
+    Both are found in one pass over the counts; what a batch's parts keep meets afterwards,
+    2 * ``k`` skills of each part at most.
+    """
+    orders = {"rank": [F.col("jds").desc(), F.col("skill").asc()],
+              # Skills that nobody lacks come behind the last.
+              "_lacking_rank": [F.col("lacking_jds").desc(), F.col("skill").asc()]}
+    out = counts.withColumn("_salt", salt_of(["skill"]))
+    for keys in (["batch_id", "_salt"], ["batch_id"]):
+        by = {name: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) for name, order in orders.items()}
+        out = out.withColumns(by).withColumn("_lacking_rank", F.when(F.col("lacking_jds") > 0, F.col("_lacking_rank"))).where(
+            (F.col("rank") <= k) | (F.col("_lacking_rank") <= k))
+    return out.drop("_salt", "lacking_jds")
+
+
 def demand_of(counts: DataFrame, sizes: DataFrame, k: int | None = K.TOP_SKILLS) -> DataFrame:
     """:func:`skill_demand` from skill counts and batch sizes."""
     best = _ranked(counts.drop("lacking_jds"), "skill", k)
+    return _with_share(best, sizes)
+
+
+def _with_share(best: DataFrame, sizes: DataFrame) -> DataFrame:
     tenths = F.floor((F.col("jds") * 2000 + F.col("total_jds")) / (F.col("total_jds") * 2))
     return (
         best.join(sizes.select("batch_id", "total_jds"), "batch_id")
@@ -86,14 +145,14 @@ def skill_demand(df: DataFrame, k: int | None = K.TOP_SKILLS) -> DataFrame:
     return demand_of(skill_counts(df), batch_sizes(df), k)
 
 
-def missing_of(counts: DataFrame, k: int | None = None) -> DataFrame:
+def missing_of(counts: DataFrame, k: int | None = None, whole: bool = False) -> DataFrame:
     """:func:`top_missing` from skill counts."""
-    return _ranked(_lacking(counts), "skill", k)
+    return _ranked(_lacking(counts), "skill", k, whole)
 
 
 def top_missing(df: DataFrame, k: int | None = None) -> DataFrame:
     """Per batch the skills that the profile lacks, ranked by how many JDs ask for them: all, or the first ``k``."""
-    return missing_of(skill_counts(df), k)
+    return _by_size(df, "batch_id", lambda counts, whole: missing_of(counts, k, whole))
 
 
 def _lacking(counts: DataFrame) -> DataFrame:
@@ -176,18 +235,20 @@ def intelligence_of(
 ) -> DataFrame:
     """:func:`batch_intelligence` from counts: ``heads(batch_id, total_jds, red_flags_count)``,
     skill counts and title counts."""
-    def listed(reports: DataFrame, item: Column, name: str) -> DataFrame:
-        return reports.groupBy("batch_id").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))),
-            lambda x: x["item"]).alias(name))
+    def listed(rank: str, item: Column) -> Column:
+        # Lists of k items.
+        found = F.array_sort(F.collect_list(F.when(F.col(rank) <= k, F.struct(F.col(rank).alias("rank"), item.alias("item")))))
+        return F.transform(found, lambda x: x["item"])
 
-    demand = F.struct("skill", F.col("jds").alias("count"), "percentage", "trend")
     heads = heads.where(F.col("total_jds") >= n)
+    ranked = _with_share(_both_ranks(skills, k), heads)
+    demand = F.struct("skill", F.col("jds").alias("count"), "percentage", "trend")
+    lists = ranked.groupBy("batch_id").agg(
+        listed("rank", demand).alias("top_required_skills"), listed("_lacking_rank", F.col("skill")).alias("top_missing_from_profile"))
+    patterns = titles_of(titles, top_titles).groupBy("batch_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "pattern"))), lambda x: x["pattern"]).alias("title_patterns"))
     return (
-        heads
-        .join(listed(demand_of(skills, heads, k), demand, "top_required_skills"), "batch_id", "left")
-        .join(listed(missing_of(skills, k), F.col("skill"), "top_missing_from_profile"), "batch_id", "left")
-        .join(listed(titles_of(titles, top_titles), F.col("pattern"), "title_patterns"), "batch_id", "left")
+        heads.join(lists, "batch_id", "left").join(patterns, "batch_id", "left")
         .withColumns({
             "top_missing_from_profile": F.coalesce("top_missing_from_profile", _no_strings()),
             "title_patterns": F.coalesce("title_patterns", _no_strings()),
@@ -202,12 +263,6 @@ def batch_heads(df: DataFrame) -> DataFrame:
         F.count_if(scores.inflated_manager(F.col("fake_em_detection"))).alias("red_flags_count"))
 
 
-def _large(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Heads of the batches of ``n`` rows or more, and these batches' rows."""
-    heads = batch_heads(df).where(F.col("total_jds") >= n)
-    return heads, spread_join(df, heads.select("batch_id"), ["batch_id"], "left_semi", spread_by=["id"])
-
-
 def batch_intelligence(
     df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE, k: int = K.TOP_SKILLS, titles: int = 5
 ) -> DataFrame:
@@ -217,8 +272,9 @@ def batch_intelligence(
     :func:`intelligence_lists` gives the whole lists as rows.  Rows of smaller batches go
     before anything is exploded.
     """
-    heads, rows = _large(df, n)
-    return intelligence_of(heads, skill_counts(rows), title_counts(rows), n, k, titles)
+    heads = batch_heads(df).where(F.col("total_jds") >= n)
+    skills = _by_size(df, "batch_id", lambda counts, whole: counts, heads)
+    return intelligence_of(heads, skills, title_counts(df), n, k, titles)
 
 
 def intelligence_lists(df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE) -> DataFrame:
@@ -226,9 +282,19 @@ def intelligence_lists(df: DataFrame, n: int = K.MIN_BATCH_FOR_INTELLIGENCE) ->
 
     Lists: ``required``, ``missing`` and ``titles``, for batches of ``n`` rows or more.
     """
-    _, rows = _large(df, n)
-    counts, titles = skill_counts(rows), title_counts(rows)
-    lists = {"required": (_ranked(counts.drop("lacking_jds"), "skill", None), "skill"), "missing": (missing_of(counts), "skill"),
-             "titles": (titles_of(titles), "pattern")}
-    out = [reports.select("batch_id", F.lit(name).alias("list"), "rank", F.col(item).alias("item"), "jds") for name, (reports, item) in lists.items()]
-    return out[0].union(out[1]).union(out[2])
+    heads = batch_heads(df).where(F.col("total_jds") >= n)
+
+    def skills(counts: DataFrame, whole: bool) -> DataFrame:
+        order = {"required": F.col("jds"), "missing": F.col("lacking_jds")}
+        if whole:
+            # Both lists of a batch are numbered by the task that counted it.
+            ranks = F.array(*[F.struct(F.lit(name).alias("list"), F.row_number().over(Window.partitionBy("batch_id").orderBy(
+                n_jds.desc(), F.col("skill").asc())).alias("rank"), F.col("skill").alias("item"), n_jds.alias("jds")) for name, n_jds in order.items()])
+            return counts.select("batch_id", ranks.alias("_both")).select("batch_id", F.inline("_both")).where("jds > 0")
+        return shown("required", _ranked(counts.drop("lacking_jds"), "skill", None), "skill").union(shown("missing", missing_of(counts), "skill"))
+
+    def shown(name: str, reports: DataFrame, item: str) -> DataFrame:
+        return reports.select("batch_id", F.lit(name).alias("list"), "rank", F.col(item).alias("item"), "jds")
+
+    titles = titles_of(title_counts(df).join(heads.select("batch_id"), "batch_id", "left_semi"))
+    return _by_size(df, "batch_id", skills, heads).union(shown("titles", titles, "pattern"))

@@ -2,9 +2,10 @@
 
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
-from jobsift.operators import matching
+from jobsift.operators import insight, matching
+from jobsift.sources import sinks
 
 
 def explained(df) -> str:
@@ -28,3 +29,65 @@ def test_skill_lists_sort_words_once(spark):
                 first.setdefault(w.lower(), w)
         own = set(mine or [])
         assert got[i] == ([w for k, w in first.items() if k in own], [w for k, w in first.items() if k not in own]), i
+
+
+def results(spark):
+    r = random.Random(5)
+    skills = [f"s{k}" for k in range(40)] + ["é", "S1"]
+    rows = []
+    for i in range(300):
+        both = r.sample(skills, r.randrange(20))
+        cut = r.randrange(len(both) + 1)
+        batch = None if i % 50 == 0 else f"b{i % 9 if i % 2 else i % 90}"
+        rows.append((str(i), f"u{i % 4}", batch, i, f"Lead {i % 3} - x", both[:cut] + both[:1] * (cut > 0), None if i % 41 == 0 else both[cut:]))
+    return spark.createDataFrame(rows, "id string, user_id string, batch_id string, seq long, job_title string, matching_skills array<string>,"
+                                 " missing_skills array<string>").selectExpr("*", "CAST(NULL AS struct<is_fake_em:boolean,confidence:string,red_flags:array<string>>) AS fake_em_detection")
+
+
+REPORTS = {
+    "counts": insight.skill_counts, "users": lambda d: insight.skill_counts(d, "user_id"), "demand": insight.skill_demand,
+    "all": lambda d: insight.skill_demand(d, None), "missing": insight.top_missing, "cut": lambda d: insight.top_missing(d, 3),
+    "blocking": insight.blocking_skills, "batch": insight.batch_intelligence, "lists": insight.intelligence_lists,
+}
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_reports_of_large_and_small_batches_agree(spark, monkeypatch, name):
+    df = results(spark)
+    small = sorted(map(repr, REPORTS[name](df).collect()))
+    for rows in (1, 6):
+        monkeypatch.setattr(insight, "WHOLE_ROWS", rows)
+        assert sorted(map(repr, REPORTS[name](df).collect())) == small
+
+
+def test_skill_ranks_by_hand(spark):
+    rows = [("1", "b", ["x"], ["y", "z"]), ("2", "b", ["y"], ["z"]), ("3", "b", ["z"], ["x", "x"]), ("4", "c", ["y"], None)]
+    df = spark.createDataFrame(rows, "id string, batch_id string, matching_skills array<string>, missing_skills array<string>").selectExpr(
+        "*", "'t' AS job_title", "CAST(NULL AS struct<is_fake_em:boolean,confidence:string,red_flags:array<string>>) AS fake_em_detection")
+    assert sorted(map(tuple, insight.top_missing(df).select("batch_id", "skill", "jds", "rank").collect())) == [
+        ("b", "x", 1, 2), ("b", "y", 1, 3), ("b", "z", 2, 1)]
+    (one,) = insight.batch_intelligence(df, k=2).collect()
+    assert [x["skill"] for x in one["top_required_skills"]] == ["z", "x"] and one["top_missing_from_profile"] == ["z", "x"]
+    lists = [tuple(x) for x in insight.intelligence_lists(df).collect()]
+    assert sorted(x for x in lists if x[1] == "missing") == [("b", "missing", 1, "z", 2), ("b", "missing", 2, "x", 1), ("b", "missing", 3, "y", 1)]
+    assert sorted(x[2:4] for x in lists if x[1] == "required") == [(1, "z"), (2, "x"), (3, "y")]
+
+
+def test_no_exploded_skill_is_shuffled(spark):
+    """Lists move once, by batch; counts and ranks are made where they lie."""
+    plan = insight.top_missing(results(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_folder_exports_are_divided_by_their_folders(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sinks, "FOLDERS_A_TASK", 20)
+    df = spark.range(400).selectExpr(
+        "concat('b', id % 200) AS batch_id", "id AS seq", "'c' AS company", "'t' AS job_title", "1 AS ats_score", "2 AS role_level_score",
+        "cast(id as int) AS composite_score", "'REJECT' AS verdict", "'u' AS job_url", "array('r') AS hard_reject_reasons", "timestamp_ntz'2024-01-01' AS created_at")
+    sinks.export_ranked_csv(df, f"{tmp_path}/ranked")
+    sinks.export_batches_csv(df, f"{tmp_path}/batches", df.select("batch_id"))
+    for folder in (tmp_path / "ranked" / "rows", tmp_path / "batches"):
+        files = list(folder.glob("batch_id=*/part-*.csv"))
+        assert len({f.parent for f in files}) == 200 and len({f.name.split("-")[1] for f in files}) >= 8
+    text = "".join(f.read_text().partition("\n")[2] for f in sorted((tmp_path / "batches" / "batch_id=b7").glob("part-*.csv")))
+    assert [line.split(",")[5] for line in text.splitlines()] == ["207", "7"]
