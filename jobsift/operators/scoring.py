@@ -22,10 +22,32 @@ from jobsift.skew import position_in_group, spread_join
 
 #: Items of one user or batch that one task works off in a wave.
 WAVE_ROWS = 50_000
+#: Answers that go back to Spark together at most.
+ANSWER_ROWS = 256
 FATAL = (401, 429)
 CONTROL = ["_cluster", "_user", "_period", "_left"]
 
 
+def _together(answers: Iterator[pd.DataFrame], most: int = ANSWER_ROWS) -> Iterator[pd.DataFrame]:
+    """The rows of ``answers`` in fewer frames.
+
+    Every frame costs as much as hundreds of rows on its way to Spark.  Only frames of the same
+    columns and types are put together, so no value changes.
+    """
+    held: list[pd.DataFrame] = []
+    rows, kinds = 0, None
+    for answer in answers:
+        if held and (rows + len(answer) > most or list(answer.dtypes.items()) != kinds):
+            yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            held, rows = [], 0
+        if not held:
+            kinds = list(answer.dtypes.items())
+        held.append(answer)
+        rows += len(answer)
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
 def _asker(scorer: Callable, inputs: Sequence[str]) -> Callable:
     """The scorer, fed one item at a time with what is still worth asking."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +58,7 @@ def _asker(scorer: Callable, inputs: Sequence[str]) -> Callable:
         def feed() -> Iterator[pd.DataFrame]:
             cluster = None
             for frame in frames:
-                control = frame[["batch_id", *CONTROL]].to_dict("list")
+                control, items = frame[["batch_id", *CONTROL]].to_dict("list"), frame[list(inputs)]
                 for i in range(len(frame)):
                     if control["_cluster"][i] != cluster:
                         # Neither a batch nor an allowance reaches into another cluster.
@@ -47,15 +69,18 @@ def _asker(scorer: Callable, inputs: Sequence[str]) -> Callable:
                     if batch in stopped or (not pd.isna(left) and used[purse] >= left):
                         continue
                     asked[:] = [batch, purse]
-                    yield frame.iloc[i:i + 1][list(inputs)].reset_index(drop=True)
-
-        for answer in scorer(feed()):
-            for status in answer["status"]:
-                if status in FATAL:
-                    stopped.add(asked[0])
-                elif 200 <= status <= 299:
-                    used[asked[1]] += 1
-            yield answer
+                    yield items.iloc[i:i + 1].reset_index(drop=True)
+
+        def noted() -> Iterator[pd.DataFrame]:
+            for answer in scorer(feed()):
+                for status in answer["status"]:
+                    if status in FATAL:
+                        stopped.add(asked[0])
+                    elif 200 <= status <= 299:
+                        used[asked[1]] += 1
+                yield answer
+
+        yield from _together(noted())
     return run
 
 
