@@ -2,9 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 
-from jobsift.operators import insight, matching
+from jobsift import schemas
+from jobsift.operators import insight, matching, scoring
+from jobsift.session import recorded
 from jobsift.sources import sinks
 
 
@@ -91,3 +94,31 @@ def test_folder_exports_are_divided_by_their_folders(spark, monkeypatch, tmp_pat
         assert len({f.parent for f in files}) == 200 and len({f.name.split("-")[1] for f in files}) >= 8
     text = "".join(f.read_text().partition("\n")[2] for f in sorted((tmp_path / "batches" / "batch_id=b7").glob("part-*.csv")))
     assert [line.split(",")[5] for line in text.splitlines()] == ["207", "7"]
+
+
+def test_a_run_stores_its_rows_once_on_the_way(spark, tmp_path):
+    """Rows are stored checked and in the table; which of them repeat is decided on ids."""
+    df = spark.range(60).selectExpr(
+        "CASE WHEN id % 10 = 9 THEN '7' ELSE cast(id as string) END AS id", "'u' AS user_id", "'b' AS batch_id", "'url' AS job_url", "'t' AS job_title",
+        "'c' AS company", "repeat('x', 100) AS jd_text", "1 AS ats_score", "2 AS role_level_score", "3 AS composite_score",
+        "CASE WHEN id = 4 THEN 'MAYBE' ELSE 'WEAK' END AS verdict", "array('r') AS hard_reject_reasons", "'{}' AS analysis_json",
+        "timestamp_ntz'2024-01-01' AS created_at", "id AS extra")
+    for run, part, kept in (("a", "extra < 40", 35), ("b", "extra >= 20", 18), ("b", "extra >= 20", 18)):
+        with recorded() as paths:
+            refused = sinks.append_run(df.where(part), f"{tmp_path}/table", run)
+        assert [spark.read.parquet(p).columns for p in paths if "jd_text" not in spark.read.parquet(p).columns] == [["_row"]] and len(paths) == 2
+        stored = sinks.stored_runs(spark, f"{tmp_path}/table", schemas.SCREENING).where(f"run = '{run}'")
+        asked = df.where(part).count()
+        assert (stored.count(), stored.select("id").distinct().count(), refused.count()) == (kept, kept, asked - kept)
+        assert refused.columns == [*df.columns, "problems"]
+    assert {x["problems"][0] for x in refused.collect()} == {"id is already stored"}
+
+
+def test_answers_of_one_type_go_back_together():
+    frames = [pd.DataFrame({"seq": [i], "status": pd.Series([200], dtype="int32"), "text": [None if i % 3 else "a"]}) for i in range(10)]
+    frames[6] = frames[6].assign(seq=[None])
+    out = list(scoring._together(iter(frames), most=4))
+    assert [len(f) for f in out][:1] == [4] and len(out) < 7
+    assert all(len({str(t) for t in f.dtypes}) == 3 and f["status"].dtype == "int32" for f in out if f["seq"].dtype == "int64" and len(f) > 1)
+    assert [None if pd.isna(x) else int(x) for f in out for x in f["seq"]] == [0, 1, 2, 3, 4, 5, None, 7, 8, 9]
+    assert list(scoring._together(iter([]))) == []
