@@ -50,13 +50,14 @@ def _counted(lists: DataFrame, key: str) -> DataFrame:
 
 
 def _by_size(
-    df: DataFrame, key: str, report: Callable[[DataFrame, bool], DataFrame], kept: DataFrame | None = None
+    df: DataFrame, key: str, report: Callable[[DataFrame, bool], DataFrame], kept: DataFrame | None = None, both: bool = False
 ) -> DataFrame:
     """``report(skill counts, whole)`` of all keys, or of those in ``kept``.
 
     The lists of a key with fewer than ``WHOLE_ROWS`` rows are brought together as they are;
     its skills are then counted, and ranked, where they lie (``whole``), so nothing exploded is
-    shuffled.  Rows of larger keys are counted before their counts meet.
+    shuffled.  Rows of larger keys are counted before their counts meet.  With ``both`` the two
+    ways stand in the plan without a look at the rows; one that has none is dropped as it runs.
     """
     def of(lists: DataFrame, whole: bool) -> DataFrame:
         together = lists.repartition(key) if whole else lists
@@ -66,7 +67,7 @@ def _by_size(
         return report(_counted(together, key), whole)
 
     lists, hot = _skill_lists(df, key), hot_keys(df, [key], WHOLE_ROWS)
-    if hot.isEmpty():
+    if not both and hot.isEmpty():
         return of(lists, True)
     # At most (rows / WHOLE_ROWS) keys; rows without a key go with the large ones.
     marked = lists.join(F.broadcast(hot.select(key, F.lit(True).alias("_large"))), key, "left").withColumn(
@@ -142,7 +143,8 @@ def skill_demand(df: DataFrame, k: int | None = K.TOP_SKILLS) -> DataFrame:
 
     ``percentage`` is in tenths of a percent rounded half up, divided by ten.
     """
-    return demand_of(skill_counts(df), batch_sizes(df), k)
+    return _with_share(_by_size(
+        df, "batch_id", lambda counts, whole: _ranked(counts.drop("lacking_jds"), "skill", k, whole), both=True), batch_sizes(df))
 
 
 def missing_of(counts: DataFrame, k: int | None = None, whole: bool = False) -> DataFrame:
