@@ -55,6 +55,24 @@ def test_admission_over_any_division_of_the_files(spark, tmp_path):
         assert got == want
 
 
+def test_only_admitted_texts_meet_profiles(spark, tmp_path, monkeypatch):
+    """Refused texts stay where they are read; ids that come twice bring the owners of both rows."""
+    jds, _ = entered(spark)
+    twice = jds.where("user_id = 'f' AND id > 'j150'").select("id").first()["id"]
+    jds = jds.withColumn("id", F.when(F.col("id") == jds.where("user_id = 'p'").select("id").first()["id"], twice).otherwise(F.col("id"))).coalesce(1)
+    src, out, state, stored = (str(tmp_path / p) for p in ("src", "out", "state", "profiles"))
+    matching.prepare_profiles(people(spark), "tier", "api_key_encrypted").write.parquet(stored)
+    jds.write.parquet(src)
+    met, join = [], streams.with_profile
+    monkeypatch.setattr(streams, "with_profile", lambda left, *rest, **more: (
+        met.append(left.count() if "jd_text" in left.columns else 0), join(left, *rest, **more))[1])
+    streams.stream_admitted(streams.read_stream(spark, jds.schema, src), spark.read.parquet(stored), [], out, state).awaitTermination()
+    refused = {(r.id, r.user_id) for r in spark.read.parquet(f"{out}-refused").collect()}
+    got = sorted((r.id, r.user_id) for r in spark.read.parquet(out).collect())
+    assert got == sorted((r.id, r.user_id) for r in jds.collect() if (r.id, r.user_id) not in refused or r.id == twice)
+    assert max(met) == len(got) and len(got) < jds.count() / 2
+
+
 def test_state_of_days_expires(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
     schema = "user_id string, ts timestamp, success boolean"
