@@ -17,7 +17,7 @@ from jobsift import constants as K
 from jobsift.functions import scores
 from jobsift.functions.profiles import effective_resume
 from jobsift.functions.text import js_trim, non_empty, normalize_terms
-from jobsift.skew import hot_keys, spread_join
+from jobsift.skew import spread_join
 
 EMPTY_STRINGS = "array<string>"
 
@@ -203,20 +203,20 @@ def ats_coverage(
     matched, missing = F.size("matching_skills"), F.size("missing_skills")
     if weights is None:
         return split.withColumn("ats_score", _share(matched, matched + missing))
-    # Computed below the explode, else every exploded row would carry the lists.
+    # Computed below the explode, else every exploded row would carry the lists.  The outer form:
+    # for the plain one Spark tests the lists in a filter first and makes them once more for that.
+    # A JD without skills gives a row without a skill, which weighs nothing.
     listed = split.select(
         "id", matched.alias("_matched"), F.concat("matching_skills", "missing_skills").alias("_all"))
     items = listed.select(
-        "id", "_matched", F.posexplode("_all").alias("_pos", "skill")
+        "id", "_matched", F.posexplode_outer("_all").alias("_pos", "skill")
     ).select("id", F.lower("skill").alias("skill"), (F.col("_pos") < F.col("_matched")).alias("hit"))
     importance = weights.groupBy(F.lower("skill").alias("skill")).agg(
         F.max(F.col("weight").cast("long")).alias("weight"))
-    # A common skill occurs in nearly every JD, hence the spread join on skill.  The
-    # input already tells which skills are common.
-    common = hot_keys(jds.select(F.explode("required_skills").alias("skill")).select(
-        F.lower("skill").alias("skill")), ["skill"])
-    weighed = spread_join(items, importance, ["skill"], "left", spread_by=["id"], hot=common).withColumn(
-        "weight", F.coalesce("weight", F.lit(1)))
+    # A JD has a skill once, so the commonest has as many rows as there are JDs; they pass by a
+    # table of its one weight unsorted, and adaptive execution divides a partition that is too large.
+    weighed = items.join(importance.hint("shuffle_hash"), "skill", "left").withColumn(
+        "weight", F.when(F.col("skill").isNotNull(), F.coalesce("weight", F.lit(1))))
     sums = weighed.groupBy("id").agg(
         F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0)).alias("_part"), F.sum("weight").alias("_whole"))
     return (

@@ -134,7 +134,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Distinct lower-case ASCII words of two letters or more, over the whole text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w) >= 2))
+    # Repeats go first, so each word is tested once.
+    return F.filter(F.array_distinct(F.split(F.lower(text), "[^a-z]+")), lambda w: F.length(w) >= 2)
 
 
 def jds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,8 +328,7 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance per skill: the number of letters of each word seen in the documents."""
-    return table(spark, sf_dir, "documents").select(
-        F.explode(words_of(F.col("text"))).alias("skill")).distinct().where(
-        F.length("skill") > 4).withColumn("weight", F.length("skill"))
-
-
+    # The outer form: for the plain one Spark splits the texts once more, in a filter before it.
+    words = F.explode_outer(F.split(F.lower("text"), "[^a-z]+")).alias("skill")
+    return table(spark, sf_dir, "documents").select(words).where(
+        F.length("skill") > 4).distinct().withColumn("weight", F.length("skill"))

@@ -7,6 +7,7 @@ import pytest
 
 from jobsift import schemas
 from jobsift.operators import insight, matching, scoring
+from jobsift.plans import views
 from jobsift.session import recorded
 from jobsift.sources import sinks
 
@@ -34,6 +35,40 @@ def test_skill_lists_sort_words_once(spark):
         assert got[i] == ([w for k, w in first.items() if k in own], [w for k, w in first.items() if k not in own]), i
 
 
+def test_weighted_coverage_makes_its_lists_once(spark):
+    """As plain Python, with repeated and null ids; no list is made again for a filter, no skill counted beforehand."""
+    r = random.Random(7)
+    words = [f"{a}{b}" for a in "aAbB" for b in ("x", "xX", "Yy", "z")]
+    rows = [(None if i % 19 == 0 else str(i % 70), f"u{i % 7}", None if i % 23 == 0 else [r.choice([*words, None]) for _ in range(r.randrange(12))])
+            for i in range(120)]
+    own = {f"u{k}": None if k == 3 else [*r.sample(words, 6), None] for k in range(6)}
+    weights = [("AX", 7), ("ax", 4), ("bxx", None), ("byy", 3), (None, 9), ("other", 5)]
+    jds = spark.createDataFrame(rows, "id string, user_id string, required_skills array<string>")
+    people = spark.createDataFrame(list(own.items()), "id string, profile_skills array<string>").selectExpr(
+        "*", "CAST(NULL AS struct<tech_stack_dealbreakers:array<string>,title_floor:string,geography_allowed:array<string>,"
+        "company_type_excluded:array<string>,role_type_excluded:array<string>>) AS hard_reject_filters")
+    out = matching.ats_coverage(jds, people, spark.createDataFrame(weights, "skill string, weight int")).select("id", "ats_score")
+    weigh, sums = {"ax": 7, "byy": 3}, {}
+    for i, user, skills in rows:
+        if user in own:
+            part, whole = sums.get(i, (0, 0))
+            asked, mine = {w.lower() for w in skills or [] if w}, {w.lower() for w in own[user] or [] if w}
+            sums[i] = (part + sum(weigh.get(w, 1) for w in asked & mine), whole + sum(weigh.get(w, 1) for w in asked))
+    sums[None] = (0, 0)
+    score = {i: (200 * a + b) // (2 * b) if b else 0 for i, (a, b) in sums.items()}
+    assert sorted(map(repr, out.collect())) == sorted(f"Row(id={i!r}, ats_score={score[i]})" for i, user, _ in rows if user in own)
+    plan = explained(out)
+    assert plan.count("array_intersect(") == plan.count("array_except(") == 1 and "explode(required_skills" not in plan, plan
+
+
+def test_weights_split_the_texts_once(spark, tmp_path):
+    texts = ["Gamma gamma x DELTAS, ab", None, "", "9 deltas\u00e9 omega-omegas alph"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = views.skill_weights(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [("deltas", 6), ("gamma", 5), ("omega", 5), ("omegas", 6)]
+    assert explained(out).count("split(") == 1
+
+
 def results(spark):
     r = random.Random(5)
     skills = [f"s{k}" for k in range(40)] + ["é", "S1"]
