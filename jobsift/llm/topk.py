@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsift.session import materialize
@@ -26,6 +26,8 @@ BLOCK_ROWS = 128
 #: Rows of the index, and queries, that meet in one task.
 SHARD_ROWS = 8192
 QUERY_ROWS = 512
+#: Groups of queries that follow one copy of a shard.
+GROUPS_A_COPY = 32
 
 
 def quantize(values, scale: int = 256) -> np.ndarray | None:
@@ -110,6 +112,7 @@ def best_of_shard(
     bounds = up @ most.T.astype(kind) + down @ least.T.astype(kind)
     values = weights.astype(kind)
     visits = np.argsort(-bounds, axis=1, kind="stable")
+    repeats = len(np.unique(ids)) < len(ids)
     for q, own in enumerate(query_ids):
         best_ids, best = np.empty(0, np.int64), np.empty(0, kind)
         row, scored = queries[q].astype(kind), 0
@@ -119,11 +122,14 @@ def best_of_shard(
             part = slice(cuts[b], cuts[b] + block)
             score, found = values[part] @ row, ids[part]
             scored += len(found)
+            if len(best) == k and score.max() < best[-1]:
+                continue
             keep = (found != own) & (score >= best[-1]) if len(best) == k else found != own
             best_ids, best = np.concatenate((best_ids, found[keep])), np.concatenate((best, score[keep]))
             order = np.lexsort((best_ids, -best))
             # An id that repeats stands where its best score does.
-            order = order[np.sort(np.unique(best_ids[order], return_index=True)[1])]
+            if repeats:
+                order = order[np.sort(np.unique(best_ids[order], return_index=True)[1])]
             best_ids, best = best_ids[order[:k]], best[order[:k]]
         if kind is object and any(abs(x) >= 2**63 for x in best):
             raise OverflowError("a score leaves 63 bits")
@@ -131,23 +137,54 @@ def best_of_shard(
 
 
 def _search(k: int, block: int):
+    """Each row of queries against the shard that stands before it; rows come by ``_unit``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, index = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                terms = max(r["q_terms"], r["d_terms"])
-                q, d = (np.frombuffer(r[f"{x}_weights"], np.int64).reshape(-1, r[f"{x}_terms"]) for x in "qd")
-                q, d = (np.pad(m, ((0, 0), (0, terms - m.shape[1]))) for m in (q, d))
+            for n in range(batch.num_rows):
+                r = batch.slice(n, 1).to_pylist()[0]
+                ids = np.frombuffer(r["ids"], np.int64)
+                matrix = np.frombuffer(r["weights"], np.int64).reshape(len(ids), r["terms"])
+                if not r["is_query"]:
+                    unit, index = r["_unit"], (ids, matrix)
+                    continue
+                # A shard without rows has nothing to find.
+                if r["_unit"] != unit:
+                    continue
+                terms = max(matrix.shape[1], index[1].shape[1])
+                q, d = (np.pad(m, ((0, 0), (0, terms - m.shape[1]))) for m in (matrix, index[1]))
                 out = [[], [], [], []]
-                for own, ids, scores, scored in best_of_shard(
-                        np.frombuffer(r["q_ids"], np.int64), q, np.frombuffer(r["d_ids"], np.int64), d, k, block):
-                    out[0] += [own] * len(ids)
-                    out[1] += ids.tolist()
+                for own, found, scores, scored in best_of_shard(ids, q, index[0], d, k, block):
+                    out[0] += [own] * len(found)
+                    out[1] += found.tolist()
                     out[2] += scores.tolist()
-                    out[3] += [scored] * len(ids)
+                    out[3] += [scored] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "id", "score", "scored"])
     return run
 
 
+def _meetings(queries: DataFrame, index: DataFrame, shards: int, groups: int) -> DataFrame:
+    """Shards, each followed by the groups of queries that it meets, in partitions of a few of them.
+
+    Rows are dealt out and sorted, not joined: the copies of the queries hold far more bytes than
+    the groups that Spark knows of, and a join would send them all through the driver.
+    """
+    def piece(rows: DataFrame, name: str, is_query: bool, *unit: Column) -> DataFrame:
+        return rows.select(
+            F.struct(*unit).alias("_unit"), F.lit(is_query).alias("is_query"), *[F.col(f"{name}_{c}").alias(c) for c in ("ids", "weights", "terms")])
+
+    def counted(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    copies = max(1, -(-groups // GROUPS_A_COPY))
+    shard, copy = F.col("shard"), F.col("copy")
+    # A partition of queries is one group or a few, so its number deals them out evenly.
+    asked = queries.withColumn("copy", F.col("q_shard") % copies).withColumn("shard", counted(shards))
+    kept = index.withColumnRenamed("d_shard", "shard").withColumn("copy", counted(copies))
+    pieces = piece(asked, "q", True, shard.alias("shard"), copy.alias("copy")).union(piece(kept, "d", False, shard.alias("shard"), copy.alias("copy")))
+    return pieces.repartition(shards * copies, "_unit").sortWithinPartitions("_unit", "is_query")
+
+
 def search_top_k(
     vectors: DataFrame,
     every: int = 50,
@@ -167,8 +204,8 @@ def search_top_k(
     Other columns are not read.  A query with fewer than ``k`` others has them all; an empty
     frame gives no rows.  A finite component or a score that leaves 63 bits raises ``OverflowError``.
 
-    Queries in groups meet the index in shards: one task row holds ``QUERY_ROWS`` queries
-    and ``shard_rows`` rows, so neither side is ever whole in a task or on the driver.
+    Queries in groups meet the index in shards: a task holds ``QUERY_ROWS`` queries and
+    ``shard_rows`` rows at a time, so neither side is ever whole in a task or on the driver.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = materialize(
@@ -180,12 +217,11 @@ def search_top_k(
         rows.repartitionByRange(shards, "place", "id").sortWithinPartitions("place", "id")
         .mapInArrow(_packer("d", None), kind.format("d")), "shards")
     shards = (index.agg(F.max("d_shard")).first()[0] or 0) + 1
+    groups = max(1, -(-total // (every * QUERY_ROWS)))
     queries = (
-        rows.where("is_query").repartitionByRange(max(1, -(-total // (every * QUERY_ROWS))), "place", "id")
+        rows.where("is_query").repartitionByRange(groups, "place", "id")
         .sortWithinPartitions("place", "id").mapInArrow(_packer("q", QUERY_ROWS), kind.format("q")))
-    units = (
-        queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        .join(index.withColumnRenamed("d_shard", "shard"), "shard"))
+    units = _meetings(queries, index, shards, groups)
     found = units.mapInArrow(_search(k, block), "query_id long, id long, score long, scored long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     one = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))

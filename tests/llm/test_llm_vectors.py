@@ -48,6 +48,19 @@ def test_top_k_equals_brute_force(spark, rows, shard_rows, block):
     assert {q: sorted(v) for q, v in got.items()} == want
 
 
+def test_copies_of_queries_are_not_sent_by_the_driver(spark, monkeypatch):
+    """Queries are copied for every shard, which a broadcast would hold at once; several copies of a shard give the same."""
+    rng = np.random.default_rng(8)
+    rows = frame(spark, [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(400)])
+    want = sorted(map(tuple, topk.search_top_k(rows, every=4, shard_rows=50).collect()))
+    monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+    monkeypatch.setattr(topk, "GROUPS_A_COPY", 3)
+    got = topk.search_top_k(rows, every=4, shard_rows=50)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
 def test_top_k_of_little(spark):
     few = frame(spark, [(50, [1.0, 2.0]), (51, [1.0, -2.0])])
     assert [(r.query_id, r["rank"], r.id) for r in topk.search_top_k(few).collect()] == [(50, 1, 51)]
