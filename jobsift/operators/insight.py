@@ -50,7 +50,8 @@ def _counted(lists: DataFrame, key: str) -> DataFrame:
 
 
 def _by_size(
-    df: DataFrame, key: str, report: Callable[[DataFrame, bool], DataFrame], kept: DataFrame | None = None, both: bool = False
+    df: DataFrame, key: str, report: Callable[[DataFrame, bool], DataFrame], kept: DataFrame | None = None, both: bool = False,
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """``report(skill counts, whole)`` of all keys, or of those in ``kept``.
 
@@ -58,6 +59,7 @@ def _by_size(
     its skills are then counted, and ranked, where they lie (``whole``), so nothing exploded is
     shuffled.  Rows of larger keys are counted before their counts meet.  With ``both`` the two
     ways stand in the plan without a look at the rows; one that has none is dropped as it runs.
+    ``sizes_of`` may give the key column of the same rows from a frame that is cheaper to read.
     """
     def of(lists: DataFrame, whole: bool) -> DataFrame:
         together = lists.repartition(key) if whole else lists
@@ -66,7 +68,7 @@ def _by_size(
                 together.withColumn("_row", F.monotonically_increasing_id()), kept.select(key), [key], "left_semi", ["_row"]).drop("_row")
         return report(_counted(together, key), whole)
 
-    lists, hot = _skill_lists(df, key), hot_keys(df, [key], WHOLE_ROWS)
+    lists, hot = _skill_lists(df, key), hot_keys(df if sizes_of is None else sizes_of, [key], WHOLE_ROWS)
     if not both and hot.isEmpty():
         return of(lists, True)
     # At most (rows / WHOLE_ROWS) keys; rows without a key go with the large ones.
@@ -76,9 +78,9 @@ def _by_size(
     return of(small, True).unionByName(of(large, False))
 
 
-def skill_counts(df: DataFrame, key: str = "batch_id") -> DataFrame:
+def skill_counts(df: DataFrame, key: str = "batch_id", sizes_of: DataFrame | None = None) -> DataFrame:
     """Per key and skill: the JDs asking for it and the JDs whose owner lacks it."""
-    return _by_size(df, key, lambda counts, whole: counts)
+    return _by_size(df, key, lambda counts, whole: counts, sizes_of=sizes_of)
 
 
 def batch_sizes(df: DataFrame) -> DataFrame:

@@ -148,3 +148,34 @@ def test_whole_lists_are_ranked(spark):
     lists = insight.intelligence_lists(df)
     assert rows(lists.where("list = 'missing'").select("batch_id", F.col("item").alias("skill"), "jds", "rank")) == rows(
         insight.top_missing(df).select("batch_id", "skill", "jds", "rank"))
+
+
+def kept_frames(monkeypatch):
+    """The columns of the frames that are kept from here on."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, persist = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a, **b: (seen.append(self.columns), persist(self, *a, **b))[1])
+    return seen
+
+
+def test_skill_lists_are_not_kept_and_parts_move_once(spark, tmp_path, monkeypatch):
+    at = F.timestamp_seconds(F.col("id") * 7)
+    results = spark.range(0, 300, numPartitions=3).select(
+        F.col("id").cast("string").alias("id"), (F.col("id") % 20).cast("string").alias("batch_id"), F.lit("Engineer").alias("job_title"),
+        F.array(F.lit("a"), (F.col("id") % 7).cast("string")).alias("matching_skills"), F.array((F.col("id") % 3).cast("string")).alias("missing_skills"),
+        F.struct(F.lit(True).alias("is_fake_em"), F.lit("high").alias("confidence")).alias("fake_em_detection"), at.alias("created_at"))
+    src, out, state, final = (str(tmp_path / p) for p in ("src", "out", "state", "final"))
+    results.write.parquet(src)
+    kept = kept_frames(monkeypatch)
+    streams.stream_parts(streams.read_stream(spark, results.schema, src, max_files=1), out, state).awaitTermination()
+    assert kept and not any({"matching_skills", "missing_skills"} & set(c) for c in kept)
+    added = []
+    monkeypatch.setattr(streams, "intelligence_of_parts", lambda parts, f=streams.intelligence_of_parts: (added.append(parts), f(parts))[1])
+    monkeypatch.setattr(streams, "PARTS_A_TASK", 40)
+    done = streams.finalize_closed(spark, out, final, 1, F.lit(datetime(2030, 1, 1)))
+    names = ["batch_id", "total_jds", "top_missing_from_profile"]
+    assert rows(done.select(*names)) == rows(insight.batch_intelligence(results).select(*names)) and done.count() == 20
+    # The parts are divided by batch as they are, finely enough for a task.
+    plan = added[0].where("kind = 'skill'")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(batch_id" in plan and "REPARTITION_BY_NUM" in plan
