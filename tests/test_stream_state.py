@@ -159,6 +159,18 @@ def kept_frames(monkeypatch):
     return seen
 
 
+def test_texts_are_not_kept_while_a_trigger_runs(spark, tmp_path, monkeypatch):
+    jds, _ = entered(spark)
+    src, out, state, stored = (str(tmp_path / p) for p in ("src", "out", "state", "profiles"))
+    matching.prepare_profiles(people(spark), "tier", "api_key_encrypted").write.parquet(stored)
+    jds.write.parquet(src)
+    kept = kept_frames(monkeypatch)
+    streams.stream_admitted(streams.read_stream(spark, jds.schema, src), spark.read.parquet(stored), [], out, state).awaitTermination()
+    assert kept and not any({"jd_text", "required_skills"} & set(c) for c in kept)
+    want = flows.run_screening(jds, people(spark), [])
+    assert rows(spark.read.parquet(out).select("id", "composite_score")) == rows(want.results.select("id", "composite_score"))
+
+
 def test_skill_lists_are_not_kept_and_parts_move_once(spark, tmp_path, monkeypatch):
     at = F.timestamp_seconds(F.col("id") * 7)
     results = spark.range(0, 300, numPartitions=3).select(
